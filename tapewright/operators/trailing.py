@@ -24,7 +24,7 @@ _PARTS = ("volume", "close", "n_close", "n_active")
 
 def _amount(c: str) -> Column:
     """A finite DOUBLE as an exact amount; null, NaN and infinite values are no amounts."""
-    return F.when(~F.isnan(c) & (F.abs(F.col(c)) < 1e20), F.col(c)).try_cast(_AMOUNT) if hasattr(Column, "try_cast") else F.expr(f"try_cast({c} as {_AMOUNT})")
+    return F.when(~F.isnan(c) & (F.abs(F.col(c)) < 1e20), F.col(c)).try_cast(_AMOUNT)
 
 
 def daily_amounts(rows: DataFrame) -> DataFrame:
