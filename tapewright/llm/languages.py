@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,17 @@ PENALTY = 10.0
 _ROUNDS = 12
 _CHUNK_CHARS = 1_000_000
 
+#: A word that this many languages use (NEUTRAL_USES times each) names no language: symbols, borrowed terms. The most frequent are kept.
+NEUTRAL_LANGUAGES, NEUTRAL_USES, NEUTRAL_MOST = 4, 2, 5_000
+
+
+class Model(NamedTuple):
+    """What is trained: log probabilities [bucket of n-grams, language] and words that are no evidence."""
+
+    table: np.ndarray
+    neutral: frozenset[str]
+
+
 _END = re.compile(r"""[.!?…]+["'”’»)\]*_]*(?=\s|$)|[。！？]+["'”’」』)）]*|[\r\n  ]+""")
 _CODE = re.compile(r"[A-Za-z0-9_./:#-]*[0-9][A-Za-z0-9_./:#-]*")
 _NO_LETTER = re.compile(r"(?:(?!\n)[\W\d_])+")
@@ -70,17 +83,20 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return trimmed
 
 
-def normalised(lines: list[str]) -> str:
-    """The lines as one text of lower-case letters without accents; words of letters and digits together go."""
+def normalised(lines: list[str], neutral: frozenset[str] = frozenset()) -> str:
+    """The lines as one text of lower-case letters without accents; neutral words and those of letters and digits go."""
     text = "\n".join(x.replace("\n", " ").replace("\r", " ") for x in lines)
     text = _CODE.sub(" ", text)
     text = _MARKS.sub("", unicodedata.normalize("NFKD", text).casefold())
-    return _NO_LETTER.sub(" ", text)
+    text = _NO_LETTER.sub(" ", text)
+    if not neutral:
+        return text
+    return "\n".join(" ".join([w for w in x.split(" ") if w not in neutral]) for x in text.split("\n"))
 
 
-def _grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _grams(lines: list[str], neutral: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket of each n-gram, its line, letters of each line)."""
-    text = " " + normalised(lines).replace("\n", " \n ") + " "
+    text = " " + normalised(lines, neutral).replace("\n", " \n ") + " "
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     brk = code == 10
     line = np.cumsum(brk) - 0
@@ -119,9 +135,9 @@ def _model(buckets: np.ndarray, lang: np.ndarray) -> np.ndarray:
     return out.astype(np.float32)
 
 
-def likelihoods(model: np.ndarray, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def likelihoods(model: Model, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """([line, language] log-likelihood of its n-grams per order, letters of each line)."""
-    out = np.zeros((len(lines), model.shape[1]))
+    out = np.zeros((len(lines), model.table.shape[1]))
     letters = np.zeros(len(lines), dtype=np.int64)
     start = 0
     while start < len(lines):
@@ -129,42 +145,51 @@ def likelihoods(model: np.ndarray, lines: list[str]) -> tuple[np.ndarray, np.nda
         while end < len(lines) and (size == 0 or size + len(lines[end]) <= _CHUNK_CHARS):
             size += len(lines[end]) + 1
             end += 1
-        b, owner, let = _grams(lines[start:end])
+        b, owner, let = _grams(lines[start:end], model.neutral)
         letters[start:end] = let
         if len(b):
             order = np.argsort(owner, kind="stable")
             b, owner = b[order], owner[order]
             firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             # n-grams of all orders overlap: their likelihoods are averaged over the orders
-            out[start + owner[firsts]] = np.add.reduceat(model[b], firsts, axis=0, dtype=np.float64) / len(_ORDERS)
+            out[start + owner[firsts]] = np.add.reduceat(model.table[b], firsts, axis=0, dtype=np.float64) / len(_ORDERS)
         start = end
     return out, letters
 
 
-def train(texts: list[str], codes: list[str]) -> np.ndarray:
+def _neutral(lines: list[str], lang: np.ndarray) -> frozenset[str]:
+    """Words in sentences of many languages."""
+    uses: dict[str, Counter] = {}
+    for x, k in zip(normalised(lines).split("\n"), lang.tolist()):
+        for w in x.split():
+            uses.setdefault(w, Counter())[k] += 1
+    shared = [(sum(c.values()), w) for w, c in uses.items() if sum(n >= NEUTRAL_USES for n in c.values()) >= NEUTRAL_LANGUAGES]
+    return frozenset(w for _, w in sorted(shared, reverse=True)[:NEUTRAL_MOST])
+
+
+def train(texts: list[str], codes: list[str]) -> Model:
     """The model from labelled texts; two rounds give each sentence the language that the model before finds in it."""
     lines, lang = [], []
     for t, c in zip(texts, codes):
         for a, b in sentences(t):
             lines.append(t[a:b])
             lang.append(LANGUAGES.index(c))
-    label = np.array(lang, dtype=np.int64)
-    b, owner, letters = _grams(lines) if lines else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
-    model = _model(b, label[owner] if len(b) else b)
+    now = label = np.array(lang, dtype=np.int64)
     seen = np.bincount(label, minlength=len(LANGUAGES)) > 0
-    for _ in range(2):
-        if not len(b):
+    neutral: frozenset[str] = frozenset()
+    for again in range(3):
+        b, owner, letters = _grams(lines, neutral) if lines else (np.empty(0, np.int64),) * 3
+        keep = letters[owner] >= (LETTERS if again else 0)
+        table = _model(b[keep], now[owner[keep]])
+        table[:, ~seen] = table.min() - 5.0
+        if again == 2 or not lines:
             break
-        score, _ = likelihoods(model, lines)
-        score[:, ~seen] = -np.inf
-        best = score.argmax(axis=1)
-        ranked = np.sort(score[:, seen], axis=1)
-        sure = (ranked[:, -1] - ranked[:, -2] >= LEAD) & (letters >= LETTERS) if seen.sum() > 1 else np.zeros(len(lines), bool)
-        now = np.where(sure, best, label)
-        keep = letters[owner] >= LETTERS
-        model = _model(b[keep], now[owner[keep]])
-    model[:, ~seen] = model.min() - 5.0
-    return model
+        score, _ = likelihoods(Model(table, neutral), lines)
+        ranked = np.sort(score, axis=1)
+        sure = (ranked[:, -1] - ranked[:, -2] >= LEAD) & (letters >= LETTERS)
+        now = np.where(sure, score.argmax(axis=1), label)
+        neutral = _neutral([x for x, s in zip(lines, sure) if s], now[sure])
+    return Model(table, neutral)
 
 
 def mixture(score: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,24 +250,28 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         codes += b.column(0).to_pylist()
         texts += b.column(1).to_pylist()
-    yield pa.RecordBatch.from_arrays([pa.array([train(texts, codes).tobytes()], pa.binary())], names=["model"])
+    m = train(texts, codes)
+    yield pa.RecordBatch.from_arrays([pa.array([m.table.tobytes()], pa.binary()), pa.array([sorted(m.neutral)], pa.list_(pa.string()))], names=["model", "neutral"])
+
+
+def _unpack(table: bytes, neutral: list[str]) -> Model:
+    return Model(np.frombuffer(table, dtype=np.float32).reshape(-1, len(LANGUAGES)), frozenset(neutral))
 
 
-def fit_model(docs: DataFrame) -> np.ndarray:
+def fit_model(docs: DataFrame) -> Model:
     """Trains on at most TRAIN_DOCS labelled rows a language (the smallest by a hash of their id) of at most TRAIN_CHARS characters.
 
-    The sample, at most 20 MB, is trained in one task; only the model (2.6 MB) comes to the driver.
+    The sample, at most 20 MB, is trained in one task; only the model (2.6 MB and at most NEUTRAL_MOST words) comes to the driver.
     """
     rows = docs.select(label_code(F.col("lang")).alias("code"), "text", F.xxhash64("doc_id").alias("h")).where("code is not null and text is not null")
     rows = rows.where(F.length("text").between(1, TRAIN_CHARS))
     w = Window.partitionBy("code").orderBy("h")
     rows = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= TRAIN_DOCS).select("code", "text", "h")
-    got = rows.coalesce(1).sortWithinPartitions("code", "h").select("code", "text").mapInArrow(_train_task, "model binary").collect()
-    flat = np.frombuffer(got[0].model, dtype=np.float32) if got else np.zeros((1 << BUCKETS_LOG2) * len(LANGUAGES), np.float32)
-    return flat.reshape(-1, len(LANGUAGES))
+    got = rows.coalesce(1).sortWithinPartitions("code", "h").select("code", "text").mapInArrow(_train_task, "model binary, neutral array<string>").collect()
+    return _unpack(got[0].model, got[0].neutral) if got else train([], [])
 
 
-def infer(model: np.ndarray, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int, int, float]]], np.ndarray]:
+def infer(model: Model, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int, int, float]]], np.ndarray]:
     """(proportions [text, language], segments of each text as (start, end, language, confidence), confidence of each text)."""
     lines, doc, where = [], [], []
     for i, t in enumerate(texts):
@@ -280,7 +309,7 @@ def _infer_task(sent) -> Callable:  # noqa: ANN001
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("lang", pa.string()), ("proportion", pa.float64()), ("confidence", pa.float64()), ("segments", pa.list_(segment))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = np.frombuffer(sent.value, dtype=np.float32).reshape(-1, len(LANGUAGES))
+        model = _unpack(*sent.value)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -305,7 +334,7 @@ def _infer_task(sent) -> Callable:  # noqa: ANN001
     return run
 
 
-def identify(docs: DataFrame, model: np.ndarray | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document and language it holds: doc_id, label (its code or null), lang, proportion, confidence, segments.
 
     Documents without any sentence (null, blank, codes and numbers only) have one row with lang null. proportion is
@@ -313,7 +342,7 @@ def identify(docs: DataFrame, model: np.ndarray | None = None) -> DataFrame:
     sentences of that language with character offsets. Single foreign terms inside a sentence don't count.
     """
     model = fit_model(docs) if model is None else model
-    sent = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model, dtype=np.float32).tobytes())
+    sent = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(model.table, dtype=np.float32).tobytes(), sorted(model.neutral)))
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), label_code(F.col("lang")).alias("label"), "text").mapInArrow(_infer_task(sent), _SCHEMA)
 
 
