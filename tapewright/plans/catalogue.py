@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tapewright.plans import windows
+from tapewright.plans import recursions, windows
 
-MODULES = (windows,)
+MODULES = (windows, recursions)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
