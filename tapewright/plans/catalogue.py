@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tapewright.plans import joins, recursions, windows
+from tapewright.plans import joins, measures, recursions, windows
 
-MODULES = (windows, recursions, joins)
+MODULES = (windows, recursions, joins, measures)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
