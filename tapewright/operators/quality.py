@@ -19,14 +19,14 @@ def _with_previous(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[s
 
 def gaps(df: DataFrame, keys: Sequence[str], ts: str, period_s: Column, ties: Sequence[str], factor: float = 1.0) -> DataFrame:
     """(keys, from, to, missing): neighbours further apart than period * factor; missing is round-half-even(delta / period) - 1."""
-    p = _with_previous(df.withColumn("_p", period_s), keys, ts, ties)
+    p = _with_previous(df.withColumn("_p", period_s.cast("bigint")), keys, ts, ties)
     delta = (F.unix_micros(ts) - F.unix_micros("prev")) / 1e6
     return p.where(delta > F.col("_p") * factor).select(*keys, F.col("prev").alias("from"), F.col(ts).alias("to"), (F.bround(delta / F.col("_p")) - 1).cast("bigint").alias("missing"))
 
 
 def missing_periods(df: DataFrame, keys: Sequence[str], ts: str, period_s: Column, ties: Sequence[str], tolerance_s: int = 60) -> DataFrame:
     """(keys, expected): each stamp prev + k * period that lies more than the tolerance before the next row."""
-    p = _with_previous(df.withColumn("_p", period_s), keys, ts, ties)
+    p = _with_previous(df.withColumn("_p", period_s.cast("bigint")), keys, ts, ties)
     us = F.unix_micros
     first, last = us("prev") + F.col("_p") * 1_000_000, us(ts) - tolerance_s * 1_000_000 - 1
     n = F.floor((last - first) / (F.col("_p") * 1_000_000)) + 1

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tapewright.plans import checks, joins, measures, recursions, windows
+from tapewright.plans import checks, joins, measures, models, recursions, windows
 
-MODULES = (windows, recursions, joins, measures, checks)
+MODULES = (windows, recursions, joins, measures, checks, models)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}

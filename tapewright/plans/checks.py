@@ -46,7 +46,7 @@ def q_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_RAW}, l AS (SELECT *, lag(ts) OVER (PARTITION BY source, symbol ORDER BY ts, bar_id) AS prev FROM z WHERE ts IS NOT NULL)
-SELECT source, symbol, unnest(range(epoch_us(prev) + p * 1000000, epoch_us(ts) - 60000000, CAST(p * 1000000 AS BIGINT))) AS expected_us FROM l WHERE prev IS NOT NULL""")
+SELECT source, symbol, unnest(range(epoch_us(prev) + p::BIGINT * 1000000, epoch_us(ts) - 60000000, p::BIGINT * 1000000)) AS expected_us FROM l WHERE prev IS NOT NULL""")
 def q_missing(spark: SparkSession, d: str) -> DataFrame:
     return quality.missing_periods(_bars(spark, d), _K, "ts", _period(), ["bar_id"]).select(*_K, F.unix_micros("expected").alias("expected_us"))
 
