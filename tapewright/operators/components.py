@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.runtime import cut
@@ -14,11 +14,16 @@ from tapewright.runtime import cut
 FOLD_EDGES = 200_000
 
 
+def node_id(c: Column | str) -> Column:
+    """16 bytes that stand for a node's name in the rounds."""
+    return F.unhex(F.md5(F.col(c) if isinstance(c, str) else c))
+
+
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Union-find inside a task: edges become stars around the smallest node seen."""
-    top: dict[str, str] = {}
+    top: dict[bytes, bytes] = {}
 
-    def find(x: str) -> str:
+    def find(x: bytes) -> bytes:
         root = x
         while (up := top.setdefault(root, root)) != root:
             root = up
@@ -46,33 +51,30 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """Columns (node, component): every node of `edges` with the smallest node of its component.
+    """(node BINARY, component BINARY): the `node_id` of every node of `edges` with the smallest one of its component.
 
-    Edges are undirected here; null ends are ignored; an empty table gives no rows. Each task first folds its
-    own edges into stars, then alternating large-star and small-star rounds contract them until nothing
-    changes. Minima are pre-aggregated before they are shuffled and joined back, so a hub with a third of all
-    edges is split by the skew join. Each round is checkpointed in the shared folder.
+    Edges are undirected here; null ends are ignored; an empty table gives no rows. Each task first folds its own
+    edges into stars. Edges are kept from the larger to the smaller node; a round links all smaller neighbours of a
+    node to the smallest (small star), then lets every edge jump over its smaller end (large star), until nothing
+    changes. Minima are pre-aggregated before they are shuffled, and joined back one row per node, so a hub with a
+    third of all edges is split by the skew join. Each round is checkpointed in the shared folder.
     """
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    e = cut(e.mapInPandas(_forest, "u string, v string").distinct())
+    e = edges.select(node_id(src).alias("u"), node_id(dst).alias("v")).where("u is not null and v is not null")
+    e = cut(e.mapInPandas(_forest, "u binary, v binary").distinct())
 
-    def lower(df: DataFrame) -> DataFrame:
-        """(u, m): the smallest of u and its neighbours."""
-        return df.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    def least(df: DataFrame) -> DataFrame:
+        return df.groupBy("u").agg(F.min("v").alias("m"))
 
     def state(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return tuple(r)
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = state(e)
     while True:
-        both = e.where("u <> v").select("u", "v").union(e.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        self_ = e.where("u = v")
-        large = both.join(lower(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(self_).distinct()
-        # every row of `large` has u >= v
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct())
+        small = e.join(least(e), "u")
+        small = small.select("u", "m").union(small.where("v <> m").select("v", "m")).toDF("u", "v").distinct()
+        small = cut(small)
+        jump = least(small).select(F.col("u").alias("v"), F.col("m").alias("w"))
+        e = cut(small.join(jump, "v", "left").select("u", F.coalesce("w", "v").alias("v")).distinct())
         after = state(e)
         if after == before:
             break

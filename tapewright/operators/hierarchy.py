@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions.text_keys import hash_key
-from tapewright.operators.components import connected_components
+from tapewright.operators.components import connected_components, node_id
 from tapewright.runtime import cut
 
 #: Relations that make parent_hash a parent of child_hash (fixed values of the data model).
@@ -216,7 +216,7 @@ def _split(edges: DataFrame, max_edges: int) -> tuple[DataFrame, DataFrame | Non
     """Edges with their component: those to co-locate and, if any, those of components beyond `max_edges`."""
     edges = cut(edges)
     labels = connected_components(edges, "parent", "child")
-    with_comp = cut(edges.join(labels, edges.parent == labels.node).select("component", "parent", "child"))
+    with_comp = cut(edges.join(labels, node_id("parent") == F.col("node")).select("component", "parent", "child"))
     big = with_comp.groupBy("component").count().where(F.col("count") > max_edges).select("component")
     if not big.take(1):
         return with_comp, None
