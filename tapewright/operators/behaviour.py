@@ -112,7 +112,7 @@ def kinetics(f: Frames, close: str, seconds: str) -> dict[str, Column]:
 def efficiency_state(f: Frames, close: str, move: str, n: int = 10, least: float = 0.4, bps: float = 2.0) -> Column:
     """UP, DOWN or RANGE by net move against path length of the last n rows (`move` is the row's absolute change); WARMUP before."""
     net, path = F.col(close) - f.lag(close, n), F.sum(move).over(f.last(n))
-    ok = (path > 0) & (F.abs(net) / F.when(path > 0, path) >= least) & (F.abs(net) / f.lag(close, n) * 1e4 >= bps)
+    ok = (path > 0) & (F.round(F.abs(net) / F.when(path > 0, path), 9) >= least) & (F.round(F.abs(net) / f.lag(close, n) * 1e4, 9) >= bps)
     return F.when(f.rn <= n, "WARMUP").when(ok & (net > 0), "UP").when(ok, "DOWN").otherwise("RANGE")
 
 

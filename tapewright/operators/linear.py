@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import special
 from tapewright.operators.blocks import Frames, with_halo
+from tapewright.operators.stats import correlation
 
 
 def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str], weight: Column | None = None) -> DataFrame:
@@ -183,7 +184,7 @@ def cross_lags(df: DataFrame, keys: Sequence[str], x: str, y: str, most: int = 1
     f = Frames(keys=(*keys, "block"))
     shifted = {f"_s{i + most}": (f.lead(y, i) if i > 0 else f.lag(y, -i) if i < 0 else F.col(y)) for i in range(-most, most + 1)}
     d = with_halo(df, before=most, after=most).withColumns(shifted).where("not halo")
-    g = d.groupBy(*keys).agg(F.array(*[F.struct(F.lit(i).alias("lag"), F.corr(x, f"_s{i + most}").alias("corr")) for i in range(-most, most + 1)]).alias("a"))
+    g = d.groupBy(*keys).agg(F.array(*[F.struct(F.lit(i).alias("lag"), correlation(x, f"_s{i + most}").alias("corr")) for i in range(-most, most + 1)]).alias("a"))
     return g.select(*keys, F.explode("a").alias("a")).select(*keys, "a.lag", "a.corr")
 
 

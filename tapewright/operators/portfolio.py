@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapewright.operators.stats import correlation
+
 MOST_ASSETS = 500
 
 
@@ -16,7 +18,7 @@ def covariance_pairs(returns: DataFrame, asset: str, time: str, value: str) -> D
     """
     rows = returns.where(F.col(value).isNotNull()).groupBy(time).agg(F.array_sort(F.collect_list(F.struct(F.col(asset).alias("a"), F.col(value).alias("x")))).alias("v"))
     p = rows.select(F.explode("v").alias("l"), "v").select("l", F.explode(F.filter("v", lambda r: r["a"] >= F.col("l.a"))).alias("r"))
-    return p.groupBy(F.col("l.a").alias("a"), F.col("r.a").alias("b")).agg(F.count("*").alias("n"), F.covar_samp("l.x", "r.x").alias("cov"), F.corr("l.x", "r.x").alias("corr"))
+    return p.groupBy(F.col("l.a").alias("a"), F.col("r.a").alias("b")).agg(F.count("*").alias("n"), F.covar_samp("l.x", "r.x").alias("cov"), correlation("l.x", "r.x").alias("corr"))
 
 
 def moments(returns: DataFrame, asset: str, time: str, value: str) -> tuple[list[str], np.ndarray, np.ndarray]:

