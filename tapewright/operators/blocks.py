@@ -19,7 +19,7 @@ def numbered(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], s
     with a null `ts` come first, in a shard of their own.
     """
     keys = list(keys)
-    shard = F.coalesce(F.floor(F.unix_micros(ts) / F.lit(shard_s * 1_000_000)), F.lit(-(1 << 40)))
+    shard = F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(shard_s * 1_000_000)), F.lit(-(1 << 40)))
     s = df.withColumn("_shard", shard)
     counts = s.groupBy(*keys, "_shard").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapewright.operators.blocks import Frames, numbered, with_halo
 from tapewright.operators.folds import Step, ordered_fold
 
 
@@ -117,11 +118,17 @@ def anchored_clusters(prints: DataFrame, by: str, t_us: str, volume: str, width_
 
 
 def sequence_faults(events: DataFrame, by: str, order: Sequence[str], seq: str) -> DataFrame:
-    """(by, seq, fault): what breaks the strict +1 order of arrival: MISSING, DUPLICATE, REGRESSION or GAP."""
-    w = Window.partitionBy(by).orderBy(*order)
-    last = F.lag(F.col(seq)).over(w)
-    fault = F.when(F.col(seq).isNull(), "MISSING").when(F.col(seq) == last, "DUPLICATE").when(F.col(seq) < last, "REGRESSION").when(F.col(seq) > last + 1, "GAP")
-    return events.withColumn("fault", fault).where("fault is not null").select(by, seq, "fault")
+    """(by, seq, fault): what breaks the strict +1 order of arrival: MISSING, DUPLICATE, REGRESSION or GAP.
+
+    A missing number doesn't count as the last one. `order` starts with a timestamp; blocks with a halo row split a hot stream.
+    """
+    known = events.where(F.col(seq).isNotNull())
+    f = Frames(keys=(by, "block"))
+    d = with_halo(numbered(known.select(by, *order, seq) if seq not in order else known.select(by, *order), [by], order[0], list(order[1:]) or [seq]), before=1)
+    last = f.lag(seq)
+    fault = F.when(F.col(seq) == last, "DUPLICATE").when(F.col(seq) < last, "REGRESSION").when(F.col(seq) > last + 1, "GAP")
+    d = d.withColumn("fault", fault).where("not halo and fault is not null").select(by, seq, "fault")
+    return d.union(events.where(F.col(seq).isNull()).select(by, seq, F.lit("MISSING").alias("fault")))
 
 
 def _ledger() -> Step:

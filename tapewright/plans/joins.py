@@ -103,16 +103,16 @@ def j_trade_side(spark: SparkSession, d: str) -> DataFrame:
     return orderflow.classify_trades(t, q, "k", 86_400_000_000).select("trade_id", "side", "quote_us")
 
 
-@query("""WITH t AS (SELECT source, dataset_id, min(timestamp) AS s, max(timestamp) AS e FROM readings WHERE timestamp IS NOT NULL GROUP BY ALL)
-SELECT l.dataset_id, bool_or(r.dataset_id IS NOT NULL) AS overlaps FROM t l LEFT JOIN t r ON r.source = l.source AND r.dataset_id < 'ds-0000100' AND r.s <= l.e AND r.e >= l.s GROUP BY l.dataset_id""")
+@query("""WITH t AS (SELECT source, dataset_id, timeframe, min(timestamp) AS s, max(timestamp) AS e FROM readings WHERE timestamp IS NOT NULL GROUP BY ALL)
+SELECT l.dataset_id, l.timeframe, bool_or(r.dataset_id IS NOT NULL) AS overlaps FROM t l LEFT JOIN t r ON r.source = l.source AND r.timeframe = 'M15' AND r.s <= l.e AND r.e >= l.s GROUP BY ALL""")
 def j_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a dataset's time span meets that of a dataset of the first hundred of its source."""
+    """Whether a dataset's time span meets that of a quarter-hourly dataset of its source."""
     t = _spans(spark, d)
-    return intervals.overlaps_any(t, t.where("dataset_id < 'ds-0000100'"), ["source"], "s", "e").select("dataset_id", "overlaps")
+    return intervals.overlaps_any(t, t.where("timeframe = 'M15'"), ["source"], "s", "e").select("dataset_id", "timeframe", "overlaps")
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "readings").where("timestamp is not null").groupBy("source", "dataset_id").agg(F.min("timestamp").alias("s"), F.max("timestamp").alias("e"))
+    return table(spark, d, "readings").where("timestamp is not null").groupBy("source", "dataset_id", "timeframe").agg(F.min("timestamp").alias("s"), F.max("timestamp").alias("e"))
 
 
 @query("""WITH t AS (SELECT source, dataset_id, min(timestamp) AS s, max(timestamp) AS e FROM readings WHERE timestamp IS NOT NULL GROUP BY ALL HAVING min(timestamp) < max(timestamp)),
@@ -179,11 +179,12 @@ def j_ledger(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {BARS}, a AS (SELECT split_part(series, '|', 1) AS source, split_part(series, '|', 2) AS symbol, ts, close FROM x)
 SELECT symbol, p.source AS source_a, q.source AS source_b, count(*) FILTER (p.close IS NOT NULL AND q.close IS NOT NULL) AS common, count(*) FILTER (q.close IS NULL) AS missing_b, round(avg(abs(p.close - q.close) / p.close) * 100, 6) AS mape, round(max(abs(p.close - q.close)), 6) AS max_diff
-FROM (SELECT * FROM a WHERE source LIKE 'lynx%') p LEFT JOIN (SELECT * FROM a WHERE source NOT LIKE 'lynx%') q USING (symbol, ts) GROUP BY ALL""")
+FROM (SELECT a.* FROM a JOIN sources s USING (source) WHERE s.kind = 'exchange') p LEFT JOIN (SELECT a.* FROM a JOIN sources s USING (source) WHERE s.kind = 'broker') q USING (symbol, ts) GROUP BY ALL""")
 def j_compare_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Closes of one vendor's sources against the others' at equal stamps: common and missing rows, deviation."""
+    """Closes of exchanges against those of brokers at equal stamps: common and missing rows, deviation."""
     a = clean_bars(spark, d).select(F.split("series", r"\|")[0].alias("source"), F.split("series", r"\|")[1].alias("symbol"), "ts", "close")
-    p = a.where("source like 'lynx%'").select("symbol", "ts", F.col("source").alias("source_a"), F.col("close").alias("a"))
-    q = a.where("source not like 'lynx%'").select("symbol", "ts", F.col("source").alias("source_b"), F.col("close").alias("b"))
+    a = a.join(table(spark, d, "sources").select("source", "kind"), "source")
+    p = a.where("kind = 'exchange'").select("symbol", "ts", F.col("source").alias("source_a"), F.col("close").alias("a"))
+    q = a.where("kind = 'broker'").select("symbol", "ts", F.col("source").alias("source_b"), F.col("close").alias("b"))
     g = p.join(q, ["symbol", "ts"], "left").groupBy("symbol", "source_a", "source_b")
     return g.agg(F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("common"), F.count(F.when(F.col("b").isNull(), 1)).alias("missing_b"), F.round(F.avg(F.abs(F.col("a") - F.col("b")) / F.col("a")) * 100, 6).alias("mape"), F.round(F.max(F.abs(F.col("a") - F.col("b"))), 6).alias("max_diff"))

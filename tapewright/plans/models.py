@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.functions.text_keys import hash_key
-from tapewright.operators import learning, linear, portfolio, resample, retrieval
+from tapewright.operators import graph, learning, linear, portfolio, resample, retrieval
 from tapewright.operators.hierarchy import hierarchy_edges
 from tapewright.plans.base import BARS, W
 from tapewright.plans.measures import returns
@@ -179,3 +179,12 @@ def x_classifier(spark: SparkSession, d: str) -> DataFrame:
 def x_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     """Expanding refits of the logistic model over four folds."""
     return _r(learning.walk_forward(learning.dataset(returns(spark, d)), ["x_ret", "x_range", "x_volume"], folds=4), 6)
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, s AS (SELECT DISTINCT p AS n FROM e WHERE p NOT IN (SELECT c FROM e)), r AS (SELECT n AS start, n AS node, 0 AS distance FROM s UNION SELECT r.start, e.c, r.distance + 1 FROM r JOIN e ON e.p = r.node WHERE r.distance < 5)
+SELECT start, node, CAST(min(distance) AS INTEGER) AS distance FROM r GROUP BY ALL""")
+def x_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    """What every root reaches within five steps, with distances."""
+    e = hierarchy_edges(table(spark, d, "lineage"))
+    roots = e.select(F.col("parent").alias("start")).distinct().join(e.select(F.col("child").alias("start")).distinct(), "start", "left_anti")
+    return graph.shortest_paths(e, roots, hops=5).select("start", "node", "distance")
