@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tapewright.plans import checks, extra, joins, measures, models, recursions, windows
+from tapewright.plans import checks, extra, joins, measures, models, recursions, studies, windows
 
-MODULES = (windows, recursions, joins, measures, checks, models, extra)
+MODULES = (windows, recursions, joins, measures, checks, models, extra, studies)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
