@@ -71,8 +71,8 @@ def _pack_group(capacity: int, linear: float, quadratic: float) -> Callable:
 def assign_containers(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, linear: float = LINEAR, quadratic: float = QUADRATIC) -> DataFrame:
     """(id_col, piece, start_token, n_tokens, container): every item, or every piece of it, in a container.
 
-    Only an item larger than the capacity is split: into full pieces, each a container of its own, and a rest that
-    is packed like an item. Items without tokens, null sizes included, are packed with n_tokens 0. Container numbers
+    Only an item larger than the capacity is split: into full pieces, each of which fills a container, and a rest that
+    is packed like an item; the pieces of a giant item are spread over the groups too. Items without tokens, null sizes included, are packed with n_tokens 0. Container numbers
     are unique over the corpus and the same on every run for the same ids and sizes.
     """
     cap = F.lit(capacity)
@@ -81,11 +81,8 @@ def assign_containers(sizes: DataFrame, id_col: str = "doc_id", size_col: str =
     starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size") - 1, F.lit(0)), cap.cast("bigint"))
     pieces = items.select("id", "size", F.posexplode(starts).alias("piece", "start")).select("id", "piece", "start", F.least(F.col("size") - F.col("start"), cap).alias("n"))
     pieces = cut(pieces)
-    rest = pieces.where(F.col("n") < capacity)
-    tokens = rest.agg(F.sum(F.col("n") + 1)).first()[0] or 0
+    tokens = pieces.agg(F.sum(F.col("n") + 1)).first()[0] or 0
     groups = max(1, -(-int(tokens) // group_tokens))
-    salted = rest.withColumn("grp", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
+    salted = pieces.withColumn("grp", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)))
     packed = salted.groupBy("grp").applyInPandas(_pack_group(capacity, linear, quadratic), "id bigint, piece int, start bigint, n bigint, container bigint")
-    # full pieces: numbers below zero, from the item and the piece
-    full = pieces.where(F.col("n") == capacity).select("id", "piece", "start", "n", (-1 - F.shiftleft(F.abs(F.col("id")), 20) - F.col("piece")).alias("container"))
-    return packed.union(full).toDF(id_col, "piece", "start_token", "n_tokens", "container")
+    return packed.toDF(id_col, "piece", "start_token", "n_tokens", "container")
