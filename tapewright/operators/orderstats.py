@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Shards of a key; a power of two.
 _SPLITS = 64
 
 
@@ -19,8 +20,11 @@ def ordered_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     keys = list(keys)
     vc = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(F.count("*").alias("n"))
     cuts = [i / _SPLITS for i in range(1, _SPLITS)]
-    splits = vc.groupBy(*keys).agg(F.percentile_approx(value, cuts, F.lit(2_000)).alias("_cuts"))
-    s = vc.join(splits, keys).withColumn("_shard", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    splits = vc.groupBy(*keys).agg(F.percentile_approx(value, cuts, F.lit(500)).alias("_cuts"))
+    # how many cuts lie below the value, by bisection: halving steps over the sorted cuts
+    halves = F.array(*[F.lit(_SPLITS >> i) for i in range(1, _SPLITS.bit_length())])
+    shard = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(value), at + step).otherwise(at))
+    s = vc.join(splits, keys).withColumn("_shard", shard).drop("_cuts")
     sums = s.groupBy(*keys, "_shard").agg(F.sum("n").alias("_s"))
     w = Window.partitionBy(*keys).orderBy("_shard")
     offsets = sums.select(*keys, "_shard", F.coalesce(F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"), F.sum("_s").over(Window.partitionBy(*keys)).alias("total"))
