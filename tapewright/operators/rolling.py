@@ -143,9 +143,9 @@ def true_range(f: Frames) -> Column:
     return F.when(pc.isNull(), F.col("high") - F.col("low")).otherwise(F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc), F.abs(F.col("low") - pc)))
 
 
-def atr_simple(f: Frames, tr: str, n: int) -> Column:
-    """Mean of n true ranges; the first bar has none."""
-    return F.when(f.rn > n, F.avg(F.col(tr)).over(f.last(n)))
+def atr_simple(f: Frames, tr: str, n: int, with_first: bool = False) -> Column:
+    """Mean of n true ranges; the first bar has none, or its own range if `with_first`."""
+    return F.when(f.rn >= n if with_first else f.rn > n, F.avg(F.col(tr)).over(f.last(n)))
 
 
 def rsi_simple(f: Frames, diff: str, n: int) -> Column:
@@ -228,15 +228,15 @@ def first_touch(f: Frames, take: float, stop: float, h: int) -> Column:
     return F.when(F.size(v) == h, F.coalesce(hit, F.lit(0)))
 
 
-def barrier_outcome(f: Frames, atr: str, direction: str, take: float = 1.0, stop: float = 1.0, h: int = 16) -> Column:
-    """STRUCT<label, reason, bars, exit>: entry at the next open, barriers at multiples of ATR, held at most h bars.
+def barrier_outcome(f: Frames, atr: str, direction: str, take: float = 1.0, stop: float = 1.0, h: int = 16, entry_at: str = "next_open", both: str = "ambiguous") -> Column:
+    """STRUCT<label, reason, bars, exit>: entry at the next open (or this close), barriers at multiples of ATR, held at most h bars.
 
     Bar by bar: an open beyond a barrier exits at that open; both barriers inside one bar are ambiguous (label
-    null); else the touched barrier; after h bars the close. Fewer bars left: null with reason UNAVAILABLE.
+    null) or, with both="stop", a stop; else the touched barrier; after h bars the close. Fewer bars left: null with reason UNAVAILABLE.
     """
     v = F.collect_list(F.struct("open", "high", "low", "close")).over(f.ahead(h))
     d, a = F.col(direction), F.col(atr)
-    entry = F.get(v, F.lit(0))["open"]
+    entry = F.get(v, F.lit(0))["open"] if entry_at == "next_open" else F.col("close")
     tp, sl = entry + d * take * a, entry - d * stop * a
     none = F.lit(None).cast("struct<label:int,reason:string,bars:int,exit:double,n:int>")
 
@@ -251,7 +251,7 @@ def barrier_outcome(f: Frames, atr: str, direction: str, take: float = 1.0, stop
         new = (
             F.when(gap_lose, out(-1, "OPEN_STOP", n, r["open"]))
             .when(gap_win, out(1, "OPEN_TARGET", n, r["open"]))
-            .when(win & lose, out(None, "AMBIGUOUS", n, r["close"]))
+            .when(win & lose, out(None, "AMBIGUOUS", n, r["close"]) if both == "ambiguous" else out(-1, "STOP", n, sl))
             .when(win, out(1, "TARGET", n, tp))
             .when(lose, out(-1, "STOP", n, sl))
             .otherwise(out(0, "OPEN", n, r["close"]))

@@ -35,12 +35,14 @@ def skewness(x: Column | str, variant: str = "population") -> Column:
 
 
 def kurtosis(x: Column | str, excess: bool = True, variant: str = "population") -> Column:
-    """population: m4 / m2^2; adjusted: the usual small-sample correction. 3 is taken off for the excess."""
+    """population: m4 / m2^2; adjusted: the usual small-sample correction; sample_factor: its factors on the population deviation. 3 is taken off for the excess."""
     x = _c(x)
     n = F.count(x).cast("double")
     k = F.kurtosis(x)
     if variant == "adjusted":
         k = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6))
+    elif variant == "sample_factor":
+        k = F.when(n > 3, n * (n + 1) / ((n - 1) * (n - 2) * (n - 3)) * n * (k + 3) - 3 * (n - 1) * (n - 1) / ((n - 2) * (n - 3)))
     return F.coalesce(_guard((n > 3) & (F.var_pop(x) > 0), k + (0.0 if excess else 3.0)), F.lit(0.0))
 
 
@@ -85,9 +87,9 @@ def annual(r: Column | str, ppy: int = 252) -> Column:
 
 
 def sharpe(r: Column | str, rf: float = 0.0, ppy: int = 252, variant: str = "mean") -> Column:
-    """mean: (mean - rf per period) / sample deviation, annualised by the root; compounded: annual mean over annual deviation; plain: not annualised. 0 when flat."""
+    """mean: (mean - rf per period) / sample deviation, annualised by the root; compounded: annual mean over annual deviation; plain: not annualised; backtest: population deviation plus 1e-8. 0 when flat."""
     s = F.stddev_samp(_c(r))
-    how = {"mean": (F.avg(_c(r)) - rf / ppy) / F.when(s != 0, s) * ppy**0.5, "compounded": (annual(r, ppy) - rf) / F.when(s != 0, s * ppy**0.5), "plain": (F.avg(_c(r)) - rf) / F.when(s != 0, s)}
+    how = {"mean": (F.avg(_c(r)) - rf / ppy) / F.when(s != 0, s) * ppy**0.5, "compounded": (annual(r, ppy) - rf) / F.when(s != 0, s * ppy**0.5), "plain": (F.avg(_c(r)) - rf) / F.when(s != 0, s), "backtest": F.avg(_c(r)) / (F.stddev_pop(_c(r)) + 1e-8) * ppy**0.5}
     return _guard(s != 0, how[variant])
 
 

@@ -158,6 +158,15 @@ def w_barriers(spark: SparkSession, d: str) -> DataFrame:
     return o.select("bar_id", "dir", "o.label", "o.reason", "o.bars", F.round("o.exit", 6).alias("exit"))
 
 
+@query()
+def w_barrier_variants(spark: SparkSession, d: str) -> DataFrame:
+    """The same barriers from this close, a double touch counting as a stop."""
+    df, f = _with_ranges(spark, d, 14, after=16)
+    df = df.withColumn("atr", rolling.atr_simple(f, "tr", 14, with_first=True)).withColumn("dir", F.lit(1))
+    o = own(df.withColumn("o", rolling.barrier_outcome(f, "atr", "dir", 1.0, 1.0, 16, entry_at="close", both="stop")))
+    return o.select("bar_id", "o.label", "o.reason", "o.bars", F.round("o.exit", 6).alias("exit"))
+
+
 @query(f"""WITH {BARS}, m AS (SELECT *, avg(close) OVER a AS fast, avg(close) OVER c AS slow FROM x WINDOW {_w(20, 'a')}, {_w(100, 'c')}),
   k AS (SELECT series, bar_id, ts, rn, round(fast - slow, 9) AS gap, lag(round(fast - slow, 9)) OVER (PARTITION BY series ORDER BY rn) AS was FROM m)
 SELECT series, bar_id, CASE WHEN gap > 0 THEN 'bullish' ELSE 'bearish' END AS direction FROM k WHERE rn > 100 AND ((was <= 0 AND gap > 0) OR (was >= 0 AND gap < 0))""")

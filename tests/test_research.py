@@ -179,3 +179,39 @@ def test_attacks(spark):
     df = spark.createDataFrame([(i, "a" if i % 2 else "b", "r", 0.01 if i != 3 else 5.0) for i in range(100)], "id long, asset string, regime string, y double")
     r = {x.attack: x for x in resample.attacks(df, "y", "asset", "regime", F.floor(F.col("id") / 10), "id", 20).collect()}
     assert r["without best five"].survives and math.isclose(r["without best five"].value, 0.01) and r["chunks"].value == 1.0 and r["omission"].survives
+
+
+def test_barriers_against_brute_force(spark):
+    from tapewright.operators import rolling
+
+    rng = np.random.default_rng(9)
+    n, h = 160, 6
+    o = 100 + rng.normal(size=n).cumsum()
+    c = o + rng.normal(size=n)
+    hi, lo = np.maximum(o, c) + abs(rng.normal(size=n)), np.minimum(o, c) - abs(rng.normal(size=n))
+    d = rng.choice([-1, 1], n)
+    df = spark.createDataFrame(pd.DataFrame({"series": "s", "ts": [T0 + dt.timedelta(minutes=i) for i in range(n)], "bar_id": np.arange(n), "open": o, "high": hi, "low": lo, "close": c, "atr": 1.5, "dir": d}))
+    for entry_at, both, size in (("next_open", "ambiguous", 1000), ("close", "stop", 40)):
+        f = blocks.Frames()
+        b = blocks.with_halo(blocks.numbered(df, ["series"], "ts", ["bar_id"]), after=h, block_rows=size)
+        got = {r.bar_id: (r.o.label, r.o.reason, r.o.bars) for r in b.withColumn("o", rolling.barrier_outcome(f, "atr", "dir", 1.5, 1.0, h, entry_at, both)).where("not halo").collect()}
+        for i in range(n):
+            e = (o[i + 1] if i + 1 < n else None) if entry_at == "next_open" else c[i]
+            want = (None, "UNAVAILABLE", None)
+            if e is not None and i + 1 < n:
+                tp, sl = e + d[i] * 1.5 * 1.5, e - d[i] * 1.5
+                res = None
+                for k, j in enumerate(range(i + 1, min(i + h, n - 1) + 1), 1):
+                    win, lose = (hi[j] >= tp, lo[j] <= sl) if d[i] > 0 else (lo[j] <= tp, hi[j] >= sl)
+                    if d[i] * (o[j] - sl) <= 0:
+                        res = (-1, "OPEN_STOP", k)
+                    elif d[i] * (o[j] - tp) >= 0:
+                        res = (1, "OPEN_TARGET", k)
+                    elif win and lose:
+                        res = (None, "AMBIGUOUS", k) if both == "ambiguous" else (-1, "STOP", k)
+                    elif win or lose:
+                        res = (1, "TARGET", k) if win else (-1, "STOP", k)
+                    if res:
+                        break
+                want = res or ((0, "TIMEOUT", h) if i + h <= n - 1 else want)
+            assert got[i] == want, (i, got[i], want)
