@@ -27,6 +27,17 @@ LAYOUTS = {
     "day_month_name": (rf"(?i)^(?:[a-z]{{3,9}},?\s+)?([0-9]{{1,2}})[ -]+{_MONTH}[ -]+([0-9]{{4}}){_TIME}{_ZONE}", "$3|$2|$1|$4|$5|$6|$7|$8|$9"),
     "month_name_day": (rf"(?i)^(?:[a-z]{{3,9}},?\s+)?{_MONTH}\s+([0-9]{{1,2}}),?\s+([0-9]{{4}}){_TIME}{_ZONE}", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
 }
+#: A cheap test that a layout's texts pass, so that few patterns are tried on a text: the character at a place, or a class at the start.
+_GUARD = {"iso": (5, "-"), "point_ymd": (5, "."), "slash_ymd": (5, "/"), "point_dmy": (".", 3), "slash_mdy": ("/", 3), "slash_dmy": ("/", 3)}
+
+
+def _may_be(clean: Column, layout: str) -> Column:
+    g = _GUARD.get(layout)
+    if g is None:
+        return F.substring(clean, 5, 1).between("0", "9") if layout == "compact" else F.substring(clean, 1, 8).rlike("[A-Za-z]{3}")
+    return F.substring(clean, *([g[0], 1] if isinstance(g[0], int) else [1, g[1]])).contains(g[1] if isinstance(g[0], int) else g[0])
+
+
 #: Units of a bare number: digits before the point that are whole seconds are what is left of these.
 UNITS = {"number_s": 0, "number_ms": 3, "number_us": 6, "number_ns": 9}
 #: Likelihood of a layout by the conventions of the data (slashes: the month first); others weigh 1.
@@ -104,7 +115,7 @@ def parses(rows: DataFrame, text: str, sources: DataFrame, abbrevs: DataFrame) -
     def candidates(x: Column) -> Column:
         """All parses of one text; one lambda per step binds each intermediate value once, so the plan stays small."""
         clean, at_home = x["clean"], x["home"]
-        shapes = F.array(*[F.struct(F.lit(name).alias("layout"), F.when(clean.rlike(p), F.regexp_replace(clean, p, order)).alias("fields")) for name, (p, order) in LAYOUTS.items()])
+        shapes = F.array(*[F.struct(F.lit(name).alias("layout"), F.when(_may_be(clean, name) & clean.rlike(p), F.regexp_replace(clean, p, order)).alias("fields")) for name, (p, order) in LAYOUTS.items()])
         shapes = F.transform(F.filter(shapes, lambda a: a["fields"].isNotNull()), lambda a: F.struct(a["layout"].alias("layout"), F.split(a["fields"], r"\|", -1).alias("f")))
         walls = F.transform(shapes, lambda a: F.struct(a["layout"].alias("layout"), _local_us(a["f"]).alias("local"), F.get(a["f"], F.lit(8)).alias("zone")))
         walls = F.filter(walls, lambda a: a["local"].isNotNull())
