@@ -59,6 +59,8 @@ def apply_split(df: DataFrame, split: DataFrame, ts: str, ties: Sequence[str]) -
     ranges = [tuple(r) for r in split.limit(10_001).collect()]
     if len(ranges) > 10_000:
         raise ValueError("a split has at most 10,000 ranges")
+    if not ranges:
+        return df.limit(0).withColumns({"rn": F.lit(0).cast("bigint"), "fold": F.lit(0), "role": F.lit("")})
     lit = F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(r).alias("role"), F.lit(a).cast("bigint").alias("lo"), F.lit(b).cast("bigint").alias("hi")) for f, r, a, b in ranges])
     x = numbered(df.withColumn("_one", F.lit(1)), ["_one"], ts, ties).drop("_one")
     hit = F.filter(lit, lambda s: (F.col("rn") >= s["lo"]) & (F.col("rn") <= s["hi"]))
