@@ -122,7 +122,10 @@ def parses(rows: DataFrame, text: str, sources: DataFrame, abbrevs: DataFrame) -
         dates = F.transform(walls, lambda a: F.struct(a["layout"].alias("layout"), _utc_us(a["local"], a["zone"], at_home, abbrev_map, zone_map).alias("utc_us")))
         number = clean.rlike(r"^[0-9]{1,25}(\.[0-9]{1,12})?$")
         bare = F.array(*[F.struct(F.lit(name).alias("layout"), F.when(number, _number_us(clean, digits)).alias("utc_us")) for name, digits in UNITS.items()])
-        return F.filter(F.concat(dates, bare), lambda a: a["utc_us"].isNotNull())
+        # the most frequent form admits one layout only, so it needs no further patterns
+        plain = F.array(F.struct(F.lit("iso").alias("layout"), F.unix_micros(clean.try_cast("timestamp")).alias("utc_us")))
+        found = F.when(clean.rlike(CANONICAL), plain).otherwise(F.concat(dates, bare))
+        return F.filter(found, lambda a: a["utc_us"].isNotNull())
 
     one = F.transform(F.array(F.struct(t.alias("clean"), home.alias("home"))), candidates)
     r = r.withColumn("parses", F.get(one, F.lit(0)))
