@@ -40,6 +40,8 @@ _ORDERS = (1, 2, 3, 4)
 #: Nats by which the best language of a sentence must lead, and letters it must have, to be evidence.
 LEAD, LETTERS = 5.0, 6
 PENALTY = 10.0
+#: Expected sentences below which a language is not tried.
+LEAST_SENTENCES = 0.5
 _ROUNDS = 12
 _CHUNK_CHARS = 1_000_000
 
@@ -210,13 +212,19 @@ def mixture(score: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray
         r = share[doc] * rel
         r /= r.sum(axis=1, keepdims=True)
         share[own] = np.add.reduceat(r, firsts, axis=0) / count
-    # penalised choice of the set, where more than one language is left
-    several = np.flatnonzero((share > 1e-3).sum(axis=1) > 1)
+    # penalised choice of the set, where more than one language is left. Pruning by expected sentences, not by share, loses
+    # nothing however long the text: where they sum to less than 0.5, each sentence's responsibility r is below 0.5 and the
+    # language gains at most sum(-log(1 - r)) < 0.7 nats, which PENALTY refuses
+    maybe = np.zeros((n_docs, k), dtype=bool)
+    maybe[own] = share[own] * count >= LEAST_SENTENCES
+    maybe[own, share[own].argmax(axis=1)] = True
+    several = np.flatnonzero(maybe.sum(axis=1) > 1)
+    share[~maybe] = 0.0
     starts = dict(zip(own.tolist(), zip(firsts.tolist(), (firsts + count[:, 0]).tolist())))
     for d in several.tolist():
         a, b = starts[d]
         x = rel[a:b]
-        held = [j for j in np.argsort(share[d]) if share[d, j] > 1e-3]
+        held = [j for j in np.argsort(share[d]) if maybe[d, j]]
         for j in list(held):
             if len(held) == 1:
                 break
@@ -226,7 +234,6 @@ def mixture(score: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray
         p = np.zeros(k)
         p[held] = _proportions(x, held)
         share[d] = p
-    share[own] = np.where(share[own] > 1e-3, share[own], 0.0)
     share[own] /= share[own].sum(axis=1, keepdims=True)
     r = share[doc] * rel + 1e-300
     return share, r / r.sum(axis=1, keepdims=True)

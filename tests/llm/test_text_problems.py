@@ -100,6 +100,17 @@ def test_mixed_and_odd_texts(model):
     assert texts[2][a:b] == de and 0.99 < c <= 1
 
 
+def test_one_foreign_sentence_in_a_long_text(model):
+    en = "Nothing in the log explains why the rows came in after midnight. "
+    de = "Nichts im Protokoll erklärt, warum die Zeilen nach Mitternacht kamen. "
+    for n in (300, 3_000, 30_000):
+        text = en * (n // 2) + de + en * (n - n // 2 - 1)
+        share, segments, _ = languages.infer(model, [text, en * n])
+        assert [{languages.LANGUAGES[k] for k in np.flatnonzero(s)} for s in share] == [{"en", "de"}, {"en"}]
+        assert [(languages.LANGUAGES[k], text[a:b]) for a, b, k, _ in segments[0]][1] == ("de", de.strip()) and len(segments[0]) == 3
+        assert np.isclose(share[0, languages.LANGUAGES.index("de")] * n, 1, atol=0.1)
+
+
 def test_labels(spark):
     cases = {"en": "en", "EN": "en", "en_US": "en", "en-GB": "en", "eng": "en", "English": "en", " german ": "de", "xx": None, "und": None, "": None, None: None, "unknown": None, "zh-Hans-CN": "zh", "pt-BR": "pt"}
     df = spark.createDataFrame([(k,) for k in cases], "lang string")
