@@ -149,6 +149,35 @@ class _Graph:
                     most[v] = max(most.get(v, 0), most[u] + 1)
                     ways[v] = ways.get(v, 0) + ways[u]
 
+    def every_path(self) -> Iterator[tuple]:
+        """Depth-first from each root; only the path walked is held, each step down is one row."""
+        down, into = self.condensed()
+        order = self.topological(down, into)
+        place = {u: i for i, u in enumerate(order)}
+        for root in sorted(u for u in order if not into[u]):
+            reach, todo = {root}, [root]
+            while todo:
+                for v in down[todo.pop()]:
+                    if v not in reach:
+                        reach.add(v)
+                        todo.append(v)
+            most, ways = {root: 0}, {root: 1}
+            for u in sorted(reach, key=place.__getitem__):
+                for v in down[u]:
+                    most[v] = max(most.get(v, 0), most[u] + 1)
+                    ways[v] = ways.get(v, 0) + ways[u]
+            path, stack = [self.names[root]], [iter(down[root])]
+            yield path[0], path[0], 0, 0, 1.0, [*path]
+            while stack:
+                v = next(stack[-1], None)
+                if v is None:
+                    stack.pop()
+                    path.pop()
+                else:
+                    path.append(self.names[v])
+                    stack.append(iter(down[v]))
+                    yield path[-1], path[0], len(path) - 1, most[v], float(min(ways[v], 10**300)), [*path]
+
     def closure(self) -> Iterator[tuple]:
         for u in range(len(self.names)):
             far, edge, step = {}, [u], 0
@@ -202,7 +231,7 @@ def _per_component(what: str, columns: list[str]) -> Callable:
         held, size = [], 0
         for x in run(batches):
             held.append(x)
-            size += len(x)
+            size += int(x["path"].map(len).sum()) if "path" in x else len(x)
             if len(held) >= 500 or size >= 2 * _EMIT:
                 yield pd.concat(held, ignore_index=True)
                 held, size = [], 0
@@ -250,7 +279,8 @@ def _giant_cycles(reach: DataFrame) -> DataFrame:
     return mutual.groupBy("a").agg(F.min("d").alias("cycle_hash")).withColumnRenamed("a", "artifact_hash")
 
 
-def _giant_paths(edges: DataFrame) -> DataFrame:
+def _giant_dag(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges once each cycle is one node, and level 0: every root with the path of itself."""
     cyc = cut(_giant_cycles(_reach_by_doubling(edges)))
     as_ = lambda side: cyc.select(F.col("artifact_hash").alias(side), F.col("cycle_hash").alias(f"{side}_cycle"))
     dag = edges.select("parent", "child").join(as_("parent"), "parent", "left").join(as_("child"), "child", "left")
@@ -259,7 +289,11 @@ def _giant_paths(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.explode(F.array("parent", "child")).alias("x")).distinct().join(as_("x"), "x", "left")
     nodes = nodes.select(F.coalesce("x_cycle", "x").alias("x")).distinct()
     roots = nodes.join(dag.select(F.col("child").alias("x")), "x", "left_anti")
-    level = cut(roots.select(F.col("x").alias("root"), F.col("x").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("ways"), F.array("x").alias("path")))
+    return dag, cut(roots.select(F.col("x").alias("root"), F.col("x").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("ways"), F.array("x").alias("path")))
+
+
+def _giant_paths(edges: DataFrame) -> DataFrame:
+    dag, level = _giant_dag(edges)
     levels = level
     while level.take(1):
         step = level.join(dag.select(F.col("parent").alias("node"), "child"), "node")
@@ -269,6 +303,17 @@ def _giant_paths(edges: DataFrame) -> DataFrame:
     return levels.groupBy("root", "node").agg(F.min("depth").alias("depth"), F.max("depth").alias("max_depth"), F.sum("ways").alias("n_paths"), F.min_by("path", "depth").alias("path")).select(F.col("node").alias("artifact_hash"), F.col("root").alias("root_hash"), "depth", "max_depth", "n_paths", "path")
 
 
+def _giant_every_path(edges: DataFrame) -> DataFrame:
+    dag, level = _giant_dag(edges)
+    levels = level = level.drop("ways")
+    while level.take(1):
+        step = level.join(dag.select(F.col("parent").alias("node"), "child"), "node")
+        level = cut(step.select("root", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path")))
+        levels = levels.union(level)
+    pairs = levels.groupBy("root", "node").agg(F.max("depth").alias("max_depth"), F.count("*").cast("double").alias("n_paths"))
+    return levels.join(pairs, ["root", "node"]).select(F.col("node").alias("artifact_hash"), F.col("root").alias("root_hash"), "depth", "max_depth", "n_paths", "path")
+
+
 def cycles(lineage: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """(artifact_hash, cycle_hash): every artifact on a directed cycle, self-edges included.
 
@@ -292,6 +337,17 @@ def paths(lineage: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     return out if giant is None else out.union(_giant_paths(giant))
 
 
+def every_path(lineage: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
+    """One row per path from a root to an artifact: its steps (depth), the path, and of its artifact and root the longest depth and number of paths.
+
+    Roots and cycles as in `paths`. The rows are as many as the paths, which may grow exponentially where parents
+    multiply; they are streamed, so a task holds one path and what it has not yet sent.
+    """
+    small, giant = _split(hierarchy_edges(lineage), max_edges)
+    out = _colocated(small, "every_path", PATH_SCHEMA)
+    return out if giant is None else out.union(_giant_every_path(giant))
+
+
 def descendants(lineage: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """(artifact_hash, descendant_hash, distance): all descendants with the fewest steps; a cycle's member is its own descendant."""
     small, giant = _split(hierarchy_edges(lineage), max_edges)

@@ -18,7 +18,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.paths(table(spark, d, "lineage")).withColumn("path", F.array_join("path", ">"))
+    return hierarchy.every_path(table(spark, d, "lineage")).withColumn("path", F.array_join("path", ">"))
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:

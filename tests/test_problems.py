@@ -40,6 +40,27 @@ def test_cycles_paths_and_descendants_of_a_small_graph(spark):
     assert hierarchy.cycles(df.limit(0)).count() == 0 and hierarchy.paths(df.limit(0)).count() == 0
 
 
+def test_every_path_from_every_root(spark):
+    df = lineage(spark, [("r", "a", "feeds"), ("r", "b", "feeds"), ("a", "c", "feeds"), ("b", "c", "feeds"), ("a", "b", "feeds"), ("s", "b", "feeds"), ("c", "d", "feeds"), ("d", "c", "feeds"), ("d", "e", "feeds")])
+    want = {"r": (0, 1), "r>a": (1, 1), "r>b": (2, 2), "r>a>b": (2, 2), "r>a>c": (3, 3), "r>b>c": (3, 3), "r>a>b>c": (3, 3), "r>a>c>e": (4, 3), "r>b>c>e": (4, 3), "r>a>b>c>e": (4, 3)}
+    want |= {"s": (0, 1), "s>b": (1, 1), "s>b>c": (2, 1), "s>b>c>e": (3, 1)}
+    for most in (hierarchy.MAX_EDGES, 3):
+        got = hierarchy.every_path(df, most).collect()
+        assert {">".join(r.path): (r.max_depth, r.n_paths) for r in got} == want and len(got) == len(want)
+        assert all((r.root_hash, r.artifact_hash, r.depth) == (r.path[0], r.path[-1], len(r.path) - 1) for r in got)
+    assert hierarchy.every_path(df.limit(0)).count() == 0
+
+
+def test_p1_paths_leaves_no_path_out(spark):
+    t = problems.p1_paths(spark, SF).toPandas()
+    one = hierarchy.paths(table(spark, SF, "lineage")).toPandas()
+    n = t.groupby(["artifact_hash", "root_hash"]).agg(rows=("path", "nunique"), all=("path", "size"), shortest=("depth", "min"), longest=("depth", "max")).reset_index()
+    m = n.merge(one, on=["artifact_hash", "root_hash"], how="outer")
+    assert len(m) == len(one) < len(t) == one.n_paths.sum()
+    assert (m.rows == m.n_paths).all() and (m["all"] == m.n_paths).all() and (m.shortest == m.depth).all() and (m.longest == m.max_depth).all()
+    assert rows(hierarchy.every_path(table(spark, SF, "lineage"), max_edges=3).withColumn("path", F.array_join("path", ">")).toPandas()) == rows(t)
+
+
 def test_a_long_chain_and_a_hub(spark):
     df = lineage(spark, [(f"n{i:04}", f"n{i + 1:04}", "feeds") for i in range(1500)] + [("hub", f"leaf{i}", "feeds") for i in range(3000)])
     assert hierarchy.paths(df).agg(F.max("depth"), F.count("*")).first()[:] == (1500, 4502)
