@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions.text_keys import hash_key
+from tapewright.operators import graph
 from tapewright.operators.components import connected_components, node_id
 from tapewright.runtime import cut
 
@@ -27,6 +28,7 @@ _EMIT = 20_000
 CYCLE_SCHEMA = "artifact_hash string, cycle_hash string"
 PATH_SCHEMA = "artifact_hash string, root_hash string, depth int, max_depth int, n_paths double, path array<string>"
 CLOSURE_SCHEMA = "artifact_hash string, descendant_hash string, distance int"
+REACH_SCHEMA = "start string, node string, distance int, path array<string>"
 
 
 def hierarchy_edges(lineage: DataFrame) -> DataFrame:
@@ -178,6 +180,34 @@ class _Graph:
                     stack.append(iter(down[v]))
                     yield path[-1], path[0], len(path) - 1, most[v], float(min(ways[v], 10**300)), [*path]
 
+    def from_roots(self) -> Iterator[tuple]:
+        yield from self._breadth_first([sorted(x) for x in self.down])
+
+    def from_roots_undirected(self) -> Iterator[tuple]:
+        near: list[set[int]] = [set(x) for x in self.down]
+        for u, x in enumerate(self.down):
+            for v in x:
+                near[v].add(u)
+        yield from self._breadth_first([sorted(x) for x in near])
+
+    def _breadth_first(self, near: list[list[int]]) -> Iterator[tuple]:
+        """From each node without a parent; nodes are met in order of their paths, so the first way to a node is the smallest shortest."""
+        for root in sorted({*range(len(near))} - {v for x in self.down for v in x}):
+            before, edge, step = {root: -1}, [root], 0
+            while edge:
+                ahead = []
+                for u in edge:
+                    path, x = [], u
+                    while x >= 0:
+                        path.append(self.names[x])
+                        x = before[x]
+                    yield self.names[root], self.names[u], step, path[::-1]
+                    for v in near[u]:
+                        if v not in before:
+                            before[v] = u
+                            ahead.append(v)
+                edge, step = ahead, step + 1
+
     def closure(self) -> Iterator[tuple]:
         for u in range(len(self.names)):
             far, edge, step = {}, [u], 0
@@ -353,3 +383,16 @@ def descendants(lineage: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     small, giant = _split(hierarchy_edges(lineage), max_edges)
     out = _colocated(small, "closure", CLOSURE_SCHEMA)
     return out if giant is None else out.union(_reach_by_doubling(giant).toDF("artifact_hash", "descendant_hash", "distance"))
+
+
+def shortest_from_roots(lineage: DataFrame, directed: bool = True, max_edges: int = MAX_EDGES) -> DataFrame:
+    """(start, node, distance, path): `graph.shortest_paths` from every artifact without a parent, with no limit of steps.
+
+    Components are co-located, so depth costs no jobs; those beyond `max_edges` go level by level.
+    """
+    small, giant = _split(hierarchy_edges(lineage), max_edges)
+    out = _colocated(small, "from_roots" if directed else "from_roots_undirected", REACH_SCHEMA)
+    if giant is None:
+        return out
+    starts = giant.select(F.col("parent").alias("start")).distinct().join(giant.select(F.col("child").alias("start")), "start", "left_anti")
+    return out.union(graph.shortest_paths(giant.select("parent", "child"), starts, directed))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewright.functions.text_keys import hash_key
-from tapewright.operators import graph, learning, linear, portfolio, resample, retrieval
+from tapewright.operators import graph, hierarchy, learning, linear, portfolio, resample, retrieval
 from tapewright.operators.hierarchy import hierarchy_edges
 from tapewright.plans.base import BARS, W
 from tapewright.plans.measures import returns
@@ -188,3 +188,15 @@ def x_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     e = hierarchy_edges(table(spark, d, "lineage"))
     roots = e.select(F.col("parent").alias("start")).distinct().join(e.select(F.col("child").alias("start")).distinct(), "start", "left_anti")
     return graph.shortest_paths(e, roots, hops=5).select("start", "node", "distance")
+
+
+@query()
+def x_all_shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    """What every root reaches, however many steps away, with distances."""
+    return hierarchy.shortest_from_roots(table(spark, d, "lineage")).select("start", "node", "distance")
+
+
+@query()
+def x_undirected_paths(spark: SparkSession, d: str) -> DataFrame:
+    """A shortest path from every root to every artifact joined to it by edges of either direction."""
+    return hierarchy.shortest_from_roots(table(spark, d, "lineage"), directed=False).withColumn("path", F.array_join("path", ">"))

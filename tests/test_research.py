@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewright.functions import registry, scalars
-from tapewright.operators import behaviour, blocks, chance, graph, learning, macro, quality, research, resample, retrieval, splits
-from tapewright.plans import base
-from conftest import SF
+from tapewright.operators import behaviour, blocks, chance, graph, hierarchy, learning, macro, quality, research, resample, retrieval, splits
+from tapewright.plans import base, models, problems
+from conftest import SF, rows
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -124,6 +124,37 @@ def test_graph(spark):
     assert sorted(r.node for r in graph.missing_ends(e, spark.createDataFrame([("a",), ("b",), ("c",)], "id string"), "id").collect()) == ["d", "x"]
 
 
+def test_shortest_paths_from_roots_have_no_limit_of_steps(spark):
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(12)]
+    edges = [*chain, ("n00", "n02"), ("b", "n11"), ("n12", "n10"), ("s", "s"), ("p", "q"), ("a", "p"), ("a", "r"), ("r", "q")]
+    df = spark.createDataFrame([(a, b, "feeds") for a, b in edges], "parent_hash string, child_hash string, relation string")
+    roots = {a for a, _ in edges} - {b for _, b in edges}
+
+    def brute(pairs):
+        out = {}
+        for r in roots:
+            level = [(r,)]
+            while level:
+                for p in sorted(level, reverse=True):
+                    out[r, p[-1]] = (len(p) - 1, list(p))
+                level = [(*p, b) for p in level for a, b in pairs if a == p[-1] and (r, b) not in out]
+        return out
+
+    for directed, pairs in ((True, edges), (False, [*edges, *((b, a) for a, b in edges)])):
+        for most in (hierarchy.MAX_EDGES, 6):
+            got = hierarchy.shortest_from_roots(df, directed, most).collect()
+            assert {(r.start, r.node): (r.distance, r.path) for r in got} == brute(pairs) and len(got) == len(brute(pairs))
+
+
+def test_registered_shortest_paths_reach_beyond_five_steps(spark):
+    q = models.QUERIES
+    near, whole = (rows(q[n](spark, SF).toPandas()) for n in ("x_shortest_paths", "x_all_shortest_paths"))
+    assert near == rows(q["x_all_shortest_paths"](spark, SF).where("distance <= 5").toPandas()) and len(whole) > len(near)
+    reach = problems.p1_descendants(spark, SF).toPandas()
+    roots = reach[~reach.artifact_hash.isin(reach.descendant_hash)]
+    assert len(whole) == len(roots) + roots.artifact_hash.nunique()
+
+
 def test_permutation_importance(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2_000, 2))
