@@ -34,12 +34,12 @@ def _r(df: DataFrame, digits: int = 8) -> DataFrame:
 
 @query()
 def x_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return _r(resample.bootstrap_interval(returns(spark, d), ["series"], "ret", "bar_id", 500), 10)
+    return _r(resample.bootstrap_interval(returns(spark, d), ["series"], "ret", "bar_id"), 10)
 
 
 @query()
 def x_block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return _r(resample.block_bootstrap_interval(returns(spark, d).drop("rn"), ["series"], "ret", "ts", ["bar_id"], 20, 500), 10)
+    return _r(resample.block_bootstrap_interval(returns(spark, d).drop("rn"), ["series"], "ret", "ts", ["bar_id"], 20), 10)
 
 
 @query()
@@ -54,15 +54,15 @@ def x_simulations(spark: SparkSession, d: str) -> DataFrame:  # noqa: ARG001
 
 @query()
 def x_growth(spark: SparkSession, d: str) -> DataFrame:
-    """Resampled growth of each series: quantiles over 500 replicates."""
-    g = resample.resampled_terminals(returns(spark, d), ["series"], "ret", "bar_id", 500)
+    """Resampled growth of each series: quantiles over 1,000 replicates."""
+    g = resample.resampled_terminals(returns(spark, d), ["series"], "ret", "bar_id")
     return _r(g.groupBy("series").agg(*[F.percentile("growth", F.lit(q)).alias(n) for n, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))]), 8)
 
 
 @query()
 def x_attacks(spark: SparkSession, d: str) -> DataFrame:
     r = returns(spark, d).withColumns({"asset": F.split("series", r"\|")[1], "regime": F.when(F.hour("ts") < 7, "asia").when(F.hour("ts") < 13, "london").otherwise("new york")})
-    return _r(resample.attacks(r, "ret", "asset", "regime", F.pmod(F.floor(F.unix_micros("ts") / F.lit(86_400_000_000)), F.lit(10)), "bar_id", 50), 10)
+    return _r(resample.attacks(r, "ret", "asset", "regime", F.pmod(F.floor(F.unix_micros("ts") / F.lit(86_400_000_000)), F.lit(10)), "bar_id", 1000), 10)
 
 
 @query(f"""{_R}, q AS (SELECT series, ret AS y, ln(1 + volume) AS a, (high - low) / close AS b FROM v) SELECT series, 'intercept' AS term, count(*) AS rows, round(regr_intercept(y, b), 8) AS coefficient, round(regr_r2(y, b), 6) AS r2 FROM q GROUP BY series

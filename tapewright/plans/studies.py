@@ -35,7 +35,7 @@ def r_condition(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def r_conditional(spark: SparkSession, d: str) -> DataFrame:
     """The next return after each sign of the present one, with bootstrap intervals."""
-    return _r(research.conditional_statistics(_next(spark, d), ["series", "state"], "nxt", "state", "bar_id", 200), 10)
+    return _r(research.conditional_statistics(_next(spark, d), ["series", "state"], "nxt", "state", "bar_id"), 10)
 
 
 @query("""WITH o AS (SELECT o_orderdate AS day, round(o_totalprice, -4) AS amount, o_custkey FROM orders) SELECT epoch_us(day) AS day_us, amount AS low, amount AS high, CAST(count(DISTINCT o_custkey) AS INTEGER) AS people, count(*) AS rows FROM o GROUP BY day, amount HAVING count(DISTINCT o_custkey) >= 3""")

@@ -1,6 +1,7 @@
 """Probability, research, macro, registry, graph and learning operators against closed forms and brute force."""
 
 import datetime as dt
+import inspect
 import math
 from itertools import product
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import registry, scalars
 from tapewright.operators import behaviour, blocks, chance, graph, hierarchy, learning, macro, quality, research, resample, retrieval, splits
-from tapewright.plans import base, models, problems
+from tapewright.plans import base, models, problems, studies
 from conftest import SF, rows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -155,6 +156,21 @@ def test_registered_shortest_paths_reach_beyond_five_steps(spark):
     assert len(whole) == len(roots) + roots.artifact_hash.nunique()
 
 
+def test_registered_replicates_are_the_defaults_or_the_references(spark, monkeypatch):
+    means, seen = resample.bootstrap_means, {}
+
+    def recorded(*a, **k):
+        seen[name] = inspect.signature(means).bind(*a, **k).arguments.get("reps", 1000)
+        return means(*a, **k)
+
+    attack = resample.attacks
+    monkeypatch.setattr(resample, "bootstrap_means", recorded)
+    monkeypatch.setattr(resample, "attacks", lambda *a: seen.update(x_attacks=inspect.signature(attack).bind(*a).arguments["reps"]) or attack(*a))
+    for name in ("x_bootstrap", "x_block_bootstrap", "x_growth", "x_attacks", "r_conditional"):
+        {**models.QUERIES, **studies.QUERIES}[name](spark, SF)
+    assert seen == {"x_bootstrap": 1000, "x_block_bootstrap": 1000, "x_growth": 1000, "x_attacks": 1000, "r_conditional": 500}
+
+
 def test_permutation_importance(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2_000, 2))
