@@ -133,7 +133,7 @@ def r_polynomial(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def r_reaction(spark: SparkSession, d: str) -> DataFrame:
     """How long volume reacts to large returns."""
-    return _r(research.reaction_delay(returns(spark, d), ["series"], "ret", "volume", most=10), 6)
+    return _r(research.reaction_delay(returns(spark, d), ["series"], "ret", "volume"), 6)
 
 
 @query()

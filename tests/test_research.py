@@ -171,6 +171,11 @@ def test_registered_replicates_are_the_defaults_or_the_references(spark, monkeyp
     assert seen == {"x_bootstrap": 1000, "x_block_bootstrap": 1000, "x_growth": 1000, "x_attacks": 1000, "r_conditional": 500}
 
 
+def test_registered_reaction_has_twenty_lags(spark):
+    lags = studies.QUERIES["r_reaction"](spark, SF).groupBy("series").agg(F.collect_set("lag").alias("l")).collect()
+    assert lags and all(sorted(r.l) == list(range(21)) for r in lags)
+
+
 def test_permutation_importance(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2_000, 2))
