@@ -72,8 +72,11 @@ SELECT f.symbol, epoch_us(f.ts) AS at_us, CAST(f.h AS INTEGER) AS days, round(ar
 FROM f JOIN v m ON m.symbol = f.symbol AND m.ts > f.ts AND m.ts <= f.fts GROUP BY f.symbol, f.ts, f.h""")
 def j_forward_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """For each daily bar and horizon: return, best and worst excursion up to the first bar at or after the horizon."""
-    most = 2 * max(_H) + 2
-    df = with_halo(numbered(daily(spark, d), ["symbol"], "ts", ["close"]), after=most)
+    df = daily(spark, d)
+    # a horizon's rows lie in two neighbouring spans of that length, and the bar that ends it is the next one
+    span = F.floor(F.unix_micros("ts") / F.lit(max(_H) * 86_400_000_000))
+    most = 2 * (df.groupBy("symbol", span).count().agg(F.max("count")).first()[0] or 0) + 1
+    df = with_halo(numbered(df, ["symbol"], "ts", ["close"]), after=most)
     f = Frames(keys=("symbol", "block"))
     v = F.collect_list(F.struct("ts", "high", "low", "close")).over(f.ahead(most))
     df = own(df.withColumn("v", v)).withColumn("days", F.explode(F.array(*map(F.lit, _H))))

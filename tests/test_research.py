@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tapewright.functions import registry, scalars
 from tapewright.operators import behaviour, blocks, chance, graph, hierarchy, learning, macro, quality, research, resample, retrieval, splits
-from tapewright.plans import base, models, problems, studies
+from tapewright.plans import base, joins, models, problems, studies
 from conftest import SF, rows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -176,6 +176,16 @@ def test_registered_reaction_has_twenty_lags(spark):
     assert lags and all(sorted(r.l) == list(range(21)) for r in lags)
 
 
+def test_forward_outcomes_of_dense_bars(spark, tmp_path):
+    """Six stamps a day: the first bar at or after 20 days is 120 rows ahead."""
+    n = 200
+    df = pd.DataFrame({"daily_id": range(n), "symbol": "A", "timestamp": [T0 + dt.timedelta(hours=4 * i) for i in range(n)], "high": 2.0 + np.arange(n), "low": 0.5 + np.arange(n), "close": 1.0 + np.arange(n), "received_at": T0})
+    spark.createDataFrame(df).write.parquet(str(tmp_path / "daily_bars.parquet"))
+    got = joins.QUERIES["j_forward_outcomes"](spark, str(tmp_path)).where("days = 20").orderBy("at_us").collect()
+    assert len(got) == n - 120
+    assert all(math.isclose(r.ret, 120 / (i + 1), abs_tol=1e-7) and math.isclose(r.mfe, 121 / (i + 1), abs_tol=1e-7) and math.isclose(r.mae, 0.5 / (i + 1), abs_tol=1e-7) for i, r in enumerate(got))
+
+
 def test_permutation_importance(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2_000, 2))
