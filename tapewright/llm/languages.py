@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ LABELS = {
 }
 #: Bounds of the training sample: rows per language and characters per row. It is the same share of nothing else.
 TRAIN_DOCS, TRAIN_CHARS = 400, 5_000
+#: Candidates for the sample in multiples of TRAIN_DOCS; where fewer than one in SPARE is short enough, the sample is smaller.
+SPARE = 6
 BUCKETS_LOG2 = 16
 _ORDERS = (1, 2, 3, 4)
 #: Nats by which the best language of a sentence must lead, and letters it must have, to be evidence.
@@ -44,9 +47,11 @@ PENALTY = 10.0
 LEAST_SENTENCES = 0.5
 _ROUNDS = 12
 _CHUNK_CHARS = 1_000_000
+#: Characters whose n-grams are made at once, and tokens and characters that a task holds scores of.
+_GRAM_CHARS, _HELD_TOKENS, _HELD_CHARS = 20_000, 200_000, 4_000_000
 
-#: A word that this many languages use (NEUTRAL_USES times each) names no language: symbols, borrowed terms. The most frequent are kept.
-NEUTRAL_LANGUAGES, NEUTRAL_USES, NEUTRAL_MOST = 4, 2, 5_000
+#: A word that this many languages use (NEUTRAL_USES times each) names no language: symbols, borrowed terms.
+NEUTRAL_LANGUAGES, NEUTRAL_USES = 4, 2
 
 
 class Model(NamedTuple):
@@ -96,15 +101,15 @@ def normalised(lines: list[str], neutral: frozenset[str] = frozenset()) -> str:
     return "\n".join(" ".join([w for w in x.split(" ") if w not in neutral]) for x in text.split("\n"))
 
 
-def _grams(lines: list[str], neutral: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket of each n-gram, its line, letters of each line)."""
-    text = " " + normalised(lines, neutral).replace("\n", " \n ") + " "
+def _grams(tokens: list[str], neutral: frozenset[str] = frozenset()) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Per order (bucket of each n-gram, its token in ascending order), and the letters of each token."""
+    text = " " + normalised(tokens, neutral).replace("\n", " \n ") + " "
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     brk = code == 10
-    line = np.cumsum(brk) - 0
+    owner = np.cumsum(brk)
     letter = (code != 32) & ~brk
-    letters = np.bincount(line[letter], minlength=len(lines))
-    buckets, owner = [], []
+    letters = np.bincount(owner[letter], minlength=len(tokens))
+    out = []
     h = np.zeros(len(code), dtype=np.uint64)
     cross = np.zeros(len(code), dtype=bool)
     only_space = np.ones(len(code), dtype=bool)
@@ -118,17 +123,80 @@ def _grams(lines: list[str], neutral: frozenset[str] = frozenset()) -> tuple[np.
         if n in _ORDERS:
             keep = ~(cross | only_space)
             x = (h[keep] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            buckets.append((x >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64))
-            owner.append(line[:m][keep])
-    if not buckets:
-        return np.empty(0, np.int64), np.empty(0, np.int64), letters
-    return np.concatenate(buckets), np.concatenate(owner), letters
+            out.append(((x >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64), owner[:m][keep]))
+    return out, letters
+
+
+def _chunks(tokens: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of tokens small enough for a processor's cache."""
+    start = size = 0
+    for i, t in enumerate(tokens):
+        if size and size + len(t) > _GRAM_CHARS:
+            yield start, i
+            start, size = i, 0
+        size += len(t) + 1
+    if start < len(tokens):
+        yield start, len(tokens)
+
+
+def _line_sums(values: np.ndarray, per_line: np.ndarray) -> np.ndarray:
+    """Sums of the tokens' values over each line."""
+    out = np.zeros((len(per_line), *values.shape[1:]), dtype=np.float64 if values.dtype.kind == "f" else values.dtype)
+    there = np.flatnonzero(per_line)
+    if len(there):
+        out[there] = np.add.reduceat(values, (np.cumsum(per_line) - per_line)[there], axis=0)
+    return out
+
+
+class Scores:
+    """Log-likelihoods of tokens (runs without white space) under a model, each distinct token scored once while it is held.
 
+    n-grams end at white space, so a line's likelihood is the sum of its tokens'. What is held is bounded in tokens and characters.
+    """
 
-def _model(buckets: np.ndarray, lang: np.ndarray) -> np.ndarray:
-    """Log probabilities [bucket, language], smoothed towards the corpus as a whole."""
-    size = 1 << BUCKETS_LOG2
-    counts = np.stack([np.bincount(buckets[lang == k], minlength=size) for k in range(len(LANGUAGES))], axis=1).astype(np.float64)
+    def __init__(self, model: Model):
+        self.model = model
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chars = 0
+        self.score = np.zeros((0, self.model.table.shape[1]), dtype=np.float32)
+        self.letters, self.wide = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def _add(self, tokens: list[str]) -> None:
+        score = np.zeros((len(tokens), self.score.shape[1]), dtype=np.float32)
+        letters = np.zeros(len(tokens), dtype=np.int64)
+        for a, b in _chunks(tokens):
+            grams, letters[a:b] = _grams(tokens[a:b], self.model.neutral)
+            for bucket, owner in grams:
+                if len(bucket):
+                    firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                    score[a + owner[firsts]] += np.add.reduceat(self.model.table[bucket], firsts, axis=0)
+        # n-grams of all orders overlap: their likelihoods are averaged over the orders
+        self.score = np.concatenate([self.score, score / len(_ORDERS)])
+        self.letters = np.r_[self.letters, letters]
+        self.wide = np.r_[self.wide, np.fromiter((0 if t.isascii() else len(_WIDE.findall(t)) for t in tokens), np.int64, len(tokens))]
+        for t in tokens:
+            self.number[t] = len(self.number)
+            self.chars += len(t)
+
+    def of(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """([line, language] log-likelihood, letters, wide characters and tokens of each line)."""
+        if len(self.number) > _HELD_TOKENS or self.chars > _HELD_CHARS:
+            self._clear()
+        split = [x.split() for x in lines]
+        per_line = np.fromiter(map(len, split), np.int64, len(split))
+        flat = list(chain.from_iterable(split))
+        fresh = [t for t in dict.fromkeys(flat) if t not in self.number]
+        if fresh:
+            self._add(fresh)
+        at = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        return _line_sums(self.score[at], per_line), _line_sums(self.letters[at], per_line), _line_sums(self.wide[at], per_line), per_line
+
+
+def _model(counts: np.ndarray) -> np.ndarray:
+    """Log probabilities [bucket, language] from counts, smoothed towards the corpus as a whole."""
     whole = counts.sum(axis=1, keepdims=True) + 0.05
     whole /= whole.sum()
     total = counts.sum(axis=0, keepdims=True)
@@ -139,34 +207,28 @@ def _model(buckets: np.ndarray, lang: np.ndarray) -> np.ndarray:
 
 def likelihoods(model: Model, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """([line, language] log-likelihood of its n-grams per order, letters of each line)."""
-    out = np.zeros((len(lines), model.table.shape[1]))
-    letters = np.zeros(len(lines), dtype=np.int64)
-    start = 0
-    while start < len(lines):
-        end, size = start, 0
-        while end < len(lines) and (size == 0 or size + len(lines[end]) <= _CHUNK_CHARS):
-            size += len(lines[end]) + 1
-            end += 1
-        b, owner, let = _grams(lines[start:end], model.neutral)
-        letters[start:end] = let
-        if len(b):
-            order = np.argsort(owner, kind="stable")
-            b, owner = b[order], owner[order]
-            firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            # n-grams of all orders overlap: their likelihoods are averaged over the orders
-            out[start + owner[firsts]] = np.add.reduceat(model.table[b], firsts, axis=0, dtype=np.float64) / len(_ORDERS)
-        start = end
-    return out, letters
+    score, letters, _, _ = Scores(model).of(lines)
+    return score, letters
+
+
+def _bucket_counts(tokens: list[str], uses: np.ndarray, neutral: frozenset[str]) -> np.ndarray:
+    """[bucket, language] counts of the n-grams of `tokens`, each used `uses` [token, language] times."""
+    size, k = 1 << BUCKETS_LOG2, uses.shape[1]
+    out = np.zeros((size, k))
+    for a, b in _chunks(tokens):
+        for bucket, owner in _grams(tokens[a:b], neutral)[0]:
+            at, lang = np.nonzero(uses[a:b][owner])
+            out += np.bincount(bucket[at] * k + lang, weights=uses[a + owner[at], lang], minlength=size * k).reshape(size, k)
+    return out
 
 
-def _neutral(lines: list[str], lang: np.ndarray) -> frozenset[str]:
+def _neutral(tokens: list[str], uses: np.ndarray) -> frozenset[str]:
     """Words in sentences of many languages."""
-    uses: dict[str, Counter] = {}
-    for x, k in zip(normalised(lines).split("\n"), lang.tolist()):
+    per: dict[str, np.ndarray] = {}
+    for x, n in zip(normalised(tokens).split("\n"), uses):
         for w in x.split():
-            uses.setdefault(w, Counter())[k] += 1
-    shared = [(sum(c.values()), w) for w, c in uses.items() if sum(n >= NEUTRAL_USES for n in c.values()) >= NEUTRAL_LANGUAGES]
-    return frozenset(w for _, w in sorted(shared, reverse=True)[:NEUTRAL_MOST])
+            per[w] = per[w] + n if w in per else n
+    return frozenset(w for w, n in per.items() if (n >= NEUTRAL_USES).sum() >= NEUTRAL_LANGUAGES)
 
 
 def train(texts: list[str], codes: list[str]) -> Model:
@@ -176,21 +238,33 @@ def train(texts: list[str], codes: list[str]) -> Model:
         for a, b in sentences(t):
             lines.append(t[a:b])
             lang.append(LANGUAGES.index(c))
+    k = len(LANGUAGES)
     now = label = np.array(lang, dtype=np.int64)
-    seen = np.bincount(label, minlength=len(LANGUAGES)) > 0
+    seen = np.bincount(label, minlength=k) > 0
+    split = [x.split() for x in lines]
+    per_line = np.fromiter(map(len, split), np.int64, len(split))
+    number: dict[str, int] = {}
+    at = np.fromiter((number.setdefault(t, len(number)) for t in chain.from_iterable(split)), np.int64, int(per_line.sum()))
+    tokens = list(number)
+
+    def uses(kept: np.ndarray) -> np.ndarray:
+        """How often each token occurs in the kept lines of each language."""
+        m = np.repeat(kept, per_line)
+        return np.bincount(at[m] * k + np.repeat(now, per_line)[m], minlength=len(tokens) * k).reshape(len(tokens), k)
+
     neutral: frozenset[str] = frozenset()
+    kept = np.ones(len(lines), dtype=bool)
     for again in range(3):
-        b, owner, letters = _grams(lines, neutral) if lines else (np.empty(0, np.int64),) * 3
-        keep = letters[owner] >= (LETTERS if again else 0)
-        table = _model(b[keep], now[owner[keep]])
+        table = _model(_bucket_counts(tokens, uses(kept), neutral))
         table[:, ~seen] = table.min() - 5.0
         if again == 2 or not lines:
             break
-        score, _ = likelihoods(Model(table, neutral), lines)
+        score, letters = likelihoods(Model(table, neutral), lines)
         ranked = np.sort(score, axis=1)
         sure = (ranked[:, -1] - ranked[:, -2] >= LEAD) & (letters >= LETTERS)
         now = np.where(sure, score.argmax(axis=1), label)
-        neutral = _neutral([x for x, s in zip(lines, sure) if s], now[sure])
+        kept = letters >= LETTERS
+        neutral = _neutral(tokens, uses(sure))
     return Model(table, neutral)
 
 
@@ -240,11 +314,10 @@ def mixture(score: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray
 
 
 def _proportions(x: np.ndarray, held: list[int]) -> np.ndarray:
-    p = np.full(len(held), 1.0 / len(held))
+    p, y = np.full(len(held), 1.0 / len(held)), x[:, held]
     for _ in range(_ROUNDS):
-        r = p * x[:, held] + 1e-300
-        p = (r / r.sum(axis=1, keepdims=True)).mean(axis=0)
-    return p
+        p = p * ((1.0 / (y @ p + 1e-300)) @ y) / len(y)
+    return p / p.sum()
 
 
 def _fit(x: np.ndarray, held: list[int]) -> float:
@@ -268,30 +341,42 @@ def _unpack(table: bytes, neutral: list[str]) -> Model:
 def fit_model(docs: DataFrame) -> Model:
     """Trains on at most TRAIN_DOCS labelled rows a language (the smallest by a hash of their id) of at most TRAIN_CHARS characters.
 
-    The sample, at most 20 MB, is trained in one task; only the model (2.6 MB and at most NEUTRAL_MOST words) comes to the driver.
+    Labels are counted first, over all rows; the counts give each language a bound on the hash below which about SPARE times
+    as many rows lie, so what is shuffled and ranked does not grow with the table or its number of tasks. The sample, at most
+    20 MB, is trained in one task; only the model (2.6 MB and the sample's shared words) comes to the driver.
     """
-    rows = docs.select(label_code(F.col("lang")).alias("code"), "text", F.xxhash64("doc_id").alias("h")).where("code is not null and text is not null")
+    code = label_code(F.col("lang"))
+    counts = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).select(code.alias("code"), "n").where("code is not null").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    if not counts:
+        return train([], [])
+    share = {r.code: min(1.0, SPARE * TRAIN_DOCS / r.n) for r in counts}
+    below = F.coalesce(*[F.when(F.col("code") == c, F.lit(min(int((2 * x - 1) * 2**63), 2**63 - 1))) for c, x in sorted(share.items())])
+    rows = docs.select(code.alias("code"), "text", F.xxhash64("doc_id").alias("h")).where("code is not null").where(F.col("h") <= below)
     rows = rows.where(F.length("text").between(1, TRAIN_CHARS))
-    w = Window.partitionBy("code").orderBy("h")
+    w = Window.partitionBy("code").orderBy("h", "text")
     rows = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= TRAIN_DOCS).select("code", "text", "h")
-    got = rows.coalesce(1).sortWithinPartitions("code", "h").select("code", "text").mapInArrow(_train_task, "model binary, neutral array<string>").collect()
+    got = rows.coalesce(1).sortWithinPartitions("code", "h", "text").select("code", "text").mapInArrow(_train_task, "model binary, neutral array<string>").collect()
     return _unpack(got[0].model, got[0].neutral) if got else train([], [])
 
 
-def infer(model: Model, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int, int, float]]], np.ndarray]:
+def infer(model: Model | Scores, texts: list[str | None]) -> tuple[np.ndarray, list[list[tuple[int, int, int, float]]], np.ndarray]:
     """(proportions [text, language], segments of each text as (start, end, language, confidence), confidence of each text)."""
+    return _infer(model if isinstance(model, Scores) else Scores(model), texts)[:3]
+
+
+def _infer(scores: Scores, texts: list[str | None]) -> tuple:
+    """What `infer` gives, and the most likely language of each text from all its letters: (language or -1, probability)."""
     lines, doc, where = [], [], []
     for i, t in enumerate(texts):
         for a, b in sentences(t) if t else ():
             lines.append(t[a:b])
             doc.append(i)
             where.append((a, b))
-    score, letters = likelihoods(model, lines)
+    score, letters, wide, words = scores.of(lines)
     at = np.array(doc, dtype=np.int64)
-    ranked = np.sort(score, axis=1) if len(score) else score
-    wide = np.array([len(_WIDE.findall(x)) for x in lines]) if lines else np.zeros(0)
-    enough = (letters >= LETTERS) & ((wide >= 4) | np.array([x.count(" ") + x.count(" ") + x.count("　") + x.count("\t") >= 2 for x in lines])) if lines else np.zeros(0, bool)
-    evidence = enough & (ranked[:, -1] - ranked[:, -2] >= LEAD) if len(score) else np.zeros(0, bool)
+    ranked = np.sort(score, axis=1)
+    enough = (letters >= LETTERS) & ((wide >= 4) | (words >= 3))
+    evidence = enough & (ranked[:, -1] - ranked[:, -2] >= LEAD)
     share, resp = mixture(score[evidence], at[evidence], len(texts))
     segments: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     for j, (i, r) in enumerate(zip(np.flatnonzero(evidence).tolist(), resp)):
@@ -304,8 +389,12 @@ def infer(model: Model, texts: list[str | None]) -> tuple[np.ndarray, list[list[
             s.append((a, b, k, float(r[k])))
     conf = np.zeros(len(texts))
     for d, s in enumerate(segments):
-        conf[d] = float(np.mean([x[3] for x in s])) if s else 0.0
-    return share, segments, conf
+        conf[d] = sum(x[3] for x in s) / len(s) if s else 0.0
+    whole, some = np.zeros((len(texts), score.shape[1])), np.zeros(len(texts), dtype=np.int64)
+    np.add.at(whole, at, score)
+    np.add.at(some, at, letters)
+    odds = np.exp(whole - whole.max(axis=1, keepdims=True))
+    return share, segments, conf, np.where(some > 0, whole.argmax(axis=1), -1), 1.0 / odds.sum(axis=1)
 
 
 _SCHEMA = "doc_id bigint, label string, lang string, proportion double, confidence double, segments array<struct<start:int,end:int,lang:string,confidence:double>>"
@@ -316,18 +405,19 @@ def _infer_task(sent) -> Callable:  # noqa: ANN001
     schema = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("lang", pa.string()), ("proportion", pa.float64()), ("confidence", pa.float64()), ("segments", pa.list_(segment))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _unpack(*sent.value)
+        scores = Scores(_unpack(*sent.value))
         for batch in batches:
             at = 0
+            long = pc.fill_null(pc.utf8_length(batch.column(2)), 0).to_pylist()
             while at < batch.num_rows:
                 end, size = at, 0
                 while end < batch.num_rows and size < _CHUNK_CHARS:
-                    size += len(batch.column(2)[end].as_py() or "")
+                    size += long[end]
                     end += 1
                 b = batch.slice(at, end - at)
                 at = end
                 ids, labels, texts = (b.column(i).to_pylist() for i in range(3))
-                share, segments, conf = infer(model, texts)
+                share, segments, conf, likely, odds = _infer(scores, texts)
                 rows = []
                 for i, (doc, label) in enumerate(zip(ids, labels)):
                     held = np.flatnonzero(share[i] > 0)
@@ -335,7 +425,7 @@ def _infer_task(sent) -> Callable:  # noqa: ANN001
                         own = [{"start": a, "end": e, "lang": LANGUAGES[j], "confidence": c} for a, e, j, c in segments[i] if j == k]
                         rows.append((doc, label, LANGUAGES[k], float(share[i, k]), float(conf[i]), own))
                     if not len(held):
-                        rows.append((doc, label, None, None, None, []))
+                        rows.append((doc, label, LANGUAGES[likely[i]], None, float(odds[i]), []) if likely[i] >= 0 else (doc, label, None, None, None, []))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
@@ -344,9 +434,10 @@ def _infer_task(sent) -> Callable:  # noqa: ANN001
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document and language it holds: doc_id, label (its code or null), lang, proportion, confidence, segments.
 
-    Documents without any sentence (null, blank, codes and numbers only) have one row with lang null. proportion is
-    the language's share of the sentences; confidence the mean over the document's segments; segments are runs of
-    sentences of that language with character offsets. Single foreign terms inside a sentence don't count.
+    proportion is the language's share of the sentences that are evidence; confidence the mean over the document's segments;
+    segments are runs of sentences of that language with character offsets. Single foreign terms inside a sentence don't
+    count. Documents without any sentence that is evidence have one row with proportion null: its most likely language from
+    whatever letters it has, with that language's probability, or lang null without letters (null, blank, numbers only).
     """
     model = fit_model(docs) if model is None else model
     sent = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(model.table, dtype=np.float32).tobytes(), sorted(model.neutral)))
@@ -355,4 +446,4 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def wrong_labels(found: DataFrame) -> DataFrame:
     """(doc_id, lang): of `identify`'s rows, the languages of documents whose label is missing or wrong or that hold several."""
-    return found.where(F.col("lang").isNotNull() & (F.col("label").isNull() | (F.col("label") != F.col("lang")) | (F.col("proportion") < 1.0))).select("doc_id", "lang")
+    return found.where(F.col("proportion").isNotNull() & (F.col("label").isNull() | (F.col("label") != F.col("lang")) | (F.col("proportion") < 1.0))).select("doc_id", "lang")

@@ -123,3 +123,19 @@ def test_found_rows_are_unique_and_empty_tables_work(spark):
     assert found.count() == found.distinct().count() > 0
     empty = table(spark, SF, "documents").limit(0)
     assert languages.wrong_labels(languages.identify(empty)).count() == 0
+
+
+def test_texts_without_a_whole_sentence_still_get_a_language(spark, model):
+    df = spark.createDataFrame([(1, "Nichts", None), (2, "2024-05-01 17", "en"), (3, "", None), (4, None, "de")], "doc_id long, text string, lang string")
+    found = languages.identify(df, model)
+    got = {r.doc_id: (r.lang, r.proportion) for r in found.collect()}
+    assert got == {1: ("de", None), 2: (None, None), 3: (None, None), 4: (None, None)}
+    assert languages.wrong_labels(found).count() == 0
+
+
+def test_scores_of_held_tokens_equal_those_of_fresh_ones(model, monkeypatch):
+    texts = ["Nichts im Protokoll erklärt die Zeilen. The log explains nothing at all.", "夜勤の担当者は損失上限を退けた。", "x" * 50] * 40
+    once = languages.infer(languages.Scores(model), texts)[0]
+    monkeypatch.setattr(languages, "_HELD_TOKENS", 3)
+    again = languages.Scores(model)
+    assert all((languages.infer(again, [t])[0][0] == once[i]).all() for i, t in enumerate(texts))
