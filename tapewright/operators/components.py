@@ -51,7 +51,7 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
-    """(node BINARY, component BINARY): the `node_id` of every node of `edges` with the smallest one of its component.
+    """(node BINARY, component BINARY): the `node_id` of every node of `edges` (given as such, or by name) with the smallest one of its component.
 
     Edges are undirected here; null ends are ignored; an empty table gives no rows. Each task first folds its own
     edges into stars. Edges are kept from the larger to the smaller node; a round links all smaller neighbours of a
@@ -59,7 +59,8 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     changes. Minima are pre-aggregated before they are shuffled, and joined back one row per node, so a hub with a
     third of all edges is split by the skew join. Each round is checkpointed in the shared folder.
     """
-    e = edges.select(node_id(src).alias("u"), node_id(dst).alias("v")).where("u is not null and v is not null")
+    as_id = lambda c: node_id(c) if edges.schema[c].dataType.typeName() == "string" else F.col(c)
+    e = edges.select(as_id(src).alias("u"), as_id(dst).alias("v")).where("u is not null and v is not null")
     e = cut(e.mapInPandas(_forest, "u binary, v binary").distinct())
 
     def least(df: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Method: connected components are found, each component is co-located, and an iterative depth-first
 traversal with node colouring walks it; a back edge (into a grey node) closes a cycle, and low-links over
-the back edges give each cycle's members. A component of more than `max_edges` edges is never put into one
-task: it takes the distributed way (closure by path doubling, level-wise paths), which gives the same rows.
+the back edges give each cycle's members. A component of more than `max_edges` edges is more than one task may
+hold: its nodes are coloured by rounds over its edges instead (`coloured`) and its paths grow level by level, with
+the same rows. Cycles are sought only among edges that are left once nodes without parents or without children are
+peeled off, so most of a hierarchy never reaches the traversal.
 """
 
 from __future__ import annotations
@@ -33,12 +35,13 @@ REACH_SCHEMA = "start string, node string, distance int, path array<string>"
 
 def hierarchy_edges(lineage: DataFrame) -> DataFrame:
     """Distinct (parent, child) of the hierarchy rows of `lineage`; null hashes or relations and mere references go."""
+    return _hierarchy_rows(lineage).distinct()
+
+
+def _hierarchy_rows(lineage: DataFrame) -> DataFrame:
     rel = F.lower(F.regexp_replace("relation", r"^\s+|\s+$", ""))
-    return (
-        lineage.where(rel.isin(*HIERARCHY_RELATIONS) & F.col("parent_hash").isNotNull() & F.col("child_hash").isNotNull())
-        .select(hash_key("parent_hash").alias("parent"), hash_key("child_hash").alias("child"))
-        .distinct()
-    )
+    named = lineage.where(rel.isin(*HIERARCHY_RELATIONS) & F.col("parent_hash").isNotNull() & F.col("child_hash").isNotNull())
+    return named.select(hash_key("parent_hash").alias("parent"), hash_key("child_hash").alias("child"))
 
 
 class _Graph:
@@ -272,10 +275,11 @@ def _per_component(what: str, columns: list[str]) -> Callable:
 
 
 def _split(edges: DataFrame, max_edges: int) -> tuple[DataFrame, DataFrame | None]:
-    """Edges with their component: those to co-locate and, if any, those of components beyond `max_edges`."""
+    """Edges with their component: those to co-locate and, if any, those of components beyond `max_edges`. Ends may be names or `node_id`s."""
     edges = cut(edges)
     labels = connected_components(edges, "parent", "child")
-    with_comp = cut(edges.join(labels, node_id("parent") == F.col("node")).select("component", "parent", "child"))
+    node = node_id("parent") if edges.schema["parent"].dataType.typeName() == "string" else F.col("parent")
+    with_comp = cut(edges.join(labels, node == F.col("node")).select("component", "parent", "child"))
     big = with_comp.groupBy("component").count().where(F.col("count") > max_edges).select("component")
     if not big.take(1):
         return with_comp, None
@@ -302,16 +306,73 @@ def _reach_by_doubling(edges: DataFrame) -> DataFrame:
         size, reach = tuple(state), new
 
 
-def _giant_cycles(reach: DataFrame) -> DataFrame:
-    on = reach.where("a = d").select("a")
-    back = reach.select(F.col("d").alias("a"), F.col("a").alias("d"))
-    mutual = reach.select("a", "d").join(on, "a", "left_semi").join(back, ["a", "d"], "left_semi")
-    return mutual.groupBy("a").agg(F.min("d").alias("cycle_hash")).withColumnRenamed("a", "artifact_hash")
+def _peel(edges: DataFrame) -> DataFrame:
+    """Edges from a node with a parent to a node with children: all others lie on no cycle."""
+    kept = edges.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+    return cut(kept.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child"))
+
+
+def _peeled(edges: DataFrame, least: float = 0.2) -> DataFrame:
+    """`edges` peeled as long as a round takes off a share of `least` or more (0: until nothing goes)."""
+    n = edges.count()
+    while n:
+        edges = _peel(edges)
+        left = edges.count()
+        if n - left <= least * n:
+            break
+        n = left
+    return edges
+
+
+def _reached(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """`label` (node, colour) carried along the edges until each node has the smallest label of what reaches it.
+
+    A node also takes the label of its label, which reaches it as well, so long chains take few rounds.
+    """
+    state = None
+    while True:
+        moved = edges.join(label.withColumnRenamed("node", "parent"), "parent").select(F.col("child").alias("node"), "colour")
+        ahead = label.select(F.col("node").alias("colour"), F.col("colour").alias("further"))
+        jumped = label.join(ahead, "colour", "left").select("node", F.least("colour", "further").alias("colour"))
+        label = cut(jumped.union(moved).groupBy("node").agg(F.min("colour").alias("colour")))
+        now = label.agg(F.sum(F.xxhash64("node", "colour").cast("decimal(38,0)"))).first()[0]
+        if now == state:
+            return label
+        state = now
+
+
+def coloured(edges: DataFrame) -> DataFrame:
+    """(artifact_hash, cycle_hash) of parent-child `edges`: every node on a cycle with the smallest node of its cycle.
+
+    Nodes are coloured forward with the smallest node that reaches them; those of a colour that also reach its own node
+    are one strongly connected set. They are taken off and the rest is coloured again. Rows of a round are the edges
+    and nodes that are left; nothing is paired and no task holds a component.
+    """
+    found: DataFrame | None = None
+    while (edges := _peeled(edges, 0.0)).take(1):
+        nodes = edges.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
+        label = _reached(edges, nodes.select("node", F.col("node").alias("colour")))
+        side = lambda c: label.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
+        same = cut(edges.join(side("parent"), "parent").join(side("child"), "child").where("parent_colour = child_colour").select("parent", "child"))
+        members = cut(label.where("node = colour"))
+        edge = members
+        while edge.take(1):
+            back = same.join(edge.withColumnRenamed("node", "child"), "child").select(F.col("parent").alias("node"), "colour").distinct()
+            edge = cut(back.join(members, "node", "left_anti"))
+            members = members.union(edge)
+        members = cut(members)
+        loops = edges.where("parent = child").select(F.col("parent").alias("node"))
+        alone = members.groupBy("colour").agg(F.count("*").alias("n")).where("n = 1").select("colour").join(loops.withColumnRenamed("node", "colour"), "colour", "left_anti")
+        new = members.join(alone, "colour", "left_anti").select(F.col("node").alias("artifact_hash"), F.col("colour").alias("cycle_hash"))
+        found = new if found is None else found.union(new)
+        gone = members.select("node")
+        edges = cut(edges.join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").join(gone.withColumnRenamed("node", "child"), "child", "left_anti").select("parent", "child"))
+    return edges.toDF("artifact_hash", "cycle_hash") if found is None else found
 
 
 def _giant_dag(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges once each cycle is one node, and level 0: every root with the path of itself."""
-    cyc = cut(_giant_cycles(_reach_by_doubling(edges)))
+    cyc = cut(coloured(edges.select("parent", "child")))
     as_ = lambda side: cyc.select(F.col("artifact_hash").alias(side), F.col("cycle_hash").alias(f"{side}_cycle"))
     dag = edges.select("parent", "child").join(as_("parent"), "parent", "left").join(as_("child"), "child", "left")
     dag = dag.select(F.coalesce("parent_cycle", "parent").alias("parent"), F.coalesce("child_cycle", "child").alias("child")).where("parent <> child").distinct()
@@ -350,9 +411,17 @@ def cycles(lineage: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     cycle_hash is the smallest member of the cycle (strongly connected set). Null hashes or relations, other
     relations, repeated edges and extra columns change nothing; an empty table gives no rows.
     """
-    small, giant = _split(hierarchy_edges(lineage), max_edges)
-    out = _colocated(small, "cycles", CYCLE_SCHEMA)
-    return out if giant is None else out.union(_giant_cycles(_reach_by_doubling(giant)))
+    rows = _hierarchy_rows(lineage)
+    edges = _peeled(cut(rows.select(node_id("parent").alias("parent"), node_id("child").alias("child")).distinct()))
+    small, giant = _split(edges, max_edges)
+    out = _colocated(small, "cycles", CYCLE_SCHEMA.replace("string", "binary"))
+    if giant is not None:
+        out = out.union(coloured(giant.select("parent", "child")))
+    # names come back for what is on a cycle; the smallest id of a cycle stands for it until its smallest name is known
+    names = rows.select(F.explode(F.array("parent", "child")).alias("name")).select(node_id("name").alias("artifact_hash"), "name")
+    named = cut(names.join(out, "artifact_hash").groupBy("artifact_hash", "cycle_hash").agg(F.first("name").alias("name")))
+    least = named.groupBy("cycle_hash").agg(F.min("name").alias("least"))
+    return named.join(least, "cycle_hash").select(F.col("name").alias("artifact_hash"), F.col("least").alias("cycle_hash"))
 
 
 def paths(lineage: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:

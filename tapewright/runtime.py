@@ -29,11 +29,13 @@ def session(app: str = "tapewright", master: str | None = None, **conf: str) ->
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where it is unset (tests) make one."""
+    """Use the folder the cluster names in spark.checkpoint.dir; where it is unset, a local session makes one and a cluster's raises."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"tapewright-checkpoint-{os.getuid()}"))
 
 

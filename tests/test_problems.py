@@ -66,6 +66,29 @@ def test_a_long_chain_and_a_hub(spark):
     assert hierarchy.paths(df).agg(F.max("depth"), F.count("*")).first()[:] == (1500, 4502)
 
 
+def test_cycles_of_a_component_of_a_million_edges(spark):
+    n = 1_000_000  # a binary tree; some nodes lead back three levels up
+    name = lambda c: F.lpad(c.cast("string"), 7, "0")
+    down = spark.range(2, n).select(name(F.floor(F.col("id") / 2)).alias("parent_hash"), name(F.col("id")).alias("child_hash"), F.lit("feeds").alias("relation"))
+    up = spark.range(8, n).where("id % 997 = 7").select(name(F.col("id")), name(F.floor(F.col("id") / 8)), F.lit("feeds"))
+    top: dict[int, int] = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for i in range(8, n):
+        if i % 997 == 7:
+            for j in (i >> 1, i >> 2, i >> 3):
+                a, b = find(i), find(j)
+                top[max(a, b)] = min(a, b)
+    want = {f"{i:07}": f"{find(i):07}" for i in list(top)}
+    assert dict(map(tuple, hierarchy.cycles(down.union(up), max_edges=1_000).collect())) == want
+    edges = down.union(up).select(F.col("parent_hash").alias("parent"), F.col("child_hash").alias("child"))
+    assert dict(map(tuple, hierarchy.coloured(edges).collect())) == want
+
+
 def test_a_corrected_history_equals_a_fresh_one(spark):
     rng = random.Random(2)
     days = [dt.datetime(2024, 1, 1, 12, tzinfo=UTC) + dt.timedelta(days=i) for i in range(70)]
