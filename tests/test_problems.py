@@ -248,6 +248,17 @@ def test_ambiguity_is_marked():
     assert out.layout[0] == "slash_mdy"
 
 
+def test_a_source_outweighs_the_conventions(spark):
+    src = spark.createDataFrame([("a", None)], "source string, zone_name string")
+    ab = spark.createDataFrame([], "abbrev string, offset_minutes int")
+    day_first = [(i, "a", f"{13 + i % 15}/{1 + i % 12}/2024") for i in range(2500)]
+    for n, want in ((2500, ("2024-06-05", "read", "read", "contrary")), (100, ("2024-05-06", "ambiguous", "contrary", "read")), (0, ("2024-05-06", "read", None, "read"))):
+        df = spark.createDataFrame([*day_first[:n], (9000, "a", "05/06/2024"), (9001, "a", "05/16/2024")], "record_id long, source string, timestamp string")
+        got = {int(r.record_key): r for r in stamps.normalise_stamps(df, "record_id", "timestamp", src, ab).where("record_key in (0, 9000, 9001)").collect()}
+        assert got[9000].utc_us == (at(want[0]) - at("1970-01-01")) / dt.timedelta(microseconds=1)
+        assert (got[9000].status, got[0].status if n else None, got[9001].status) == want[1:]
+
+
 @pytest.mark.parametrize("name", sorted(problems.QUERIES))
 def test_queries_have_unique_found_rows(spark, name):
     df = problems.QUERIES[name](spark, SF)
