@@ -9,6 +9,8 @@ built-in expressions without lambdas, one per text's own layout.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,14 +152,13 @@ def parses(rows: DataFrame, text: str, sources: DataFrame, abbrevs: DataFrame) -
     return r.withColumn("signature", signature).select(*rows.columns, "utc_us", "exchanged_us", "signature")
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """EM of one source's layout mixture over its signature counts; rows (source, signature, layout, posterior, contrary).
+def _mixture(signatures: list[str], count: list[int]) -> tuple[list[str], list[float], list[bool]]:
+    """EM of one source's layout mixture over its signature counts: (layout, posterior, contrary) of each signature.
 
     The most probable mixture under PRIOR: conventions decide where a source's texts say nothing, and lose to them where
     they say otherwise. contrary tells that a text's only layout is less probable at this source than the one it excludes.
     """
-    sets = [s.split("|") for s in pdf["signature"]]
-    count = pdf["n"].to_numpy(float)
+    sets = [s.split("|") for s in signatures]
     rival = EXCHANGED | {b: a for a, b in EXCHANGED.items()}
     names = sorted({y for s in sets for x in s for y in (x, rival.get(x, x))})
     prior = {x: PRIOR.get(x, 1.0) for x in names}
@@ -180,22 +181,50 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
             break
     best = [max(p, key=lambda x: (p[x], x)) for p in post]
     contrary = [len(p) == 1 and b in rival and share[rival[b]] > share[b] for p, b in zip(post, best)]
-    return pd.DataFrame({"source": pdf["source"], "signature": pdf["signature"], "layout": best, "posterior": [p[b] for p, b in zip(post, best)], "contrary": contrary})
+    return best, [p[b] for p, b in zip(post, best)], contrary
+
+
+def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows (source, signature, layout, posterior, contrary) of one source's signature counts."""
+    layout, posterior, contrary = _mixture(pdf["signature"].tolist(), pdf["n"].tolist())
+    return pd.DataFrame({"source": pdf["source"], "signature": pdf["signature"], "layout": layout, "posterior": posterior, "contrary": contrary})
+
+
+def _fit_sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """`_mixture` of every source, over rows sorted by source; holds one source's signatures, which are as few as the layouts' combinations."""
+    names = ["source", "signature", "layout", "posterior", "contrary"]
+
+    def rows_of(group: list[tuple]) -> list[tuple]:
+        sig = [g[1] for g in group]
+        return list(zip([g[0] for g in group], sig, *_mixture(sig, [g[2] for g in group])))
+
+    group: list[tuple] = []
+    for b in batches:
+        out: list[tuple] = []
+        for row in zip(b["source"].tolist(), b["signature"].tolist(), b["n"].tolist()):
+            if group and row[0] != group[0][0]:
+                out += rows_of(group)
+                group = []
+            group.append(row)
+        if out:
+            yield pd.DataFrame(out, columns=names)
+    if group:
+        yield pd.DataFrame(rows_of(group), columns=names)
 
 
-def normalise_stamps(rows: DataFrame, key: str, text: str, sources: DataFrame, abbrevs: DataFrame) -> DataFrame:
-    """(record_key, source, text, utc_us, layout, posterior, status, canonical) of each row of `rows`.
+def normalise_stamps(rows: DataFrame, key: str, text: str, sources: DataFrame, abbrevs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, record_key, source, text, utc_us, layout, posterior, status, canonical) of each row of `rows`.
 
     status is read, ambiguous (the posterior stays below CERTAIN), contrary (only readable by a layout that the source's
     mixture holds for the less probable one, such as a day before the month between slashes) or unreadable (null, blank,
     placeholder, impossible; utc_us null). Digits finer than microseconds are cut off. A null source or zone means UTC, an
     unknown zone name makes the source's zoneless texts unreadable.
     """
-    r = rows.select(F.coalesce("source", F.lit("")).alias("source"), F.col(key).cast("string").alias("record_key"), F.col(text).alias("text"))
+    r = rows.select(*keep, F.coalesce("source", F.lit("")).alias("source"), F.col(key).cast("string").alias("record_key"), F.col(text).alias("text"))
     p = cut(parses(r, "text", sources, abbrevs))
     counts = p.where("signature <> ''").groupBy("source", "signature").agg(F.count("*").alias("n"))
-    fit = counts.groupBy("source").applyInPandas(_fit, "source string, signature string, layout string, posterior double, contrary boolean")
+    fit = counts.repartition("source").sortWithinPartitions("source").mapInPandas(_fit_sources, "source string, signature string, layout string, posterior double, contrary boolean")
     out = p.join(fit, ["source", "signature"], "left")
     chosen = F.when(F.col("layout").isin(*EXCHANGED.values()), F.col("exchanged_us")).otherwise(F.col("utc_us"))
     status = F.when(F.col("layout").isNull(), "unreadable").when(F.col("posterior") < CERTAIN, "ambiguous").when(F.col("contrary"), "contrary").otherwise("read")
-    return out.select("record_key", "source", "text", chosen.alias("utc_us"), "layout", "posterior", status.alias("status"), F.coalesce(F.col("text").rlike(CANONICAL), F.lit(False)).alias("canonical"))
+    return out.select(*keep, "record_key", "source", "text", chosen.alias("utc_us"), "layout", "posterior", status.alias("status"), F.coalesce(F.col("text").rlike(CANONICAL), F.lit(False)).alias("canonical"))

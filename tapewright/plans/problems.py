@@ -72,13 +72,10 @@ def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular_grid.regular_grid(table(spark, d, "readings")).withColumn("close", F.round("close", 6))
 
 
-def _stamps(spark: SparkSession, d: str, origin: str, key: str, text: str) -> DataFrame:
-    out = stamps.normalise_stamps(table(spark, d, origin), key, text, table(spark, d, "sources"), table(spark, d, "zone_abbrevs"))
-    return out.select(F.lit(origin).alias("origin"), "*")
-
-
 def p7_stamps(spark: SparkSession, d: str) -> DataFrame:
-    return _stamps(spark, d, "feed_records", "record_id", "timestamp").union(_stamps(spark, d, "datasets", "id", "start_time"))
+    one = lambda origin, key, text: table(spark, d, origin).select(F.lit(origin).alias("origin"), "source", F.col(key).cast("string").alias("key"), F.col(text).alias("stamp"))
+    both = one("feed_records", "record_id", "timestamp").union(one("datasets", "id", "start_time"))
+    return stamps.normalise_stamps(both, "key", "stamp", table(spark, d, "sources"), table(spark, d, "zone_abbrevs"), keep=("origin",))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
