@@ -3,7 +3,8 @@
 The state of a day is yesterday's totals plus today's arrivals minus the amounts that expire today, so a day
 costs the same for any period length. Amounts are exact decimals: sums that are added and later taken off
 again leave no rounding error, and a corrected history equals a fresh one bit for bit. Corrections
-(`advance`) recompute only the days a changed day can reach and give those a new version.
+(`advance`) recompute only the days a changed day can reach and give those a new version. `maintained` runs both: the
+state of what arrived in time, then the corrections by what came late.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.functions.text_keys import symbol_key
+from tapewright.runtime import cut
 
 PERIODS = (7, 30)
+#: How long after its stamp a row is received in time; later ones are corrections.
+IN_TIME = "1 day"
 #: Amounts are held in units of 1e-8; finer digits are rounded half up, values beyond 1e20 become null.
 _AMOUNT = "decimal(28,8)"
 _TOTAL = "decimal(38,8)"
@@ -47,66 +51,118 @@ def daily_amounts(rows: DataFrame) -> DataFrame:
     )
 
 
-def _spine(daily: DataFrame) -> DataFrame:
-    """(symbol, day): each calendar day between the first and the last active day. At most the calendar's days per symbol."""
-    ends = daily.where("active").groupBy("symbol").agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    return ends.select("symbol", F.explode(F.sequence("a", "b")).alias("day"))
-
-
 def _parts(daily: DataFrame) -> list[Column]:
     return [F.col("volume"), F.coalesce("close", F.lit(0)).cast(_TOTAL).alias("close"), F.when(F.col("close").isNotNull(), 1).otherwise(0).alias("n_close"), F.when(F.col("active"), 1).otherwise(0).alias("n_active")]
 
 
+def _names(periods: tuple[int, ...]) -> list[str]:
+    """The state's totals; those of one day are the day's own amounts."""
+    return [f"{p}_{n}" for n in (1, *periods) for p in _PARTS]
+
+
+def _typed(name: str, value: Column) -> Column:
+    return value.cast(_TOTAL if name.startswith(("volume", "close")) else "bigint").alias(name)
+
+
+def _with_live(state: DataFrame) -> DataFrame:
+    """`state` plus live: whether the day lies between the symbol's first and last active day."""
+    active = F.when(F.col("n_active_1") > 0, F.col("day"))
+    ends = state.groupBy("symbol").agg(F.min(active).alias("_a"), F.max(active).alias("_b"))
+    return state.join(ends, "symbol").withColumn("live", F.coalesce(F.col("day").between(F.col("_a"), F.col("_b")), F.lit(False))).drop("_a", "_b")
+
+
 def rolling_state(daily: DataFrame, periods: tuple[int, ...] = PERIODS, version: int = 1) -> DataFrame:
-    """The whole state: one row per symbol and calendar day between its first and last active day.
+    """The whole state: one row per symbol and calendar day between its first and last day with any row.
 
-    For each period N: volume_N, close_N (totals), n_close_N (days with a close), n_active_N (active days).
+    For each period N, and for the day itself (N = 1): volume_N, close_N (totals), n_close_N (days with a close), n_active_N
+    (active days); live tells whether the day lies between the first and the last active day.
     Every day amount arrives on its day and expires N days later; what arrives minus what expires, added to
-    yesterday's totals, is today's. Days before the first active day count where a window reaches them.
+    yesterday's totals, is today's.
     """
-    parts = _parts(daily)
-    base = daily.select("symbol", "day", *parts)
+    base = daily.select("symbol", "day", *_parts(daily))
+    names, every = _names(periods), (1, *periods)
     zero = {p: F.lit(0) for p in _PARTS}
-    arrive = base.select("symbol", "day", *[F.col(p).alias(f"{p}_{n}") for n in periods for p in _PARTS], F.lit(False).alias("spine"))
+    arrive = base.select("symbol", "day", *[F.col(p).alias(f"{p}_{n}") for n in every for p in _PARTS], F.lit(False).alias("spine"))
     expire = [
-        base.select("symbol", F.date_add("day", n).alias("day"), *[(-F.col(p) if m == n else zero[p]).alias(f"{p}_{m}") for m in periods for p in _PARTS], F.lit(False).alias("spine"))
-        for n in periods
+        base.select("symbol", F.date_add("day", n).alias("day"), *[(-F.col(p) if m == n else zero[p]).alias(f"{p}_{m}") for m in every for p in _PARTS], F.lit(False).alias("spine"))
+        for n in every
     ]
-    days = _spine(daily).select("symbol", "day", *[zero[p].alias(f"{p}_{n}") for n in periods for p in _PARTS], F.lit(True).alias("spine"))
-    typed = lambda df: df.select("symbol", "day", *[F.col(f"{p}_{n}").cast(_TOTAL if p in ("volume", "close") else "bigint").alias(f"{p}_{n}") for n in periods for p in _PARTS], "spine")
-    events = reduce(DataFrame.union, map(typed, [arrive, *expire, days]))
-    names = [f"{p}_{n}" for n in periods for p in _PARTS]
-    per_day = events.groupBy("symbol", "day").agg(*[F.sum(c).cast(_TOTAL if c.startswith(("volume", "close")) else "bigint").alias(c) for c in names], F.max("spine").alias("spine"))
+    ends = daily.groupBy("symbol").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    days = ends.select("symbol", F.explode(F.sequence("a", "b")).alias("day"), *[zero[p].alias(f"{p}_{n}") for n in every for p in _PARTS], F.lit(True).alias("spine"))
+    events = reduce(DataFrame.union, [df.select("symbol", "day", *[_typed(c, F.col(c)) for c in names], "spine") for df in (arrive, *expire, days)])
+    per_day = events.groupBy("symbol", "day").agg(*[_typed(c, F.sum(c)) for c in names], F.max("spine").alias("spine"))
     w = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    running = per_day.select("symbol", "day", "spine", *[F.sum(c).over(w).cast(_TOTAL if c.startswith(("volume", "close")) else "bigint").alias(c) for c in names])
-    return running.where("spine").drop("spine").withColumn("version", F.lit(version))
+    running = per_day.select("symbol", "day", "spine", *[_typed(c, F.sum(c).over(w)) for c in names])
+    whole = Window.partitionBy("symbol")
+    active = F.when(F.col("spine") & (F.col("n_active_1") > 0), F.col("day"))
+    live = F.coalesce(F.col("day").between(F.min(active).over(whole), F.max(active).over(whole)), F.lit(False))
+    return running.withColumn("live", live).where("spine").drop("spine").withColumn("version", F.lit(version))
+
+
+def _extension(state: DataFrame, after: DataFrame, periods: tuple[int, ...]) -> DataFrame:
+    """Days that `after` adds to the symbols' ranges, with the totals that expiring amounts leave of the last day's; version 0."""
+    names = _names(periods)
+    old = state.groupBy("symbol").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    new = after.groupBy("symbol").agg(F.min("day").alias("na"), F.max("day").alias("nb")).join(old, "symbol", "left")
+    new = new.where("a is null or na < a or nb > b")
+    span = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<date>"))
+    more = F.when(F.col("a").isNull(), F.sequence("na", "nb")).otherwise(F.concat(span(F.col("na"), F.date_sub("a", 1)), span(F.date_add("b", 1), F.col("nb"))))
+    days = new.select("symbol", "b", F.explode(more).alias("day"))
+    # only the last days of the symbols that grow can still expire
+    tail = state.join(new.where("nb > b").select("symbol", "b"), "symbol").where(F.col("day") > F.date_sub("b", max(periods)))
+    last = tail.where("day = b").select("symbol", "day", *names)
+    gone = [
+        tail.where(F.col("day") > F.date_sub("b", n)).select("symbol", F.date_add("day", n).alias("day"), *[(-F.col(f"{p}_1") if m == n else F.lit(0)).alias(f"{p}_{m}") for m in (1, *periods) for p in _PARTS])
+        for n in (1, *periods)
+    ]
+    here = days.select("symbol", "day", *[F.lit(0).alias(c) for c in names])
+    events = reduce(DataFrame.union, [df.select("symbol", "day", *[_typed(c, F.col(c)) for c in names], F.lit(i == 0).alias("added")) for i, df in enumerate((here, last, *gone))])
+    per_day = events.groupBy("symbol", "day").agg(*[_typed(c, F.sum(c)) for c in names], F.max("added").alias("added"))
+    w = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    return per_day.select("symbol", "day", "added", *[_typed(c, F.sum(c).over(w)) for c in names]).where("added").select("symbol", "day", *names, F.lit(False).alias("live"), F.lit(0).alias("version"))
 
 
 def advance(state: DataFrame, before: DataFrame, after: DataFrame, periods: tuple[int, ...] = PERIODS) -> DataFrame:
     """The state's new and recomputed rows once the day amounts `before` have become `after`.
 
-    Changed days are found by comparing amounts; a changed day reaches itself and the N - 1 days after it, so
-    only those are recomputed: old totals plus the summed differences, under the next version. Days the spine
-    gains are added from their neighbours' amounts. Returned rows replace those of their (symbol, day); days the spine loses
-    have version -1. Nothing changed gives no rows.
+    Both need to hold only the days that arrivals touch (`before` lacks days that had no row). A changed day reaches itself and
+    the N - 1 days after it: only those are recomputed, old totals plus the summed differences, under the next version; so are
+    days that join or leave the span between the first and last active day. Days beyond the old range start from the totals
+    of its last day less what expires, at version 1. Returned rows replace those of their (symbol, day), see `applied`; no
+    row ever goes, so a day that is no longer live keeps its version. Nothing changed gives no rows.
     """
-    keys = ["symbol", "day"]
-    names = [f"{p}_{n}" for n in periods for p in _PARTS]
+    keys, names, every = ["symbol", "day"], _names(periods), (1, *periods)
     old, new = (d.select(*keys, *_parts(d)) for d in (before, after))
     diff = old.select(*keys, *[(-F.col(p)).alias(p) for p in _PARTS]).union(new.select(*keys, *_PARTS)).groupBy(*keys).agg(*[F.sum(p).alias(p) for p in _PARTS])
     diff = diff.where(" or ".join(f"{p} <> 0" for p in _PARTS))
-    longest = max(periods)
-    shift = F.explode(F.sequence(F.lit(0), F.lit(longest - 1)))
-    reach = diff.withColumn("ago", shift).select("symbol", F.date_add("day", F.col("ago")).alias("day"), *[F.when(F.col("ago") < n, F.col(p)).otherwise(0).alias(f"{p}_{n}") for n in periods for p in _PARTS])
-    delta = reach.groupBy(*keys).agg(*[F.sum(c).alias(f"d_{c}") for c in names])
-    spine_new, spine_old = _spine(after), _spine(before)
-    kept = state.join(spine_new, keys, "left_semi").join(delta, keys)
-    kept = kept.select(*keys, *[(F.col(c) + F.col(f"d_{c}")).cast(_TOTAL if c.startswith(("volume", "close")) else "bigint").alias(c) for c in names], (F.col("version") + 1).alias("version"))
-    gained = spine_new.join(spine_old, keys, "left_anti")
-    ahead = new.withColumn("ago", shift).select("symbol", F.date_add("day", F.col("ago")).alias("day"), *[F.when(F.col("ago") < n, F.col(p)).otherwise(0).alias(f"{p}_{n}") for n in periods for p in _PARTS])
-    totals = gained.join(ahead, keys, "left").groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(_TOTAL if c.startswith(("volume", "close")) else "bigint").alias(c) for c in names]).withColumn("version", F.lit(1))
-    lost = state.join(spine_new, keys, "left_anti").withColumn("version", F.lit(-1)).select(kept.columns)
-    return kept.unionByName(totals).unionByName(lost)
+    # as many rows as are rewritten
+    shift = F.explode(F.sequence(F.lit(0), F.lit(max(periods) - 1)))
+    reach = diff.withColumn("ago", shift).select("symbol", F.date_add("day", F.col("ago")).alias("day"), *[F.when(F.col("ago") < n, F.col(p)).otherwise(0).alias(f"{p}_{n}") for n in every for p in _PARTS])
+    delta = reach.groupBy(*keys).agg(*[F.sum(c).alias(f"d_{c}") for c in names], F.lit(True).alias("touched"))
+    rows = state.select(*keys, *names, "live", "version").unionByName(_extension(state, after, periods))
+    moved = rows.join(after.select("symbol").union(before.select("symbol")).distinct(), "symbol", "left_semi").join(delta, keys, "left")
+    moved = moved.select(*keys, *[_typed(c, F.col(c) + F.coalesce(F.col(f"d_{c}"), F.lit(0))) for c in names], F.col("live").alias("was"), "version", F.coalesce("touched", F.lit(False)).alias("touched"))
+    moved = _with_live(moved).where("touched or live <> was or version = 0")
+    return moved.select(*keys, *names, "live", (F.col("version") + 1).alias("version"))
+
+
+def applied(state: DataFrame, changed: DataFrame) -> DataFrame:
+    """`state` with the rows of `changed` in place of those of their (symbol, day)."""
+    return state.join(changed.select("symbol", "day"), ["symbol", "day"], "left_anti").unionByName(changed)
+
+
+def maintained(rows: DataFrame, in_time: str = IN_TIME, periods: tuple[int, ...] = PERIODS) -> DataFrame:
+    """The state after its corrections: built from the rows received within `in_time` of their stamp, then advanced by the others.
+
+    Only days that a late row touches are compared. A null received_at is in time.
+    """
+    late = F.coalesce(F.col("received_at") > F.col("timestamp") + F.expr(f"interval {in_time}"), F.lit(False))
+    day = lambda df: df.where("symbol is not null and timestamp is not null").withColumns({"_s": symbol_key("symbol"), "_d": F.to_date("timestamp")})
+    touched = day(rows.where(late)).select("_s", "_d").distinct()
+    near = day(rows).join(touched, ["_s", "_d"], "left_semi").drop("_s", "_d")
+    state = cut(rolling_state(daily_amounts(rows.where(~late)), periods))
+    near = cut(near.withColumn("_late", late))
+    return applied(state, cut(advance(state, daily_amounts(near.where("not _late")), daily_amounts(near), periods)))
 
 
 def trailing_report(state: DataFrame, periods: tuple[int, ...] = PERIODS) -> DataFrame:
@@ -116,7 +172,7 @@ def trailing_report(state: DataFrame, periods: tuple[int, ...] = PERIODS) -> Dat
     days that have a close (null where none has); idle tells that no day of the period is active.
     """
     def one(n: int) -> DataFrame:
-        return state.select("symbol", "day", F.lit(n).alias("period_days"), F.col(f"volume_{n}").cast("double").alias("total_volume"), (F.col(f"volume_{n}").cast("double") / n).alias("avg_volume"), F.col(f"close_{n}").cast("double").alias("total_close"), F.try_divide(F.col(f"close_{n}").cast("double"), F.col(f"n_close_{n}").cast("double")).alias("avg_close"), (F.col(f"n_active_{n}") == 0).alias("idle"), "version")
+        return state.where("live").select("symbol", "day", F.lit(n).alias("period_days"), F.col(f"volume_{n}").cast("double").alias("total_volume"), (F.col(f"volume_{n}").cast("double") / n).alias("avg_volume"), F.col(f"close_{n}").cast("double").alias("total_close"), F.try_divide(F.col(f"close_{n}").cast("double"), F.col(f"n_close_{n}").cast("double")).alias("avg_close"), (F.col(f"n_active_{n}") == 0).alias("idle"), "version")
 
     return reduce(DataFrame.union, map(one, periods))
 
@@ -124,4 +180,4 @@ def trailing_report(state: DataFrame, periods: tuple[int, ...] = PERIODS) -> Dat
 def idle_periods(state: DataFrame, periods: tuple[int, ...] = PERIODS) -> DataFrame:
     """(symbol, day, period_days): days with no active day in the whole trailing period."""
     found = F.filter(F.array(*[F.when(F.col(f"n_active_{n}") == 0, F.lit(n)) for n in periods]), lambda x: x.isNotNull())
-    return state.select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"), F.explode(found).alias("period_days"))
+    return state.where("live").select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"), F.explode(found).alias("period_days"))

@@ -16,6 +16,8 @@ _DAILY = f"""r AS (SELECT {_SYMBOL} AS symbol, timestamp AS ts, CAST(timestamp A
   t AS (SELECT s.symbol, s.day, pp.n, coalesce(sum(dd.volume), 0) AS v, coalesce(sum(dd.close), 0) AS c, count(dd.close) AS nc, coalesce(sum(CAST(dd.active AS INT)), 0) AS na
     FROM spine s CROSS JOIN pp LEFT JOIN dd ON dd.symbol = s.symbol AND dd.day BETWEEN s.day - (pp.n - 1) AND s.day GROUP BY ALL)"""
 
+_IN_TIME = _DAILY.split("\n  spine")[0].replace("r AS (", "ri AS (", 1).replace("FROM r GROUP", "FROM ri GROUP").replace("rec AS", "reci AS").replace("FROM rec ", "FROM reci ").replace("dd AS", "ddi AS").replace("WHERE symbol IS NOT NULL", "WHERE NOT coalesce(received_at > timestamp + INTERVAL 1 DAY, false) AND symbol IS NOT NULL")
+
 _FIELD = r"""'("(?:[^"]|"")*"|[^",]*)'"""
 _NUM = r"""'^[ \t]*[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?[ \t]*$'"""
 
@@ -27,6 +29,12 @@ SELECT a AS artifact_hash, d AS descendant_hash, CAST(min(n) AS INTEGER) AS dist
     "p2_found": f"WITH {_DAILY} SELECT symbol, strftime(day, '%Y-%m-%d') AS day, CAST(n AS INTEGER) AS period_days FROM t WHERE na = 0",
     "p2_totals": f"""WITH {_DAILY} SELECT symbol, strftime(day, '%Y-%m-%d') AS day, CAST(n AS INTEGER) AS period_days, round(CAST(v AS DOUBLE), 6) AS total_volume,
   round(CAST(v AS DOUBLE) / n, 6) AS avg_volume, round(CAST(c AS DOUBLE), 6) AS total_close, CASE WHEN nc > 0 THEN round(CAST(c AS DOUBLE) / nc, 6) END AS avg_close, na = 0 AS idle FROM t""",
+    "p2_versions": f"""WITH {_DAILY}, {_IN_TIME.rstrip(',')},
+  ends AS (SELECT symbol, min(day) AS a, max(day) AS b, min(day) FILTER (active) AS fa, max(day) FILTER (active) AS fb FROM ddi GROUP BY symbol),
+  changed AS (SELECT symbol, n.day FROM dd n LEFT JOIN ddi o USING (symbol, day) WHERE n.volume IS DISTINCT FROM coalesce(o.volume, 0) OR n.close IS DISTINCT FROM o.close OR n.active IS DISTINCT FROM coalesce(o.active, false)),
+  hit AS (SELECT DISTINCT symbol, CAST(day + k AS DATE) AS day FROM changed, (SELECT CAST(unnest(range(30)) AS INTEGER) AS k))
+SELECT t.symbol, strftime(t.day, '%Y-%m-%d') AS day, CAST(CASE WHEN e.a IS NULL OR t.day < e.a OR t.day > e.b THEN 1 WHEN h.day IS NOT NULL OR NOT coalesce(t.day BETWEEN e.fa AND e.fb, false) THEN 2 ELSE 1 END AS INTEGER) AS version, round(CAST(t.v AS DOUBLE), 6) AS volume_30
+FROM t LEFT JOIN ends e USING (symbol) LEFT JOIN hit h ON h.symbol = t.symbol AND h.day = t.day WHERE t.n = 30""",
     "p3_found": """WITH m AS (SELECT b.bar_id, q.dxy_id, row_number() OVER (PARTITION BY b.bar_id ORDER BY abs(epoch_us(b.timestamp) - epoch_us(q.timestamp)), q.timestamp, q.dxy_id) AS k
   FROM bars b JOIN dxy_quotes q ON q.source = b.source AND q.timestamp BETWEEN b.timestamp - INTERVAL 120 SECONDS AND b.timestamp + INTERVAL 120 SECONDS
   WHERE b.close IS NOT NULL AND q.dxy_close IS NOT NULL) SELECT bar_id, dxy_id FROM m WHERE k = 1""",

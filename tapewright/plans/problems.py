@@ -26,7 +26,7 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _state(spark: SparkSession, d: str) -> DataFrame:
-    return trailing.rolling_state(trailing.daily_amounts(table(spark, d, "daily_bars")))
+    return trailing.maintained(table(spark, d, "daily_bars"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,12 @@ def p2_totals(spark: SparkSession, d: str) -> DataFrame:
     return r.select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"), "period_days", *[F.round(c, 6).alias(c) for c in ("total_volume", "avg_volume", "total_close", "avg_close")], "idle")
 
 
+def p2_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The days that corrections rewrote or added, and their versions."""
+    s = _state(spark, d).where("live")
+    return s.select("symbol", F.date_format("day", "yyyy-MM-dd").alias("day"), "version", F.round(F.col("volume_30").cast("double"), 6).alias("volume_30"))
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     bars = table(spark, d, "bars").where("close is not null")
     quotes = table(spark, d, "dxy_quotes").where("dxy_close is not null")
@@ -84,5 +90,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_totals, p3_found, p4_found, p4_flags, p5_found, p5_loaded, p6_found, p6_grid, p7_found, p7_stamps)
+    f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_totals, p2_versions, p3_found, p4_found, p4_flags, p5_found, p5_loaded, p6_found, p6_grid, p7_found, p7_stamps)
 }

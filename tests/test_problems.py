@@ -103,6 +103,32 @@ def test_a_corrected_history_equals_a_fresh_one(spark):
     assert trailing.rolling_state(before.limit(0)).count() == 0
 
 
+def test_corrections_in_turn_keep_versions_and_end_at_the_fresh_state(spark):
+    rng = random.Random(5)
+    days = [dt.datetime(2024, 1, 1, 12, tzinfo=UTC) + dt.timedelta(days=3 * i) for i in range(30)]
+    r = [(i, rng.choice(["A", "B", "C"]), rng.choice(days), rng.choice([None, 10.25, float("nan")]), rng.choice([None, 0.0, 5.0]), dt.datetime(2024, 5, 1, tzinfo=UTC) + dt.timedelta(seconds=i), 0) for i in range(50)]
+    schema = "daily_id long, symbol string, timestamp timestamp, close double, volume double, received_at timestamp, day int"
+    amounts = lambda n: trailing.daily_amounts(spark.createDataFrame(r[:n], schema))
+    state, seen = trailing.cut(trailing.rolling_state(amounts(20))), {}
+    for a, b in ((20, 35), (35, 50)):
+        before = {(x.symbol, x.day): x.version for x in state.collect()}
+        changed = trailing.cut(trailing.advance(state, amounts(a), amounts(b)))
+        assert all(x.version == before.get((x.symbol, x.day), 0) + 1 for x in changed.collect())
+        state = trailing.cut(trailing.applied(state, changed))
+        seen |= before
+        assert set(seen) <= {(x.symbol, x.day) for x in state.select("symbol", "day").collect()}
+        assert rows(state.drop("version").toPandas()) == rows(trailing.rolling_state(amounts(b)).drop("version").toPandas())
+
+
+def test_a_correction_that_comes_late_changes_the_rows(spark):
+    t = lambda d: dt.datetime(2024, 1, d, 12, tzinfo=UTC)
+    r = [(1, "A", t(1), 1.0, 5.0, t(1)), (2, "A", t(12), 1.0, 5.0, t(12)), (3, "A", t(3), 2.0, 7.0, t(20)), (4, "A", t(25), 2.0, 1.0, t(30)), (5, None, t(1), 1.0, 1.0, t(9)), (6, "A", None, 1.0, 1.0, t(9)), (7, "B", t(2), None, None, None)]
+    df = spark.createDataFrame(r, "daily_id long, symbol string, timestamp timestamp, close double, volume double, received_at timestamp")
+    got = {x.day.day: (float(x.volume_7), x.version) for x in trailing.maintained(df).where("live").collect()}
+    assert len(got) == 25 and got[1] == (5, 1) and got[3] == (12, 2) and got[9] == (7, 2) and got[12] == (5, 2) and got[20] == (0, 1) and got[25] == (1, 1)
+    assert trailing.maintained(df.limit(0)).count() == 0
+
+
 def test_nearest_edges(spark):
     left = spark.createDataFrame([(1, "s", at("2024-01-01T00:02:00"), 9), (2, "s", at("2024-01-01T03:00:00"), 9), (3, None, at("2024-01-01T00:02:00"), 9), (4, "s", None, 9), (1, "s", at("2024-01-01T00:02:00"), 9)], "bar_id long, e string, t timestamp, r int")
     right = spark.createDataFrame([(7, "s", at("2024-01-01T00:00:00")), (6, "s", at("2024-01-01T00:00:00")), (5, "s", at("2024-01-01T00:04:00")), (8, "s", at("2024-01-01T02:57:59.999999")), (9, "x", at("2024-01-01T03:00:00"))], "dxy_id long, e string, t timestamp")
