@@ -23,7 +23,8 @@ IN_TIME = "1 day"
 #: Amounts are held in units of 1e-8; finer digits are rounded half up, values beyond 1e20 become null.
 _AMOUNT = "decimal(28,8)"
 _TOTAL = "decimal(38,8)"
-_PARTS = ("volume", "close", "n_close", "n_active")
+#: What the state holds of each period.
+PARTS = ("volume", "close", "n_close", "n_active")
 
 
 def _amount(c: str) -> Column:
@@ -51,13 +52,14 @@ def daily_amounts(rows: DataFrame) -> DataFrame:
     )
 
 
-def _parts(daily: DataFrame) -> list[Column]:
-    return [F.col("volume"), F.coalesce("close", F.lit(0)).cast(_TOTAL).alias("close"), F.when(F.col("close").isNotNull(), 1).otherwise(0).alias("n_close"), F.when(F.col("active"), 1).otherwise(0).alias("n_active")]
+def _amounts(daily: DataFrame, parts: tuple[str, ...]) -> list[Column]:
+    have = {"volume": F.col("volume"), "close": F.coalesce("close", F.lit(0)).cast(_TOTAL), "n_close": F.when(F.col("close").isNotNull(), 1).otherwise(0), "n_active": F.when(F.col("active"), 1).otherwise(0)}
+    return [_typed(p, have[p]) for p in parts]
 
 
-def _names(periods: tuple[int, ...]) -> list[str]:
+def _names(parts: tuple[str, ...], periods: tuple[int, ...]) -> list[str]:
     """The state's totals; those of one day are the day's own amounts."""
-    return [f"{p}_{n}" for n in (1, *periods) for p in _PARTS]
+    return [f"{p}_{n}" for n in (1, *periods) for p in parts]
 
 
 def _typed(name: str, value: Column) -> Column:
@@ -71,58 +73,48 @@ def _with_live(state: DataFrame) -> DataFrame:
     return state.join(ends, "symbol").withColumn("live", F.coalesce(F.col("day").between(F.col("_a"), F.col("_b")), F.lit(False))).drop("_a", "_b")
 
 
-def rolling_state(daily: DataFrame, periods: tuple[int, ...] = PERIODS, version: int = 1) -> DataFrame:
+def rolling_state(daily: DataFrame, periods: tuple[int, ...] = PERIODS, version: int = 1, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """The whole state: one row per symbol and calendar day between its first and last day with any row.
 
     For each period N, and for the day itself (N = 1): volume_N, close_N (totals), n_close_N (days with a close), n_active_N
-    (active days); live tells whether the day lies between the first and the last active day.
-    Every day amount arrives on its day and expires N days later; what arrives minus what expires, added to
-    yesterday's totals, is today's.
+    (active days), as far as `parts` names them (n_active always); live tells whether the day lies between the first and the
+    last active day. Yesterday's totals, plus what arrives today, minus what arrived N days ago and expires, are today's.
+    One shuffle by symbol of day amounts, at most the calendar's days per symbol; days without a row are made behind it.
     """
-    base = daily.select("symbol", "day", *_parts(daily))
-    names, every = _names(periods), (1, *periods)
-    zero = {p: F.lit(0) for p in _PARTS}
-    arrive = base.select("symbol", "day", *[F.col(p).alias(f"{p}_{n}") for n in every for p in _PARTS], F.lit(False).alias("spine"))
-    expire = [
-        base.select("symbol", F.date_add("day", n).alias("day"), *[(-F.col(p) if m == n else zero[p]).alias(f"{p}_{m}") for m in every for p in _PARTS], F.lit(False).alias("spine"))
-        for n in every
-    ]
-    ends = daily.groupBy("symbol").agg(F.min("day").alias("a"), F.max("day").alias("b"))
-    days = ends.select("symbol", F.explode(F.sequence("a", "b")).alias("day"), *[zero[p].alias(f"{p}_{n}") for n in every for p in _PARTS], F.lit(True).alias("spine"))
-    events = reduce(DataFrame.union, [df.select("symbol", "day", *[_typed(c, F.col(c)) for c in names], "spine") for df in (arrive, *expire, days)])
-    per_day = events.groupBy("symbol", "day").agg(*[_typed(c, F.sum(c)) for c in names], F.max("spine").alias("spine"))
-    w = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    running = per_day.select("symbol", "day", "spine", *[_typed(c, F.sum(c).over(w)) for c in names])
-    whole = Window.partitionBy("symbol")
-    active = F.when(F.col("spine") & (F.col("n_active_1") > 0), F.col("day"))
-    live = F.coalesce(F.col("day").between(F.min(active).over(whole), F.max(active).over(whole)), F.lit(False))
-    return running.withColumn("live", live).where("spine").drop("spine").withColumn("version", F.lit(version))
+    w = Window.partitionBy("symbol").orderBy("day")
+    d = daily.select("symbol", "day", *_amounts(daily, parts)).repartition("symbol")
+    d = d.withColumn("_next", F.coalesce(F.date_sub(F.lead("day").over(w), 1), "day"))
+    d = d.select("symbol", F.col("day").alias("_of"), *parts, F.explode(F.sequence("day", "_next")).alias("day"))
+    d = d.select("symbol", "day", *[_typed(f"{p}_1", F.when(F.col("day") == F.col("_of"), F.col(p)).otherwise(0)) for p in parts])
+    change = d.select("*", *[_typed(f"{p}_{n}", F.col(f"{p}_1") - F.coalesce(F.lag(f"{p}_1", n).over(w), F.lit(0))) for n in periods for p in parts])
+    upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("symbol")
+    active = F.when(F.col("n_active_1") > 0, F.col("day"))
+    live = F.coalesce(F.col("day").between(F.min(active).over(whole), F.max(active).over(whole)), F.lit(False)).alias("live")
+    return change.select("symbol", "day", *[f"{p}_1" for p in parts], *[_typed(f"{p}_{n}", F.sum(f"{p}_{n}").over(upto)) for n in periods for p in parts], live, F.lit(version).alias("version"))
 
 
-def _extension(state: DataFrame, after: DataFrame, periods: tuple[int, ...]) -> DataFrame:
+def _extension(state: DataFrame, after: DataFrame, periods: tuple[int, ...], parts: tuple[str, ...]) -> DataFrame:
     """Days that `after` adds to the symbols' ranges, with the totals that expiring amounts leave of the last day's; version 0."""
-    names = _names(periods)
+    names = _names(parts, periods)
     old = state.groupBy("symbol").agg(F.min("day").alias("a"), F.max("day").alias("b"))
     new = after.groupBy("symbol").agg(F.min("day").alias("na"), F.max("day").alias("nb")).join(old, "symbol", "left")
-    new = new.where("a is null or na < a or nb > b")
+    new = cut(new.where("a is null or na < a or nb > b"))
     span = lambda x, y: F.when(x <= y, F.sequence(x, y)).otherwise(F.array().cast("array<date>"))
     more = F.when(F.col("a").isNull(), F.sequence("na", "nb")).otherwise(F.concat(span(F.col("na"), F.date_sub("a", 1)), span(F.date_add("b", 1), F.col("nb"))))
-    days = new.select("symbol", "b", F.explode(more).alias("day"))
-    # only the last days of the symbols that grow can still expire
+    days = new.select("symbol", F.explode(more).alias("day"))
+    # only the last days of the symbols that grow can still expire: the last day's totals, then what leaves them
     tail = state.join(new.where("nb > b").select("symbol", "b"), "symbol").where(F.col("day") > F.date_sub("b", max(periods)))
-    last = tail.where("day = b").select("symbol", "day", *names)
-    gone = [
-        tail.where(F.col("day") > F.date_sub("b", n)).select("symbol", F.date_add("day", n).alias("day"), *[(-F.col(f"{p}_1") if m == n else F.lit(0)).alias(f"{p}_{m}") for m in (1, *periods) for p in _PARTS])
-        for n in (1, *periods)
-    ]
-    here = days.select("symbol", "day", *[F.lit(0).alias(c) for c in names])
-    events = reduce(DataFrame.union, [df.select("symbol", "day", *[_typed(c, F.col(c)) for c in names], F.lit(i == 0).alias("added")) for i, df in enumerate((here, last, *gone))])
+    goes = F.array(*[F.struct(F.date_add("day", n).alias("day"), *[_typed(f"{p}_{m}", -F.col(f"{p}_1") if m == n else F.lit(0)) for m in (1, *periods) for p in parts]) for n in (1, *periods)])
+    goes = F.filter(goes, lambda x: x["day"] > F.col("b"))
+    here = F.filter(F.array(F.struct("day", *[_typed(c, F.col(c)) for c in names])), lambda _: F.col("day") == F.col("b"))
+    events = tail.select("symbol", F.explode(F.concat(goes, here)).alias("x")).select("symbol", "x.*", F.lit(False).alias("added"))
+    events = events.union(days.select("symbol", "day", *[_typed(c, F.lit(0)) for c in names], F.lit(True).alias("added")))
     per_day = events.groupBy("symbol", "day").agg(*[_typed(c, F.sum(c)) for c in names], F.max("added").alias("added"))
     w = Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     return per_day.select("symbol", "day", "added", *[_typed(c, F.sum(c).over(w)) for c in names]).where("added").select("symbol", "day", *names, F.lit(False).alias("live"), F.lit(0).alias("version"))
 
 
-def advance(state: DataFrame, before: DataFrame, after: DataFrame, periods: tuple[int, ...] = PERIODS) -> DataFrame:
+def advance(state: DataFrame, before: DataFrame, after: DataFrame, periods: tuple[int, ...] = PERIODS, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """The state's new and recomputed rows once the day amounts `before` have become `after`.
 
     Both need to hold only the days that arrivals touch (`before` lacks days that had no row). A changed day reaches itself and
@@ -131,16 +123,16 @@ def advance(state: DataFrame, before: DataFrame, after: DataFrame, periods: tupl
     of its last day less what expires, at version 1. Returned rows replace those of their (symbol, day), see `applied`; no
     row ever goes, so a day that is no longer live keeps its version. Nothing changed gives no rows.
     """
-    keys, names, every = ["symbol", "day"], _names(periods), (1, *periods)
-    old, new = (d.select(*keys, *_parts(d)) for d in (before, after))
-    diff = old.select(*keys, *[(-F.col(p)).alias(p) for p in _PARTS]).union(new.select(*keys, *_PARTS)).groupBy(*keys).agg(*[F.sum(p).alias(p) for p in _PARTS])
-    diff = diff.where(" or ".join(f"{p} <> 0" for p in _PARTS))
+    keys, names, every = ["symbol", "day"], _names(parts, periods), (1, *periods)
+    old, new = (d.select(*keys, *_amounts(d, parts)) for d in (before, after))
+    diff = old.select(*keys, *[(-F.col(p)).alias(p) for p in parts]).union(new.select(*keys, *parts)).groupBy(*keys).agg(*[F.sum(p).alias(p) for p in parts])
+    diff = diff.where(" or ".join(f"{p} <> 0" for p in parts))
     # as many rows as are rewritten
     shift = F.explode(F.sequence(F.lit(0), F.lit(max(periods) - 1)))
-    reach = diff.withColumn("ago", shift).select("symbol", F.date_add("day", F.col("ago")).alias("day"), *[F.when(F.col("ago") < n, F.col(p)).otherwise(0).alias(f"{p}_{n}") for n in every for p in _PARTS])
+    reach = diff.withColumn("ago", shift).select("symbol", F.date_add("day", F.col("ago")).alias("day"), *[F.when(F.col("ago") < n, F.col(p)).otherwise(0).alias(f"{p}_{n}") for n in every for p in parts])
     delta = reach.groupBy(*keys).agg(*[F.sum(c).alias(f"d_{c}") for c in names], F.lit(True).alias("touched"))
-    rows = state.select(*keys, *names, "live", "version").unionByName(_extension(state, after, periods))
-    moved = rows.join(after.select("symbol").union(before.select("symbol")).distinct(), "symbol", "left_semi").join(delta, keys, "left")
+    rows = state.select(*keys, *names, "live", "version").unionByName(_extension(state, after, periods, parts))
+    moved = rows.join(after.select("symbol").distinct(), "symbol", "left_semi").join(delta, keys, "left")
     moved = moved.select(*keys, *[_typed(c, F.col(c) + F.coalesce(F.col(f"d_{c}"), F.lit(0))) for c in names], F.col("live").alias("was"), "version", F.coalesce("touched", F.lit(False)).alias("touched"))
     moved = _with_live(moved).where("touched or live <> was or version = 0")
     return moved.select(*keys, *names, "live", (F.col("version") + 1).alias("version"))
@@ -151,18 +143,19 @@ def applied(state: DataFrame, changed: DataFrame) -> DataFrame:
     return state.join(changed.select("symbol", "day"), ["symbol", "day"], "left_anti").unionByName(changed)
 
 
-def maintained(rows: DataFrame, in_time: str = IN_TIME, periods: tuple[int, ...] = PERIODS) -> DataFrame:
+def maintained(rows: DataFrame, in_time: str = IN_TIME, periods: tuple[int, ...] = PERIODS, parts: tuple[str, ...] = PARTS) -> DataFrame:
     """The state after its corrections: built from the rows received within `in_time` of their stamp, then advanced by the others.
 
-    Only days that a late row touches are compared. A null received_at is in time.
+    Only days that a late row touches are compared. A null received_at is in time. `parts` are the amounts that are kept; with
+    fewer of them a version counts the changes of those.
     """
     late = F.coalesce(F.col("received_at") > F.col("timestamp") + F.expr(f"interval {in_time}"), F.lit(False))
     day = lambda df: df.where("symbol is not null and timestamp is not null").withColumns({"_s": symbol_key("symbol"), "_d": F.to_date("timestamp")})
     touched = day(rows.where(late)).select("_s", "_d").distinct()
-    near = day(rows).join(touched, ["_s", "_d"], "left_semi").drop("_s", "_d")
-    state = cut(rolling_state(daily_amounts(rows.where(~late)), periods))
-    near = cut(near.withColumn("_late", late))
-    return applied(state, cut(advance(state, daily_amounts(near.where("not _late")), daily_amounts(near), periods)))
+    near = cut(day(rows).join(touched, ["_s", "_d"], "left_semi").select("daily_id", "symbol", "timestamp", "close", "volume", "received_at", late.alias("_late")))
+    state = cut(rolling_state(daily_amounts(rows.where(~late)), periods, parts=parts))
+    before, after = daily_amounts(near.where("not _late")), cut(daily_amounts(near))
+    return applied(state, cut(advance(state, before, after, periods, parts)))
 
 
 def trailing_report(state: DataFrame, periods: tuple[int, ...] = PERIODS) -> DataFrame:

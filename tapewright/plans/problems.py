@@ -25,12 +25,12 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(table(spark, d, "lineage"))
 
 
-def _state(spark: SparkSession, d: str) -> DataFrame:
-    return trailing.maintained(table(spark, d, "daily_bars"))
+def _state(spark: SparkSession, d: str, parts: tuple[str, ...] = trailing.PARTS) -> DataFrame:
+    return trailing.maintained(table(spark, d, "daily_bars"), parts=parts)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return trailing.idle_periods(_state(spark, d))
+    return trailing.idle_periods(_state(spark, d, ("n_active",)))
 
 
 def p2_totals(spark: SparkSession, d: str) -> DataFrame:
