@@ -69,3 +69,10 @@ SELECT raw_id, reason FROM y WHERE reason IS NOT NULL""",
   d AS (SELECT DISTINCT * FROM r), g AS (SELECT source, symbol, n, slot, lead(slot) OVER (PARTITION BY source, symbol, n ORDER BY slot) AS nxt FROM d)
 SELECT DISTINCT source, symbol, CAST(unnest(range(slot + 1, nxt)) * n AS BIGINT) AS slot_epoch FROM g WHERE nxt > slot + 1""",
 }
+
+SQL["p4_flags"] = (
+    SQL["p4_found"]
+    .replace("median(m) FILTER", "quantile_disc(m, 0.5) FILTER")
+    .replace("SELECT bar_id, field FROM n", """SELECT bar_id, field, CASE WHEN bad THEN 'impossible' WHEN isfinite(m) AND usual > 0 AND m > 22 * usual THEN 'spike' ELSE 'stuck' END AS kind,
+  CASE WHEN usual > 0 AND isfinite(m / usual) THEN round(m / usual, 8) END AS times FROM n""")
+)

@@ -55,11 +55,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return spikes.flag_spikes(table(spark, d, "bars")).select("bar_id", "field")
+    return spikes.flag_spikes(table(spark, d, "bars")).where("kind <> 'suspect'").select("bar_id", "field")
 
 
 def p4_flags(spark: SparkSession, d: str) -> DataFrame:
-    return spikes.flag_spikes(table(spark, d, "bars"))
+    times = F.when(~F.isnan("times") & (F.abs("times") < float("inf")), F.round("times", 8))
+    return spikes.flag_spikes(table(spark, d, "bars")).where("kind <> 'suspect'").select("bar_id", "field", "kind", times.alias("times"))
+
+
+def p4_suspects(spark: SparkSession, d: str) -> DataFrame:
+    """What the filter flags and the exact rule does not confirm, with its standardised innovation."""
+    return spikes.flag_spikes(table(spark, d, "bars")).where("kind = 'suspect'")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,5 +96,5 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_totals, p2_versions, p3_found, p4_found, p4_flags, p5_found, p5_loaded, p6_found, p6_grid, p7_found, p7_stamps)
+    f.__name__: f for f in (p1_found, p1_paths, p1_descendants, p2_found, p2_totals, p2_versions, p3_found, p4_found, p4_flags, p4_suspects, p5_found, p5_loaded, p6_found, p6_grid, p7_found, p7_stamps)
 }

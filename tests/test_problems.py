@@ -151,6 +151,17 @@ def test_nearest_against_brute_force_across_buckets(spark):
     assert got == want
 
 
+def test_the_filter_decides_what_is_checked(spark):
+    t0 = at("2024-01-01T00:00:00")
+    ticks = [10.0 + i % 3 for i in range(40)] + [300.0, 11.0, 120.0] + [10.0 + i % 3 for i in range(7)] + [5.0] * 8
+    bars = [(i, "s", "X", t0 + dt.timedelta(minutes=5 * i), 10.0, 11.0 + i % 2, 9.0 - 0.1 * (i % 3), 10.0, None, v) for i, v in enumerate(ticks)]
+    df = spark.createDataFrame(bars, "bar_id long, source string, symbol string, timestamp timestamp, open double, high double, low double, close double, spread double, tick_volume double")
+    kinds = lambda **kw: {r.bar_id: r.kind for r in spikes.flag_spikes(df, **kw).where("field = 'tick_volume'").collect()}
+    stuck = dict.fromkeys(range(50, 58), "stuck")
+    assert kinds() == {40: "spike", 42: "suspect"} | stuck
+    assert kinds(threshold=30.0) == {40: "spike"} | stuck and kinds(threshold=60.0) == stuck
+
+
 def test_runs_continue_across_blocks(spark):
     t0 = at("2024-01-01T00:00:00")
     bars = [(i, "s", "X", t0 + dt.timedelta(minutes=5 * i), 10.0, 11.0 + (0.5 if i % 2 else 0), 9.0 - 0.1 * (i % 3), 10.0, 2.5 if 20 <= i < 29 else 1.0 + i % 7, None) for i in range(60)]
