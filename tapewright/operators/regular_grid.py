@@ -1,9 +1,10 @@
 """Irregular readings onto a regular grid by shape-preserving monotone cubic interpolation.
 
-Each occupied period gives one knot (its last usable reading), pre-aggregated before the shuffle, so a shard
-of SHARD_PERIODS periods has a bounded number of knots whatever a series' size. Shards of a series exchange
-halo knots: each learns the last knot before it and the first two behind it from the shards' summaries, however
-far away they are. All of it is built-in expressions; nothing leaves the JVM.
+Every usable reading is a knot (equal stamps count once, pre-aggregated before the shuffle). A series is cut into shards of
+SHARD_PERIODS periods, so a task holds what falls into few hundred periods whatever a series' size. Shards of a series
+exchange halo knots: each learns the last knot before it and the first two behind it from the shards' summaries, however
+far away they are. A gap is filled by the cubic between the last reading before and the first one behind it. All of it is
+built-in expressions; nothing leaves the JVM.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from tapewright.functions.text_keys import symbol_key
 
 #: Seconds of a period by timeframe (fixed values of the data model).
 PERIOD_S = {"S10": 10, "M1": 60, "M5": 300, "M15": 900, "H1": 3600}
-SHARD_PERIODS = 4096
+SHARD_PERIODS = 512
 #: Most periods in a row that are filled; longer gaps are marked.
 MAX_GAP = 12
 _CHUNK = 8192
@@ -49,17 +50,19 @@ def regular_grid(readings: DataFrame, max_gap: int = MAX_GAP, shard_periods: int
     usable = readings.where(F.col("close").isNotNull() & ~F.isnan("close") & F.col("timestamp").isNotNull() & F.trim("timeframe").isin(*PERIOD_S))
     r = usable.select("source", symbol_key("symbol").alias("symbol"), F.trim("timeframe").alias("timeframe"), F.unix_micros("timestamp").alias("t"), "received_at", "reading_id", "close")
     r = r.withColumn("slot", F.floor(F.col("t") / (period * 1_000_000)))
-    knots = r.groupBy(*key, F.floor(F.col("slot") / F.lit(shard_periods)).alias("shard"), "slot").agg(F.max(F.struct("t", "received_at", "reading_id", "close")).alias("x"), F.count("*").alias("n"))
-    knots = knots.select(*key, "shard", "slot", F.struct("slot", (F.col("x.t") / 1e6).alias("t"), F.col("x.close").alias("v")).alias("k"), "n")
+    knots = r.groupBy(*key, F.floor(F.col("slot") / F.lit(shard_periods)).alias("shard"), "slot", "t").agg(F.max(F.struct("received_at", "reading_id", "close")).alias("x"), F.count("*").alias("n"))
+    knots = knots.select(*key, "shard", "slot", F.struct("slot", (F.col("t") / 1e6).alias("t"), F.col("x.close").alias("v")).alias("k"), "n")
     # the exchange is stated, so that both uses of the shards share it
     shards = knots.repartition(*key, "shard")
-    w = Window.partitionBy(*key, "shard").orderBy("slot")
-    inside = shards.select(*key, "shard", "slot", "n", "k", F.row_number().over(w).alias("rn"), F.lag("k").over(w).alias("p0"), F.lead("k").over(w).alias("q0"), F.lead("k", 2).over(w).alias("r0"))
+    w = Window.partitionBy(*key, "shard").orderBy("slot", "k")
+    inside = shards.select(*key, "shard", "slot", F.sum("n").over(Window.partitionBy(*key, "shard", "slot")).alias("n"), "k", F.row_number().over(w).alias("rn"), F.lag("k").over(w).alias("p0"), F.lead("k").over(w).alias("q0"), F.lead("k", 2).over(w).alias("r0"))
     summary = inside.groupBy(*key, "shard").agg(F.max(F.when(F.col("rn") == 1, F.col("k"))).alias("first"), F.max(F.when(F.col("rn") == 2, F.col("k"))).alias("second"), F.max("k").alias("last"))
     s = Window.partitionBy(*key).orderBy("shard")
     halo = summary.select(*key, "shard", F.lag("last").over(s).alias("hp"), F.lead("first").over(s).alias("hq"), F.coalesce(F.lead("second").over(s), F.lead("first", 2).over(s)).alias("hr"))
+    # only a period's last reading is followed by other periods
+    ends = inside.where("q0 is null or q0.slot > slot")
     cond = reduce(lambda a, b: a & b, (F.col(f"i.{c}").eqNullSafe(F.col(f"h.{c}")) for c in (*key, "shard")))
-    k = inside.alias("i").join(halo.alias("h"), cond, "left")
+    k = ends.alias("i").join(halo.alias("h"), cond, "left")
     k = k.select(*[F.col(f"i.{c}").alias(c) for c in key], "slot", "n", "k", F.coalesce("p0", "hp").alias("p"), F.coalesce("q0", "hq").alias("q"), F.coalesce(F.col("r0"), F.when(F.col("q0").isNotNull(), F.col("hq")).otherwise(F.col("hr"))).alias("r"))
     # slopes belong to the knots, before the periods are made
     far = lambda a, b: F.coalesce(b - a - 1 <= max_gap, F.lit(False))

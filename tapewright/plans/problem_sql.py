@@ -70,6 +70,22 @@ SELECT raw_id, reason FROM y WHERE reason IS NOT NULL""",
 SELECT DISTINCT source, symbol, CAST(unnest(range(slot + 1, nxt)) * n AS BIGINT) AS slot_epoch FROM g WHERE nxt > slot + 1""",
 }
 
+_SLOPE = "CASE WHEN {d0} * {d1} <= 0 THEN 0.0 ELSE ((2 * {h1} + {h0}) + ({h1} + 2 * {h0})) / ((2 * {h1} + {h0}) / {d0} + ({h1} + 2 * {h0}) / {d1}) END"
+_LAST = """CASE WHEN ((2 * {h} + {h2}) * {d} - {h} * {d2}) / ({h} + {h2}) * {d} <= 0 THEN 0.0
+      WHEN {d} * {d2} <= 0 AND abs(((2 * {h} + {h2}) * {d} - {h} * {d2}) / ({h} + {h2})) > 3 * abs({d}) THEN 3 * {d} ELSE ((2 * {h} + {h2}) * {d} - {h} * {d2}) / ({h} + {h2}) END"""
+SQL["p6_grid"] = f"""WITH r AS (SELECT source, {_SYMBOL} AS symbol, trim(timeframe) AS timeframe, p.n AS n, epoch_us(timestamp) AS t, received_at, reading_id, close FROM readings
+    JOIN (VALUES ('S10', CAST(10 AS BIGINT)), ('M1', 60), ('M5', 300), ('M15', 900), ('H1', 3600)) AS p(tf, n) ON p.tf = trim(timeframe) WHERE close IS NOT NULL AND NOT isnan(close) AND timestamp IS NOT NULL),
+  k AS (SELECT source, symbol, timeframe, n, t // (n * 1000000) AS slot, t / 1e6 AS t, arg_max(close, (received_at, reading_id)) AS v, count(*) AS c FROM r GROUP BY source, symbol, timeframe, n, r.t),
+  w AS (SELECT *, sum(c) OVER (PARTITION BY source, symbol, timeframe, slot) AS cs, lag(slot) OVER o AS ps, lag(t) OVER o AS pt, lag(v) OVER o AS pv, lead(slot) OVER o AS qs, lead(t) OVER o AS qt, lead(v) OVER o AS qv,
+    lead(slot, 2) OVER o AS rs, lead(t, 2) OVER o AS rt, lead(v, 2) OVER o AS rv FROM k WINDOW o AS (PARTITION BY source, symbol, timeframe ORDER BY t)),
+  x AS (SELECT *, t - pt AS h0, qt - t AS h1, rt - qt AS h2, (v - pv) / (t - pt) AS d0, (qv - v) / (qt - t) AS d1, (rv - qv) / (rt - qt) AS d2,
+    coalesce(slot - ps - 1 <= 12, false) AS fp, coalesce(qs - slot - 1 <= 12, false) AS tq, coalesce(rs - qs - 1 <= 12, false) AS tr FROM w WHERE qs IS NULL OR qs > slot),
+  y AS (SELECT *, CASE WHEN fp THEN {_SLOPE.format(h0='h0', d0='d0', h1='h1', d1='d1')} WHEN tr THEN {_LAST.format(h='h1', d='d1', h2='h2', d2='d2')} ELSE d1 END AS ml,
+    CASE WHEN tr THEN {_SLOPE.format(h0='h1', d0='d1', h1='h2', d1='d2')} WHEN fp THEN {_LAST.format(h='h1', d='d1', h2='h0', d2='d0')} ELSE d1 END AS mr FROM x),
+  g AS (SELECT *, unnest(range(slot, coalesce(qs, slot + 1))) AS s FROM y),
+  z AS (SELECT *, (s * n - t) / h1 AS u FROM g)
+SELECT source, symbol, timeframe, CAST(s * n AS BIGINT) AS slot_epoch, CASE WHEN s = slot THEN 'observed' WHEN tq THEN 'filled' ELSE 'gap' END AS status, CAST(CASE WHEN s = slot THEN cs ELSE 0 END AS BIGINT) AS n_readings,
+  round(CASE WHEN s = slot THEN v WHEN tq THEN (1 + 2 * u) * (1 - u) * (1 - u) * v + u * (1 - u) * (1 - u) * h1 * ml + u * u * (3 - 2 * u) * qv + u * u * (u - 1) * h1 * mr END, 6) AS close FROM z"""
 SQL["p4_flags"] = (
     SQL["p4_found"]
     .replace("median(m) FILTER", "quantile_disc(m, 0.5) FILTER")
