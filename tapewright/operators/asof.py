@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.runtime import cut
+
 BUCKET_S = 86_400
 
 
@@ -47,3 +49,32 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: Sequence[str], left_time
         ok = ok & (F.col("_t") - F.col("_m.t") <= tolerance_us)
     found = lambda c: F.when(ok, c)
     return m.select("_l.*", found(F.timestamp_micros(F.col("_m.t") * sign)).alias(f"{prefix}time"), *[found(F.col(f"_m.v{i}")).alias(f"{prefix}{v}") for i, v in enumerate(values)])
+
+
+_DAY_US = 86_400_000_000
+
+
+def forward_outcomes(bars: DataFrame, key: str, days: Sequence[int]) -> DataFrame:
+    """(key, at_us, days, ret, mfe, mae): for each bar and horizon the return, best and worst excursion up to the first bar at or after the horizon.
+
+    `bars` has the key, ts (unique per key), high, low and close. The bar that ends a horizon comes from a forward as-of join, however
+    many bars lie before it. Extremes on the way are those of the rest of the bar's day, of whole days (at most the horizon's
+    number, from one row per day) and of the last day up to the bar, so no task and no array holds more than a day's bars.
+    Bars without a bar at or after the horizon have no row for it; null keys or stamps are left out.
+    """
+    b = bars.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).select(F.col(key).alias("key"), "ts", "high", "low", "close", F.floor(F.unix_micros("ts") / F.lit(_DAY_US)).alias("day"))
+    w = Window.partitionBy("key", "day").orderBy("ts")
+    rest, upto = w.rowsBetween(1, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
+    b = cut(b.select("*", F.max("high").over(rest).alias("rest_high"), F.min("low").over(rest).alias("rest_low"), F.max("high").over(upto).alias("to_high"), F.min("low").over(upto).alias("to_low")))
+    whole = b.groupBy("key", "day").agg(F.max("high").alias("high"), F.min("low").alias("low"))
+    ahead = Window.partitionBy("key").orderBy("day").rangeBetween(1, max(days))
+    whole = whole.select(F.col("key").alias("w_key"), F.col("day").alias("w_day"), F.collect_list(F.struct("day", "high", "low")).over(ahead).alias("next"))
+    left = b.select("key", "ts", "day", "close", "rest_high", "rest_low", F.explode(F.array(*map(F.lit, days))).alias("days"))
+    left = left.withColumn("end", F.try_add(F.col("ts"), F.make_dt_interval(F.col("days"))))
+    j = asof_join(left, b, by=["key"], left_time="end", right_time="ts", values=["day", "close", "to_high", "to_low"], direction="forward", bucket_s=max(days) * 86_400).where("r_time is not null")
+    j = j.join(whole, (F.col("key") == F.col("w_key")) & (F.col("day") == F.col("w_day")))
+    # days between: all of their bars lie before the horizon's end
+    between = F.filter("next", lambda x: x["day"] < F.col("r_day"))
+    pick = lambda f, c, ends: f(*[F.col(e) for e in ends], (F.array_max if f is F.greatest else F.array_min)(F.transform(between, lambda x: x[c])))
+    pct = lambda x: F.round(x / F.col("close") - 1, 8)
+    return j.select(F.col("key").alias(key), F.unix_micros("ts").alias("at_us"), "days", pct(F.col("r_close")).alias("ret"), pct(pick(F.greatest, "high", ("rest_high", "r_to_high"))).alias("mfe"), pct(pick(F.least, "low", ("rest_low", "r_to_low"))).alias("mae"))

@@ -7,18 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewright.runtime import cut
+
 #: Shards of a key; a power of two.
 _SPLITS = 64
 
 
-def ordered_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(keys, value, n, below, total): each distinct value, its rows, the rows with smaller values, all rows of the key.
+def ordered_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """(keys, value, n, below, total): each distinct value, its rows (or summed `weight`), the rows with smaller values, all rows of the key.
 
     Equal values are pre-aggregated, so a frequent value is one row; approximate quantiles of the distinct values
     cut a key into shards, whose running totals give exact counts. Null and NaN values are left out.
     """
     keys = list(keys)
-    vc = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    # read by the cuts, the shards' sums and the shards: what made the values runs once
+    vc = cut(df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("n")))
     cuts = [i / _SPLITS for i in range(1, _SPLITS)]
     splits = vc.groupBy(*keys).agg(F.percentile_approx(value, cuts, F.lit(500)).alias("_cuts"))
     # how many cuts lie below the value, by bisection: halving steps over the sorted cuts

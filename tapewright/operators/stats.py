@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.functions import special
-from tapewright.operators.orderstats import average_ranks
+from tapewright.operators.orderstats import ordered_counts
+from tapewright.runtime import cut
 
 
 def _c(x: Column | str) -> Column:
@@ -161,9 +162,17 @@ def brier(p: Column | str, y: Column | str) -> Column:
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """(keys, n, rho): Pearson correlation of average-tie ranks of rows that have both values."""
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    r = average_ranks(average_ranks(d, keys, x, "_rx"), keys, y, "_ry")
-    return r.groupBy(*keys).agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho"))
+    # equal pairs are one row; the ranks of both values are found on the pairs, not on each other's result
+    given = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    d = cut(df.where(given(x) & given(y)).groupBy(*keys, x, y).agg(F.count("*").alias("_n")))
+    rank = lambda v, name: ordered_counts(d, keys, v, "_n").select(*keys, v, (F.col("below") + (F.col("n") + 1) / 2).alias(name))
+    r = d.join(rank(x, "_rx"), [*keys, x]).join(rank(y, "_ry"), [*keys, y])
+    # centred on the mean rank (n + 1) / 2, which is exact, so no digits cancel
+    n = d.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    r = r.join(n, [*keys]).withColumns({"_rx": F.col("_rx") - (F.col("n") + 1) / 2, "_ry": F.col("_ry") - (F.col("n") + 1) / 2})
+    total = lambda a, b: F.sum(F.col(a) * F.col(b) * F.col("_n"))
+    spread = F.sqrt(total("_rx", "_rx") * total("_ry", "_ry"))
+    return r.groupBy(*keys).agg(F.sum("_n").alias("n"), F.when(spread > 0, total("_rx", "_ry") / spread).alias("rho"))
 
 
 def adjust_p(df: DataFrame, p: str, tie: str, method: str = "bh") -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tapewright.functions.text_keys import symbol_key
 from tapewright.operators import asof, blocks, intervals, orderflow
-from tapewright.operators.blocks import Frames, numbered, with_halo
 from tapewright.plans.base import BARS, clean_bars, own
 from tapewright.runtime import table
 
@@ -72,20 +71,7 @@ SELECT f.symbol, epoch_us(f.ts) AS at_us, CAST(f.h AS INTEGER) AS days, round(ar
 FROM f JOIN v m ON m.symbol = f.symbol AND m.ts > f.ts AND m.ts <= f.fts GROUP BY f.symbol, f.ts, f.h""")
 def j_forward_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """For each daily bar and horizon: return, best and worst excursion up to the first bar at or after the horizon."""
-    df = daily(spark, d)
-    # a horizon's rows lie in two neighbouring spans of that length, and the bar that ends it is the next one
-    span = F.floor(F.unix_micros("ts") / F.lit(max(_H) * 86_400_000_000))
-    most = 2 * (df.groupBy("symbol", span).count().agg(F.max("count")).first()[0] or 0) + 1
-    df = with_halo(numbered(df, ["symbol"], "ts", ["close"]), after=most)
-    f = Frames(keys=("symbol", "block"))
-    v = F.collect_list(F.struct("ts", "high", "low", "close")).over(f.ahead(most))
-    df = own(df.withColumn("v", v)).withColumn("days", F.explode(F.array(*map(F.lit, _H))))
-    end = F.try_add(F.col("ts"), F.make_dt_interval(F.col("days")))
-    df = df.withColumn("fut", F.get(F.filter("v", lambda x: x["ts"] >= end), F.lit(0))).where("fut is not null")
-    inside = F.filter("v", lambda x: x["ts"] <= F.col("fut.ts"))
-    df = df.withColumn("inside", inside)
-    pct = lambda x: F.round(x / F.col("close") - 1, 8)
-    return df.select("symbol", F.unix_micros("ts").alias("at_us"), "days", pct(F.col("fut.close")).alias("ret"), pct(F.array_max(F.transform("inside", lambda x: x["high"]))).alias("mfe"), pct(F.array_min(F.transform("inside", lambda x: x["low"]))).alias("mae"))
+    return asof.forward_outcomes(daily(spark, d), "symbol", _H)
 
 
 def _trades(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

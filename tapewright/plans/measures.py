@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapewright.operators import orderstats, rolling, stats
 from tapewright.operators.blocks import running_totals
 from tapewright.plans.base import BARS, W, clean_bars, framed_bars, own
+from tapewright.runtime import cut
 
 QUERIES, SQL = {}, {}
 _R = f"WITH {BARS}, r AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS ret FROM x), v AS (SELECT * FROM r WHERE ret IS NOT NULL)"
@@ -36,7 +37,7 @@ def _round(df: DataFrame, digits: int = 8) -> DataFrame:
   round(quantile_cont(ret, 0.25), 10) AS q1, round(median(ret), 10) AS median, round(quantile_cont(ret, 0.75), 10) AS q3, round(quantile_cont(ret, 0.75) - quantile_cont(ret, 0.25), 9) AS iqr
   FROM v JOIN (SELECT series, sum(power(ret - m, 3)) / count(*) / power(any_value(s), 3) AS skewness_pop, sum(power(ret - m, 4)) / count(*) / power(any_value(s), 4) - 3 AS kurt FROM v JOIN (SELECT series, avg(ret) AS m, stddev_pop(ret) AS s FROM v GROUP BY 1) USING (series) GROUP BY series) USING (series) GROUP BY series, skewness_pop, kurt""")
 def m_describe(spark: SparkSession, d: str) -> DataFrame:
-    r = returns(spark, d)
+    r = cut(returns(spark, d).select("series", "ret"))
     a = r.groupBy("series").agg(F.count("*").alias("n"), F.round(F.avg("ret"), 10).alias("mean"), F.round(F.sum("ret"), 8).alias("total"), F.min("ret").alias("least"), F.max("ret").alias("most"), F.round(F.stddev_samp("ret"), 9).alias("std"), F.round(F.stddev_pop("ret"), 9).alias("std_pop"), F.round(stats.skewness("ret"), 6).alias("skew"), F.round(stats.kurtosis("ret"), 5).alias("kurt"))
     q = orderstats.ordered_counts(r, ["series"], "ret").groupBy("series").agg(*[orderstats.interpolated("ret", p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
     q = q.select("series", *[F.round(c, 10).alias(c) for c in ("q1", "median", "q3")], F.round(F.col("q3") - F.col("q1"), 9).alias("iqr"))
