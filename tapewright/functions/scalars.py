@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words of the headline sentiment score (fixed values).
-POSITIVE = ("beat", "gain", "gains", "growth", "improve", "record", "rally", "strong", "surge", "up", "upgrade", "confirmed", "reached", "kept")
-NEGATIVE = ("crisis", "cut", "decline", "down", "downgrade", "drop", "fall", "loss", "miss", "plunge", "weak", "lost", "rejected", "undercut")
+POSITIVE = ("beat", "surge", "gain", "growth", "improve", "strong", "rise", "up", "positive", "exceeds", "record", "boost", "rally")
+NEGATIVE = ("miss", "fall", "drop", "decline", "weak", "slow", "downgrade", "loss", "cut", "negative", "below", "fear", "plunge", "slump")
 #: Seconds of a timeframe name; a month counts as 30 days (fixed values).
 TIMEFRAMES = {"S10": 10, "1S": 1, "M1": 60, "1M": 60, "M5": 300, "5M": 300, "M15": 900, "15M": 900, "M30": 1800, "30M": 1800, "H1": 3600, "1H": 3600, "H4": 14400, "4H": 14400, "D1": 86400, "1D": 86400, "W1": 604800, "1W": 604800, "MN": 2592000, "1MO": 2592000}
 
@@ -131,10 +133,15 @@ def clean_headline(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def keyword_sentiment(text: Column | str) -> Column:
-    """(positive - negative) / max(hits, 1) over the distinct words."""
-    words = F.array_distinct(F.split(F.regexp_replace(F.lower(_c(text)), r"[^a-z]+", " "), " "))
-    p, n = (F.size(F.array_intersect(words, F.array(*map(F.lit, w)))) for w in (POSITIVE, NEGATIVE))
+def news_text(text: Column | str) -> Column:
+    """Lower-case text of letters, digits, `%`, `$`, `.` and `-`, single blanks between."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(_c(text)), r"[^a-z0-9\s%$.-]", " "), r"\s+", " "))
+
+
+def keyword_sentiment(text: Column | str, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
+    """(positive - negative) / hits over the distinct words of `news_text`, 0 without hits. A word keeps the points and signs at its ends."""
+    words = F.array_distinct(F.split(news_text(text), " "))
+    p, n = (F.size(F.array_intersect(words, F.array(*map(F.lit, w)))) for w in (positive, negative))
     return (p - n) / F.greatest(p + n, F.lit(1))
 
 

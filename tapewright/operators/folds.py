@@ -9,7 +9,10 @@ task streams a series, many series run side by side.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from itertools import product
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +55,65 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], input
     return picked.select(*[picked[c].alias(n) for c, n in zip([*keys, *inputs, *keep], names)]).mapInArrow(run, schema)
 
 
+def ordered_events(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], keep: Sequence[str], make: Callable[[], Callable[..., list[tuple]]], outputs: Sequence[tuple[str, T.DataType]]) -> DataFrame:
+    """Like `ordered_fold`, but step(*inputs) gives any number of output rows, each with the row's `keep`."""
+    nk, ni = len(keys), len(inputs)
+    fields = {f.name: f for f in df.schema.fields}
+    schema = StructType([fields[c] for c in keep] + [T.StructField(n, t) for n, t in outputs])
+    out_types = [_ARROW[type(t)] for _, t in outputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, step = None, None
+        for b in batches:
+            cols = [c.to_pylist() for c in b.columns[: nk + ni]]
+            made, at = [], []
+            for i, row in enumerate(zip(*cols)):
+                if row[:nk] != now:
+                    now, step = row[:nk], make()
+                for x in step(*row[nk:]):
+                    made.append(x)
+                    at.append(i)
+            if made:
+                kept = [c.take(pa.array(at, pa.int64())) for c in b.columns[nk + ni :]]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, t) for x, t in zip(zip(*made), out_types))], names=schema.names)
+
+    picked = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    names = [*[f"k{i}" for i in range(nk)], *[f"i{i}" for i in range(ni)], *keep]
+    return picked.select(*[picked[c].alias(n) for c, n in zip([*keys, *inputs, *keep], names)]).mapInArrow(run, schema)
+
+
+def series_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], make: Callable[[], tuple[Callable, Callable[[], list[tuple]]]], outputs: Sequence[tuple[str, T.DataType]]) -> DataFrame:
+    """`keys` and the rows that a series ends with: make() gives (step, finish), step(*inputs) takes a row, finish() gives the outputs."""
+    nk = len(keys)
+    fields = {f.name: f for f in df.schema.fields}
+    schema = StructType([fields[c] for c in keys] + [T.StructField(n, t) for n, t in outputs])
+    types = [*[None] * nk, *[_ARROW[type(t)] for _, t in outputs]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = step = finish = None
+        key_types: list = []
+
+        def close() -> pa.RecordBatch:
+            rows = [(*now, *x) for x in finish()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t or k) for x, t, k in zip(zip(*rows), types, [*key_types, *types])], names=schema.names)
+
+        for b in batches:
+            key_types = [c.type for c in b.columns[:nk]]
+            for row in zip(*[c.to_pylist() for c in b.columns]):
+                if row[:nk] != now:
+                    if finish and (last := close()).num_rows:
+                        yield last
+                    now = row[:nk]
+                    step, finish = make()
+                step(*row[nk:])
+        if finish and (last := close()).num_rows:
+            yield last
+
+    picked = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    names = [*[f"k{i}" for i in range(nk)], *[f"i{i}" for i in range(len(inputs))]]
+    return picked.select(*[picked[c].alias(n) for c, n in zip([*keys, *inputs], names)]).mapInArrow(run, schema)
+
+
 # averages
 
 def ema(n: int, seed: str = "first") -> Step:
@@ -230,18 +292,19 @@ def supertrend(n: int = 10, k: float = 3.0) -> Step:
 
 
 def parabolic(step_: float = 0.02, most: float = 0.2) -> Step:
-    """(stop, trend): parabolic stop and reverse."""
+    """(stop, trend): parabolic stop and reverse. It starts at the second bar, upwards unless that closes below the first."""
     bars: list[tuple[float, float]] = []
-    sar = ep = af = None
+    sar = ep = af = first = None
     up = True
 
-    def step(h: float, lo: float, c: float) -> tuple:  # noqa: ARG001
-        nonlocal sar, ep, af, up
+    def step(h: float, lo: float, c: float) -> tuple:
+        nonlocal sar, ep, af, up, first
         if not bars:
             bars.append((h, lo))
+            first = c
             return None, None
         if sar is None:
-            up = h >= bars[-1][0]
+            up = c >= first
             sar, ep, af = (bars[-1][1], h, step_) if up else (bars[-1][0], lo, step_)
         else:
             sar += af * (ep - sar)
@@ -366,38 +429,95 @@ def replay(cash: float = 100_000.0, fee: float = 0.001, slip: float = 0.0005, st
     return step
 
 
-def market_structure(width: int = 2) -> Step:
-    """(event, level): swings are extremes of `width` bars on both sides, known `width` bars later.
+#: Swing widths, break bases, confirming bars and buffers (in average true ranges) of the screening grid (fixed values).
+STRUCTURE_GRID = ((2, 3, 4, 5, 6, 8, 10), ("wick", "close"), (1, 2), (0.0, 0.05))
+
+
+class Structure(NamedTuple):
+    """One definition of market structure."""
+
+    width: int = 3
+    basis: str = "close"
+    confirm: int = 1
+    buffer: float = 0.0
 
-    A close beyond the last swing high or low is BOS along the trend, CHOCH against it; each swing breaks once. A bar
-    that breaks both is AMBIGUOUS.
+    @property
+    def name(self) -> str:
+        return f"sw{self.width:02d}_{self.basis}_c{self.confirm}_atr{round(self.buffer * 10_000):04d}"
+
+
+def structure_grid() -> list[Structure]:
+    return [Structure(*x) for x in product(*STRUCTURE_GRID)]
+
+
+def market_structures(variants: Sequence[Structure], atr_n: int = 14) -> Callable[..., list[tuple]]:
+    """Events (variant, event, level) of each bar under every definition, in one pass.
+
+    A swing is an extreme of `width` bars on both sides, known `width` bars later; no gap may lie among them. A level is
+    broken once the last `confirm` bars, without a gap among them, lie beyond it by `buffer` average true ranges: with their
+    highs and lows (basis wick) or closes. That is CHOCH against the trend of the last break, else BOS, and each level breaks
+    once. A bar that breaks both levels is AMBIGUOUS and changes nothing. Swings, ranges and gaps are shared by all variants.
     """
-    held: list[tuple[float, float]] = []
-    top = bottom = None
-    trend = 0
+    widths, longest = sorted({v.width for v in variants}), max(v.confirm for v in variants)
+    bars: deque[tuple[float, float]] = deque(maxlen=2 * max(widths) + 1)
+    recent: deque[tuple[float, float, float, float | None]] = deque(maxlen=longest)
+    ranges: deque[float] = deque(maxlen=atr_n)
+    # per variant: level above, level below (None: none, or broken already), trend
+    state = [[None, None, 0] for _ in variants]
+    names = [v.name for v in variants]
+    last, run = None, 0
+
+    def beyond(v: Structure, level: float | None, side: int) -> bool:
+        if level is None or run < v.confirm or len(recent) < v.confirm:
+            return False
+        for i in range(-v.confirm, 0):
+            high, low, close, mean = recent[i]
+            if v.buffer and mean is None:
+                return False
+            room = v.buffer * mean if v.buffer else 0.0
+            x = close if v.basis == "close" else high if side > 0 else low
+            if not (x > level + room if side > 0 else x < level - room):
+                return False
+        return True
+
+    def step(h: float, lo: float, c: float, gap: bool = False) -> list[tuple]:
+        nonlocal last, run
+        p = c if last is None else last
+        ranges.append(max(h - lo, abs(h - p), abs(lo - p)))
+        run = 1 if gap or last is None else run + 1
+        last = c
+        bars.append((h, lo))
+        recent.append((h, lo, c, sum(ranges) / atr_n if len(ranges) == atr_n else None))
+        out = []
+        for v, name, now in zip(variants, names, state):
+            up, down = beyond(v, now[0], 1), beyond(v, now[1], -1)
+            if up and down:
+                out.append((name, "AMBIGUOUS", None))
+            elif up or down:
+                side = 1 if up else -1
+                out.append((name, "CHOCH" if now[2] == -side else "BOS", now[0 if up else 1]))
+                now[0 if up else 1], now[2] = None, side
+        for w in widths:
+            if run < 2 * w + 1:
+                continue
+            around = list(bars)[-2 * w - 1 :]
+            mh, ml = around.pop(w)
+            top, bottom = all(mh > x for x, _ in around), all(ml < x for _, x in around)
+            if top or bottom:
+                for v, now in zip(variants, state):
+                    if v.width == w:
+                        now[0], now[1] = (mh if top else now[0]), (ml if bottom else now[1])
+        return out
 
-    def step(h: float, lo: float, c: float) -> tuple:
-        nonlocal top, bottom, trend
-        held.append((h, lo))
-        if len(held) > 2 * width + 1:
-            held.pop(0)
-        event, level = None, None
-        up, down = top is not None and c > top, bottom is not None and c < bottom
-        if up and down:
-            event, top, bottom = "AMBIGUOUS", None, None
-        elif up:
-            event, level, top = ("BOS" if trend >= 0 else "CHOCH"), top, None
-            trend = 1
-        elif down:
-            event, level, bottom = ("BOS" if trend <= 0 else "CHOCH"), bottom, None
-            trend = -1
-        if len(held) == 2 * width + 1:
-            mh, ml = held[width]
-            rest = held[:width] + held[width + 1 :]
-            if all(mh > x for x, _ in rest):
-                top = mh
-            if all(ml < x for _, x in rest):
-                bottom = ml
-        return event, level
+    return step
+
+
+def market_structure(width: int = 2, basis: str = "close", confirm: int = 1, buffer: float = 0.0, atr_n: int = 14) -> Step:
+    """(event, level) of each bar under one definition, see `market_structures`."""
+    many = market_structures([Structure(width, basis, confirm, buffer)], atr_n)
+
+    def step(h: float, lo: float, c: float, gap: bool = False) -> tuple:
+        found = many(h, lo, c, gap)
+        return found[0][1:] if found else (None, None)
 
     return step

@@ -85,11 +85,9 @@ def q_bar_scalars(spark: SparkSession, d: str) -> DataFrame:
     return b.select("bar_id", F.round(scalars.typical_price(), 5).alias("typical"), F.round(scalars.upper_wick(), 6).alias("upper"), F.round(scalars.lower_wick(), 6).alias("lower"), F.round(scalars.body(), 6).alias("body"), scalars.session("ts").alias("session"), F.unix_micros(scalars.floor_time("ts", 14_400)).alias("floor_us"), F.round(2 * (F.col("close") - F.col("open")), 6).alias("twice_body"), F.round(scalars.spread_bps("low", "high"), 6).alias("range_bps"))
 
 
-_POS, _NEG = (", ".join(f"'{w}'" for w in x) for x in (scalars.POSITIVE, scalars.NEGATIVE))
-
-
-@query(f"""WITH t AS (SELECT doc_id, list_distinct(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM documents WHERE text IS NOT NULL),
- s AS (SELECT doc_id, len(list_intersect(w, [{_POS}])) AS p, len(list_intersect(w, [{_NEG}])) AS n FROM t) SELECT doc_id, round((p - n) / greatest(p + n, 1), 8) AS sentiment FROM s""")
+@query(r"""WITH t AS (SELECT doc_id, list_distinct(string_split_regex(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s%$.-]', ' ', 'g'), '\s+', ' ', 'g')), ' ')) AS w FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('beat', 'surge', 'gain', 'growth', 'improve', 'strong', 'rise', 'up', 'positive', 'exceeds', 'record', 'boost', 'rally'))) AS p,
+  len(list_filter(w, lambda x: x IN ('miss', 'fall', 'drop', 'decline', 'weak', 'slow', 'downgrade', 'loss', 'cut', 'negative', 'below', 'fear', 'plunge', 'slump'))) AS n FROM t) SELECT doc_id, round((p - n) / greatest(p + n, 1), 8) AS sentiment FROM s""")
 def q_sentiment(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").where("text is not null")
     return t.select("doc_id", F.round(scalars.keyword_sentiment("text"), 8).alias("sentiment"))
