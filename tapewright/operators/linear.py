@@ -1,6 +1,6 @@
 """Regression and econometrics: moments of features in Spark, small dense algebra on what they add up to.
 
-A key's Gram matrix (features squared numbers) is all that leaves the rows; keys are solved side by side.
+A key's means and covariances (features squared numbers) are all that leaves the rows; keys are solved side by side.
 """
 
 from __future__ import annotations
@@ -17,49 +17,63 @@ from tapewright.operators.blocks import Frames, with_halo
 from tapewright.operators.stats import correlation
 
 
-def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str], weight: Column | None = None) -> DataFrame:
-    """(keys, n, g_i_j): sums of products of the columns and a constant over rows where all are given."""
-    names = ["_1", *columns]
-    w = F.lit(1.0) if weight is None else weight
-    d = df.withColumn("_1", F.lit(1.0))
+def moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, n, m_i, c_i_j): means and population covariances of the columns over rows where all are given.
+
+    Spark merges central moments, so no digits cancel where a column varies little about a large mean (price levels).
+    """
     ok = None
     for c in columns:
         x = F.col(c).isNotNull() & ~F.isnan(F.col(c))
         ok = x if ok is None else ok & x
-    aggs = [F.sum(w * F.col(names[i]) * F.col(names[j])).alias(f"g_{i}_{j}") for i in range(len(names)) for j in range(i, len(names))]
-    return d.where(ok).groupBy(*keys).agg(F.count("*").alias("n"), *aggs)
+    k = len(columns)
+    pair = lambda i, j: F.var_pop(columns[i]) if i == j else F.covar_pop(columns[i], columns[j])
+    aggs = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(columns)] + [pair(i, j).alias(f"c_{i}_{j}") for i in range(k) for j in range(i, k)]
+    return df.where(ok).groupBy(*keys).agg(F.count("*").alias("n"), *aggs)
 
 
-def _matrix(row: pd.Series, k: int) -> np.ndarray:
-    g = np.zeros((k, k))
+def _unpack(row: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and centred sums of products."""
+    m = np.array([row[f"m_{i}"] for i in range(k)], dtype=float)
+    c = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
-            g[i, j] = g[j, i] = row[f"g_{i}_{j}"]
-    return g
+            c[i, j] = c[j, i] = row[f"c_{i}_{j}"] * row["n"]
+    return m, c
 
 
 def fit(g: np.ndarray, n: int, ridge: float = 0.0) -> dict:
-    """Least squares of the last column on the constant and the others, from a Gram matrix. Singular systems take a small ridge."""
-    xx, xy, yy = g[:-1, :-1], g[:-1, -1], g[-1, -1]
-    k = len(xx)
+    """Least squares of the last column on the constant (the first) and the others, from a Gram matrix."""
+    m = g[0, 1:] / g[0, 0]
+    return fit_centred(m, g[1:, 1:] - g[0, 0] * np.outer(m, m), n, ridge)
+
+
+def fit_centred(m: np.ndarray, c: np.ndarray, n: int, ridge: float = 0.0) -> dict:
+    """Least squares of the last column on a constant and the others, from means and centred sums of products. Singular systems take a small ridge."""
+    k = len(m)
+    xx, xy, yy = c[:-1, :-1], c[:-1, -1], float(c[-1, -1])
+    size = np.sqrt(np.maximum(np.diag(xx), 0))
     try:
-        inv = np.linalg.inv(xx + ridge * np.eye(k))
-        if not np.isfinite(inv).all() or np.linalg.cond(xx) > 1e14:
+        # columns of one length, so that scale is no ill condition
+        scaled = xx / np.outer(size, size) if (size > 0).all() else xx
+        if not np.isfinite(scaled).all() or (len(xx) and np.linalg.cond(scaled) > 1e12):
             raise np.linalg.LinAlgError
+        inv = np.linalg.inv(xx + ridge * np.eye(len(xx)))
     except np.linalg.LinAlgError:
-        inv = np.linalg.inv(xx + 1e-8 * max(1.0, np.trace(xx) / k) * np.eye(k))
-    b = inv @ xy
-    rss = max(float(yy - b @ xy), 0.0)
-    tss = float(yy - g[0, -1] ** 2 / g[0, 0])
+        inv = np.linalg.inv(xx + 1e-8 * max(1.0, np.trace(xx) / max(len(xx), 1)) * np.eye(len(xx)))
+    slope = inv @ xy
+    b = np.r_[m[-1] - slope @ m[:-1], slope]
+    rss = max(float(yy - slope @ xy), 0.0)
     s2 = rss / (n - k) if n > k else float("nan")
-    se = np.sqrt(np.maximum(np.diag(inv) * s2, 0))
-    return {"b": b, "se": se, "t": np.divide(b, se, out=np.full(k, np.nan), where=se > 0), "rss": rss, "r2": 1 - rss / tss if tss > 0 else float("nan"), "k": k, "n": n}
+    var = np.r_[1 / n + m[:-1] @ inv @ m[:-1], np.diag(inv)] * s2
+    se = np.sqrt(np.maximum(var, 0))
+    return {"b": b, "se": se, "t": np.divide(b, se, out=np.full(k, np.nan), where=se > 0), "rss": rss, "r2": 1 - rss / yy if yy > 0 else float("nan"), "k": k, "n": n}
 
 
-def _solve(grams: DataFrame, keys: Sequence[str], names: Sequence[str], row: Callable[[np.ndarray, int], list[tuple]], ddl: str) -> DataFrame:
-    """Solves each key's Gram matrix in its own row; `row` gives output rows."""
-    k = len(names) + 1
-    kinds = dict(grams.dtypes)
+def _solve(found: DataFrame, keys: Sequence[str], names: Sequence[str], row: Callable[[np.ndarray, np.ndarray, int], list[tuple]], ddl: str) -> DataFrame:
+    """Solves each key's `moments` in its own row; `row` gives output rows."""
+    k = len(names)
+    kinds = dict(found.dtypes)
     schema = ", ".join([f"{c} {kinds[c]}" for c in keys] + [ddl])
     cols = [x.split()[0] for x in ddl.split(", ")]
 
@@ -67,27 +81,25 @@ def _solve(grams: DataFrame, keys: Sequence[str], names: Sequence[str], row: Cal
         for b in batches:
             out = []
             for r in b.to_dict("records"):
-                for made in row(_matrix(r, k), int(r["n"])):
+                for made in row(*_unpack(r, k), int(r["n"])):
                     out.append((*[r[c] for c in keys], *made))
             yield pd.DataFrame(out, columns=[*keys, *cols])
 
-    return grams.mapInPandas(run, schema)
+    return found.mapInPandas(run, schema)
 
 
 def regression(df: DataFrame, keys: Sequence[str], y: str, xs: Sequence[str]) -> DataFrame:
     """(keys, term, coefficient, se, t, p, r2, n): ordinary least squares per key; polynomial terms are just columns."""
-    def row(g: np.ndarray, n: int) -> list[tuple]:
-        f = fit(g, n)
+    def row(m: np.ndarray, c: np.ndarray, n: int) -> list[tuple]:
+        f = fit_centred(m, c, n)
         return [(t, float(b), float(s), float(v), special.t_two_sided(float(v), n - f["k"]) if n > f["k"] and np.isfinite(v) else None, f["r2"], n) for t, b, s, v in zip(["intercept", *xs], f["b"], f["se"], f["t"])]
 
-    return _solve(gram(df, keys, [*xs, y]), keys, [*xs, y], row, "term string, coefficient double, se double, t double, p double, r2 double, rows bigint")
+    return _solve(moments(df, keys, [*xs, y]), keys, [*xs, y], row, "term string, coefficient double, se double, t double, p double, r2 double, rows bigint")
 
 
 def vif(df: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
     """(keys, term, vif): diagonal of the inverse correlation matrix; infinite when singular."""
-    def row(g: np.ndarray, n: int) -> list[tuple]:
-        m = g[0, 1:] / n
-        c = g[1:, 1:] / n - np.outer(m, m)
+    def row(m: np.ndarray, c: np.ndarray, n: int) -> list[tuple]:  # noqa: ARG001
         s = np.sqrt(np.diag(c))
         try:
             v = np.diag(np.linalg.inv(c / np.outer(s, s)))
@@ -95,7 +107,7 @@ def vif(df: DataFrame, keys: Sequence[str], xs: Sequence[str]) -> DataFrame:
             v = np.full(len(s), np.inf)
         return [(t, float(x)) for t, x in zip(xs, v)]
 
-    return _solve(gram(df, keys, xs), keys, xs, row, "term string, vif double")
+    return _solve(moments(df, keys, xs), keys, xs, row, "term string, vif double")
 
 
 def _lagged(df: DataFrame, keys: Sequence[str], columns: dict[str, Callable[[Frames], Column]], most: int) -> DataFrame:
@@ -110,11 +122,11 @@ def dickey_fuller(df: DataFrame, keys: Sequence[str], value: str, lags: int = 1)
     d = _lagged(df, keys, cols, lags + 1)
     xs = ["_level", *[f"_l{i}" for i in range(1, lags + 1)]]
 
-    def row(g: np.ndarray, n: int) -> list[tuple]:
-        t = float(fit(g, n)["t"][1])
+    def row(m: np.ndarray, c: np.ndarray, n: int) -> list[tuple]:
+        t = float(fit_centred(m, c, n)["t"][1])
         return [(t, lags, n, bool(t < -2.86))]
 
-    return _solve(gram(d, keys, [*xs, "_dy"]), keys, [*xs, "_dy"], row, "statistic double, lags int, rows bigint, stationary boolean")
+    return _solve(moments(d, keys, [*xs, "_dy"]), keys, [*xs, "_dy"], row, "statistic double, lags int, rows bigint, stationary boolean")
 
 
 def granger(df: DataFrame, keys: Sequence[str], x: str, y: str, lags: int = 1) -> DataFrame:
@@ -123,15 +135,15 @@ def granger(df: DataFrame, keys: Sequence[str], x: str, y: str, lags: int = 1) -
     d = _lagged(df, keys, cols, lags)
     names = [*[f"_y{i}" for i in range(1, lags + 1)], *[f"_x{i}" for i in range(1, lags + 1)], y]
 
-    def row(g: np.ndarray, n: int) -> list[tuple]:
-        full = fit(g, n)
-        keep = [*range(lags + 1), len(g) - 1]
-        less = fit(g[np.ix_(keep, keep)], n)
+    def row(m: np.ndarray, c: np.ndarray, n: int) -> list[tuple]:
+        full = fit_centred(m, c, n)
+        keep = [*range(lags), len(m) - 1]
+        less = fit_centred(m[keep], c[np.ix_(keep, keep)], n)
         df2 = n - full["k"]
         stat = (less["rss"] - full["rss"]) / lags / (full["rss"] / df2) if df2 > 0 and full["rss"] > 0 else float("nan")
         return [(stat, special.f_upper(stat, lags, df2) if np.isfinite(stat) else None, n)]
 
-    return _solve(gram(d, keys, names), keys, names, row, "f double, p double, rows bigint")
+    return _solve(moments(d, keys, names), keys, names, row, "f double, p double, rows bigint")
 
 
 def autoregression(df: DataFrame, keys: Sequence[str], value: str, order: int = 2) -> DataFrame:

@@ -119,7 +119,7 @@ def b_posteriors(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def b_student(spark: SparkSession, d: str) -> DataFrame:
-    return _r(chance.student_fit(returns(spark, d), ["series"], "ret"), 6)
+    return chance.student_fit(returns(spark, d), ["series"], "ret").select("series", "df", F.round("scale", 6).alias("scale"), F.round("log_likelihood", 5).alias("log_likelihood"))
 
 
 @query()

@@ -83,7 +83,7 @@ def x_multiple_regression(spark: SparkSession, d: str) -> DataFrame:
 def x_unit_root(spark: SparkSession, d: str) -> DataFrame:
     """Augmented Dickey-Fuller of closes and of returns."""
     r = returns(spark, d)
-    return _r(linear.dickey_fuller(r, ["series"], "close").withColumn("of", F.lit("close")).union(linear.dickey_fuller(r, ["series"], "ret").withColumn("of", F.lit("ret"))), 5)
+    return _r(linear.dickey_fuller(r, ["series"], "close").withColumn("of", F.lit("close")).union(linear.dickey_fuller(r, ["series"], "ret").withColumn("of", F.lit("ret"))), 4)
 
 
 @query()
@@ -95,12 +95,19 @@ def x_granger(spark: SparkSession, d: str) -> DataFrame:
 def x_autoregression(spark: SparkSession, d: str) -> DataFrame:
     r = returns(spark, d)
     ar = linear.autoregression(r, ["series"], "ret", 2).withColumn("target", F.lit("ar:ret"))
-    return _r(ar.union(linear.vector_autoregression(r, ["series"], ["ret", "volume"])), 6)
+    return _r(ar.union(linear.vector_autoregression(r, ["series"], ["ret", "volume"])).drop("p"), 5)
 
 
 @query()
 def x_autocorrelations(spark: SparkSession, d: str) -> DataFrame:
-    return _r(linear.autocorrelations(returns(spark, d), ["series"], "ret", 10), 6)
+    a = linear.autocorrelations(returns(spark, d), ["series"], "ret", 10)
+    return a.select("series", "lag", F.round("acf", 6).alias("acf"), F.round("ljung_box", 5).alias("ljung_box"))
+
+
+@query()
+def x_partial_autocorrelations(spark: SparkSession, d: str) -> DataFrame:
+    """Partial autocorrelations, and the p of the Ljung-Box statistics up to each lag."""
+    return _r(linear.autocorrelations(returns(spark, d), ["series"], "ret", 10).select("series", "lag", "pacf", "p"), 6)
 
 
 @query(f"""{_R}, k AS (SELECT unnest(range(-5, 6)) AS lag), j AS (SELECT a.series, k.lag, corr(a.ret, b.volume) AS c FROM v a JOIN k ON true JOIN v b ON b.series = a.series AND b.rn = a.rn + k.lag GROUP BY ALL) SELECT series, CAST(lag AS INTEGER) AS lag, round(c, 6) AS corr FROM j""")

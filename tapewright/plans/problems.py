@@ -73,7 +73,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return strict_csv.strict_load(table(spark, d, "raw_bars"))
+    return strict_csv.strict_load(table(spark, d, "raw_bars")).select("raw_id", "file_name", "line_no", "symbol", F.unix_micros("timestamp").alias("at_us"), "open", "high", "low", "close", "volume", "note")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

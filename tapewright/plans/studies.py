@@ -113,7 +113,8 @@ def r_heteroscedasticity(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def r_cointegration(spark: SparkSession, d: str) -> DataFrame:
     """Closes on highs of the same series."""
-    return _r(research.cointegration(numbered(clean_bars(spark, d), ["series"], "ts", ["bar_id"]), ["series"], "close", "high"), 5)
+    c = research.cointegration(numbered(clean_bars(spark, d), ["series"], "ts", ["bar_id"]), ["series"], "close", "high")
+    return c.select("series", F.round("slope", 5).alias("slope"), F.round("statistic", 4).alias("statistic"), "cointegrated")
 
 
 @query()
@@ -127,7 +128,7 @@ def r_arma(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def r_polynomial(spark: SparkSession, d: str) -> DataFrame:
     x = returns(spark, d).withColumns({f"v{i}": F.pow(F.log1p("volume") / 10, F.lit(float(i))) for i in (1, 2)})
-    return _r(linear.regression(x, ["series"], "ret", ["v1", "v2"]), 6)
+    return _r(linear.regression(x, ["series"], "ret", ["v1", "v2"]).drop("p"), 5)
 
 
 @query()
