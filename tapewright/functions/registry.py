@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 
@@ -61,3 +61,23 @@ register("momentum", "momentum", period=12)(lambda f, period: rolling.momentum(f
 register("roc", "momentum", period=12)(lambda f, period: rolling.rate_of_change(f, "close", period, percent=True, zero=0.0))
 register("zscore", "statistics", period=20)(lambda f, period: rolling.zscore(f, "close", period))
 register("std", "statistics", period=20)(lambda f, period: rolling.spread_of(f, "close", period))
+
+
+def topological(needs: dict[str, Sequence[str]]) -> list[str]:
+    """The names so that each follows what it needs, by name where free; needs that aren't names are inputs. A circle raises."""
+    left = {n: {x for x in d if x in needs} for n, d in needs.items()}
+    out: list[str] = []
+    while left:
+        ready = sorted(n for n, d in left.items() if not d)
+        if not ready:
+            raise ValueError(f"features need each other: {sorted(left)}")
+        out += ready
+        left = {n: d - set(ready) for n, d in left.items() if n not in ready}
+    return out
+
+
+def pipeline(df: DataFrame, features: dict[str, tuple[Sequence[str], Callable[[], Column]]]) -> DataFrame:
+    """`df` plus each feature, a (needs, builder), added in topological order; neighbouring projections are merged by the optimiser."""
+    for n in topological({n: d for n, (d, _) in features.items()}):
+        df = df.withColumn(n, features[n][1]())
+    return df

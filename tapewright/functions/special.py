@@ -59,6 +59,19 @@ def t_cdf(t: float, df: float) -> float:
     return 1 - tail if t > 0 else tail
 
 
+def t_quantile(p: float, df: float) -> float:
+    """By bisection of the distribution function."""
+    lo, hi = -1.0, 1.0
+    while t_cdf(lo, df) > p:
+        lo *= 2
+    while t_cdf(hi, df) < p:
+        hi *= 2
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_cdf(mid, df) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
 def f_upper(f: float, d1: float, d2: float) -> float:
     return 1 - beta_cdf(d1 * f / (d1 * f + d2), d1 / 2, d2 / 2) if f > 0 else 1.0
 
@@ -134,6 +147,7 @@ def _udf(f):  # noqa: ANN001, ANN202
 
 normal_cdf_col = _udf(normal_cdf)
 t_two_sided_col = _udf(t_two_sided)
+t_quantile_col = _udf(t_quantile)
 chi2_upper_col = _udf(chi2_upper)
 f_upper_col = _udf(f_upper)
 binomial_greater_col = _udf(lambda k, n, p: binomial_tail(int(k), int(n), p))

@@ -78,3 +78,33 @@ def forward_outcomes(bars: DataFrame, key: str, days: Sequence[int]) -> DataFram
     pick = lambda f, c, ends: f(*[F.col(e) for e in ends], (F.array_max if f is F.greatest else F.array_min)(F.transform(between, lambda x: x[c])))
     pct = lambda x: F.round(x / F.col("close") - 1, 8)
     return j.select(F.col("key").alias(key), F.unix_micros("ts").alias("at_us"), "days", pct(F.col("r_close")).alias("ret"), pct(pick(F.greatest, "high", ("rest_high", "r_to_high"))).alias("mfe"), pct(pick(F.least, "low", ("rest_low", "r_to_low"))).alias("mae"))
+
+
+def state_as_of(decisions: DataFrame, time: str, inputs: dict[str, tuple[DataFrame, Sequence[str], str, str, str | None, int]]) -> DataFrame:
+    """`decisions` plus name, name_value per input and status: what each input was at the decision.
+
+    An input is (rows, by, its time, its value, tie, oldest age in seconds). Its last row at or before the decision is OK, STALE
+    beyond the age (no value then) or MISSING. status is READY if all are OK, else PARTIAL_OR_STALE.
+    """
+    out = decisions
+    for name, (rows, by, at, value, tie, age) in inputs.items():
+        out = asof_join(out, rows, by=by, left_time=time, right_time=at, values=[value], tie=tie, prefix=f"_{name}_")
+        old = F.unix_micros(time) - F.unix_micros(f"_{name}_time")
+        state = F.when(F.col(f"_{name}_time").isNull(), "MISSING").when(old > age * 1_000_000, "STALE").otherwise("OK")
+        out = out.withColumn(name, state).withColumn(f"{name}_value", F.when(F.col(name) == "OK", F.col(f"_{name}_{value}"))).drop(f"_{name}_time", f"_{name}_{value}")
+    ready = None
+    for name in inputs:
+        ready = F.col(name) == "OK" if ready is None else ready & (F.col(name) == "OK")
+    return out.withColumn("status", F.when(ready, "READY").otherwise("PARTIAL_OR_STALE"))
+
+
+def event_phases(rows: DataFrame, ts: str, events: DataFrame, at: str, before_s: int, during_s: int, after_s: int) -> DataFrame:
+    """`rows` plus phase: DURING within `during_s` of the last event, BEFORE within `before_s` of the next, AFTER within `after_s` of the last one's end, else CLEAR (null stamps too)."""
+    e = events.where(F.col(at).isNotNull()).select(F.lit(1).alias("_one"), F.col(at).alias("_at")).distinct()
+    r = rows.withColumn("_one", F.lit(1))
+    r = asof_join(r, e, by=["_one"], left_time=ts, right_time="_at", values=["_at"], prefix="_last")
+    r = asof_join(r, e, by=["_one"], left_time=ts, right_time="_at", values=["_at"], direction="forward", prefix="_next")
+    since, until = F.unix_micros(ts) - F.unix_micros("_last_at"), F.unix_micros("_next_at") - F.unix_micros(ts)
+    us = 1_000_000
+    phase = F.when(since <= during_s * us, "DURING").when(until <= before_s * us, "BEFORE").when(since <= (during_s + after_s) * us, "AFTER").otherwise("CLEAR")
+    return r.withColumn("phase", phase).drop("_one", "_lasttime", "_last_at", "_nexttime", "_next_at")

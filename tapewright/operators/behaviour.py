@@ -161,3 +161,60 @@ def deterministic_top(df: DataFrame, keys: Sequence[str], score: str, tie: str,
     """The n best rows per key by score, ties by `tie`: a top-k report. Each task passes on n rows per key at most."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), tie)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def volatility_gate(f: Frames, tr: str, n: int = 200, least: int = 50, floor: float = 0.6) -> dict[str, Column]:
+    """percentile: the share of the n ranges before that are at most the bar's own; status: WARMUP below `least` of them, else HIGH_VOLATILITY from `floor` on."""
+    before = F.collect_list(tr).over(f.prior(n))
+    share = F.size(F.filter(before, lambda x: x <= F.col(tr))) / F.size(before)
+    enough = F.size(before) >= least
+    return {"percentile": F.when(enough, share), "status": F.when(~enough, "WARMUP").when(share >= floor, "HIGH_VOLATILITY").otherwise("LOW_OR_MID_VOLATILITY")}
+
+
+def pivot(f: Frames, p: str, side: int) -> Column:
+    """The value where it is at least (side 1) or at most (side -1) both neighbours, else null."""
+    a, b, c = f.lag(p), F.col(p), f.lead(p)
+    return F.when((b >= a) & (b >= c) if side > 0 else (b <= a) & (b <= c), b)
+
+
+def window_geometry(f: Frames, p: str, n: int) -> dict[str, Column]:
+    """slope, angle (degrees), magnitude, curvature and mean pivots of the last n values at unit steps.
+
+    The frame needs the columns lo and hi of `pivot` and n + 1 rows before. Angle and magnitude are those of the line from
+    the first to the last value, curvature is that of the circle through the last three points; pivots lie inside the window.
+    """
+    from tapewright.functions.scalars import menger_curvature
+
+    c, c1, c2, first = F.col(p), f.lag(p), f.lag(p, 2), f.lag(p, n - 1)
+    # steps count from the row itself, so that digits don't cancel at large row numbers
+    place = [F.lit(float(-i)) * (f.lag(p, i) if i else c) for i in range(n)]
+    sxy, sx = sum(place[1:], place[0]), -n * (n - 1) / 2.0
+    slope = (sxy - sx * F.avg(p).over(f.last(n))) / (n * (n * n - 1) / 12.0)
+    inner = f.w.rowsBetween(-(n - 2), -1)
+    at = lambda v: F.lit(float(v))
+    return {
+        "slope": slope,
+        "angle": F.degrees(F.atan2(c - first, at(n - 1))),
+        "magnitude": F.sqrt(F.lit(float((n - 1) ** 2)) + (c - first) * (c - first)),
+        "curvature": menger_curvature(at(0), c2, at(1), c1, at(2), c),
+        "support": F.avg("lo").over(inner),
+        "resistance": F.avg("hi").over(inner),
+    }
+
+
+def count_windows(df: DataFrame, keys: Sequence[str], size: int, step: int) -> DataFrame:
+    """Rows of `numbered` in each window of `size` rows that starts every `step` rows: start_window counts the starts from 0."""
+    last = F.floor((F.col("rn") - 1) / F.lit(step))
+    first = F.greatest(F.lit(0), F.floor((F.col("rn") - 1 - size) / F.lit(step)) + 1)
+    return df.withColumn("start_window", F.explode(F.sequence(first, last)))
+
+
+def streaks(df: DataFrame, f: Frames, keys: Sequence[str], ret: str, most: int) -> DataFrame:
+    """(keys, side, length, following, wins): the outcomes after `length` outcomes of one sign in a row, of rows with a halo of `most` + 1."""
+    sign = F.signum(ret).cast("int")
+    d = df.withColumns({"side": sign, "_before": F.collect_list(sign).over(f.prior(most - 1)), "_next": f.lead(ret)}).where("not halo and side <> 0 and _next is not null")
+    # the run that ends at the row, as far as `most` rows back
+    other = F.array_max(F.transform(F.col("_before"), lambda x, i: F.when(x != F.col("side"), i + 1).otherwise(0)))
+    run = F.size("_before") - F.coalesce(other, F.lit(0)) + 1
+    d = d.withColumn("length", F.explode(F.when(run >= 2, F.sequence(F.lit(2), run)).otherwise(F.array().cast("array<int>"))))
+    return d.groupBy(*keys, "side", "length").agg(F.count("*").alias("following"), F.count(F.when(F.col("_next") > 0, 1)).alias("wins"))

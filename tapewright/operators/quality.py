@@ -86,3 +86,35 @@ def leakage(rows: DataFrame, role: str, ts: str, label_end: str) -> DataFrame:
     x = g.withColumn("o", order)
     y = x.select(F.col(role).alias("later"), F.col("a").alias("first_row"), (F.col("o") - 1).alias("o"))
     return x.join(y, "o").select(F.col(role).alias("earlier"), "later", F.col("z").alias("last_label"), "first_row", (F.col("z") >= F.col("first_row")).alias("leaks"))
+
+
+def temporal_integrity(df: DataFrame, keys: Sequence[str], order: str, ts: str, known: str) -> DataFrame:
+    """(keys, events, missing, out_of_order, duplicates, known_early): what breaks the order of events by `order`, a BIGINT that is unique.
+
+    out_of_order counts stamps below that of the event before (events without one are passed over), duplicates the repeats of a
+    stamp, known_early what was received before its stamp. Blocks with a halo row split a hot key.
+    """
+    f = Frames(keys=(*keys, "block"))
+    g = df.groupBy(*keys).agg(F.count("*").alias("events"), F.count(F.when(F.col(ts).isNull(), 1)).alias("missing"), F.count(F.when(F.col(known) < F.col(ts), 1)).alias("known_early"))
+    d = df.where(F.col(ts).isNotNull()).select(*keys, order, F.col(ts).alias("_ts"), F.timestamp_micros(F.col(order) * 1_000_000).alias("_at"))
+    o = with_halo(numbered(d, keys, "_at", [order]), before=1).withColumn("_p", f.lag("_ts")).where("not halo").groupBy(*keys).agg(F.count(F.when(F.col("_ts") < F.col("_p"), 1)).alias("out_of_order"))
+    c = d.groupBy(*keys, "_ts").agg(F.count("*").alias("_n")).groupBy(*keys).agg(F.sum(F.col("_n") - 1).alias("duplicates"))
+    return g.join(o, list(keys), "left").join(c, list(keys), "left").fillna(0, ["out_of_order", "duplicates"]).select(*keys, "events", "missing", "out_of_order", "duplicates", "known_early")
+
+
+def numeric_parity(df: DataFrame, a: str, b: str, absolute: float, relative: float) -> DataFrame:
+    """One row: compared, mismatches, max_absolute, max_relative, equal. Values agree within either tolerance, or if both are missing; rows with both missing aren't counted."""
+    x, y = F.col(a), F.col(b)
+    none = lambda c: c.isNull() | F.isnan(c)
+    gap = F.abs(x - y)
+    rel = F.try_divide(gap, F.greatest(F.abs(x), F.abs(y)))
+    bad = none(x) | none(y) | ~((gap <= absolute) | (rel <= relative))
+    d = df.where(~(none(x) & none(y)))
+    return d.agg(F.count("*").alias("compared"), F.count(F.when(bad, 1)).alias("mismatches"), F.max(gap).alias("max_absolute"), F.max(rel).alias("max_relative")).withColumn("equal", F.col("mismatches") == 0)
+
+
+def calendar_density(events: DataFrame, day: str, kind: str, severe: Column) -> DataFrame:
+    """(day, kind, events, severe, share): events per day and kind, how many are severe, the kind's share of the day."""
+    g = events.groupBy(day, kind).agg(F.count("*").alias("events"), F.count(F.when(severe, 1)).alias("severe"))
+    t = g.groupBy(day).agg(F.sum("events").alias("_t"))
+    return g.join(t, day).withColumn("share", F.col("events") / F.col("_t")).drop("_t")

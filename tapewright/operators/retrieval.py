@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most query vectors sent to the tasks at once, and their most bytes.
@@ -88,3 +88,10 @@ def pandas_knn_shares(train: pd.DataFrame, point: np.ndarray, k: int) -> dict:
     d = ((train.drop(columns="label").to_numpy() - point) ** 2).sum(axis=1)
     near = train.label.to_numpy()[np.argsort(d, kind="stable")[:k]]
     return {c: float((near == c).mean()) for c in np.unique(near)} if len(near) else {}
+
+
+def validated(rows: DataFrame, key: str, links: DataFrame, source: str, valid: Column) -> DataFrame:
+    """`rows` plus sources: those with at least one source, all of which exist in `rows` and are valid. `links` has distinct (key, source)."""
+    good = rows.select(F.col(key).alias(source), F.coalesce(valid, F.lit(False)).alias("_ok"))
+    g = links.join(good, source, "left").groupBy(key).agg(F.min(F.coalesce(F.col("_ok"), F.lit(False))).alias("_all"), F.count("*").alias("sources"))
+    return rows.join(g.where("_all").drop("_all"), key)

@@ -6,7 +6,7 @@ definitions go by one name, a `variant` chooses.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -244,3 +244,43 @@ def histogram(df: DataFrame, keys: Sequence[str], x: str, bins: int = 10) -> Dat
 def calibration(df: DataFrame, keys: Sequence[str], p: str, y: str, bins: int = 10) -> DataFrame:
     """(keys, bin, n, predicted, actual): reliability by floor(p * bins), filled bins only."""
     return df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("predicted"), F.avg(y).alias("actual"))
+
+
+def weighted(df: DataFrame, keys: Sequence[str], x: str, w: str) -> DataFrame:
+    """(keys, n, mean, variance, std, least, most): weighted mean and (population) variance; null where the weights sum to zero."""
+    d = df.where(F.col(x).isNotNull() & F.col(w).isNotNull())
+    m = d.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.sum(F.col(x) * F.col(w)), F.sum(w)).alias("mean"), F.min(x).alias("least"), F.max(x).alias("most"))
+    v = d.join(m.select(*keys, "mean"), list(keys)).groupBy(*keys).agg(F.try_divide(F.sum(F.col(w) * F.pow(F.col(x) - F.col("mean"), F.lit(2.0))), F.sum(w)).alias("variance"))
+    return m.join(v, list(keys)).withColumn("std", F.sqrt("variance"))
+
+
+def empirical_cdf(df: DataFrame, keys: Sequence[str], x: str, points: Sequence[float]) -> DataFrame:
+    """(keys, x, p): the share of values at or below each point of a short list."""
+    g = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.array(*[F.struct(F.lit(float(p)).alias("x"), F.avg((F.col(x) <= float(p)).cast("int")).alias("p")) for p in points]).alias("_a"))
+    return g.select(*keys, F.explode("_a").alias("_a")).select(*keys, "_a.x", "_a.p")
+
+
+def conditional_frequencies(df: DataFrame, keys: Sequence[str], x: str, label: str, bins: int = 10) -> DataFrame:
+    """(keys, bin, label, n, p): label shares within equal-width bins of x; a flat key has all rows in bin 0."""
+    d = df.where(F.col(x).isNotNull() & F.col(label).isNotNull())
+    e = d.groupBy(*keys).agg(F.min(x).alias("_a"), F.max(x).alias("_z"))
+    b = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col(x) - F.col("_a")) / ((F.col("_z") - F.col("_a")) / bins))))
+    d = d.join(e, list(keys)).withColumn("bin", F.when(F.col("_z") > F.col("_a"), b).otherwise(0).cast("int"))
+    return transitions(d.select(*keys, "bin", label), keys, "bin", label)
+
+
+def grid_likelihood(df: DataFrame, keys: Sequence[str], grid: Sequence[dict[str, float]], log_likelihood: Callable[[dict[str, float]], Column]) -> DataFrame:
+    """(keys, parameters, log_likelihood): the parameters of a grid with the largest sum of a row's log-likelihood; equal ones go to the earlier. One aggregation."""
+    names = list(grid[0])
+    tried = [F.struct(F.sum(log_likelihood(p)).alias("ll"), F.lit(-i).alias("i"), *[F.lit(float(p[n])).alias(n) for n in names]) for i, p in enumerate(grid)]
+    return df.groupBy(*keys).agg(F.array_max(F.array(*tried)).alias("_b")).select(*keys, *[F.col(f"_b.{n}").alias(n) for n in names], F.col("_b.ll").alias("log_likelihood"))
+
+
+def prediction_interval(df: DataFrame, keys: Sequence[str], y: str, x: str, order: str, level: float = 0.95) -> DataFrame:
+    """(keys, prediction, scale, df, low, high): a new y at the last x by simple regression, the residuals' error times sqrt(1 + 1 / n), and the bounds at `level`."""
+    d = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    g = d.groupBy(*keys).agg(F.count("*").alias("_n"), F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"), F.regr_syy(y, x).alias("_yy"), F.regr_sxx(y, x).alias("_xx"), F.max_by(x, order).alias("_x")).where("_n > 2")
+    rss = F.greatest(F.col("_yy") - F.col("_b") * F.col("_b") * F.col("_xx"), F.lit(0.0))
+    g = g.withColumns({"prediction": F.col("_a") + F.col("_b") * F.col("_x"), "df": F.col("_n") - 2, "scale": F.sqrt(rss / (F.col("_n") - 2)) * F.sqrt(1 + 1 / F.col("_n"))})
+    t = special.t_quantile_col(F.lit((1 + level) / 2), F.col("df").cast("double"))
+    return g.select(*keys, "prediction", "scale", "df", (F.col("prediction") - t * F.col("scale")).alias("low"), (F.col("prediction") + t * F.col("scale")).alias("high"))
