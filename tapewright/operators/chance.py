@@ -108,8 +108,11 @@ def viterbi(observations: Sequence[int], start: Sequence[float], trans: Sequence
 
 
 def isotonic_steps(df: DataFrame, p: str, y: str, bins: int = 1000) -> pd.DataFrame:
-    """(low, value): a monotone calibration by pooling adjacent violators over at most `bins` score bins; the bins' sums are all that leaves the rows."""
-    g = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.floor(F.col(p) * bins).alias("k")).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.min(p).alias("low")).orderBy("k").limit(bins + 1).toPandas()
+    """(low, value): a monotone calibration by pooling adjacent violators over `bins` score bins of [0, 1]; the bins' sums are all that leaves the rows.
+
+    Scores below 0 and from 1 on are in the first and the last bin.
+    """
+    g = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.greatest(F.lit(0), F.least(F.lit(bins), F.floor(F.col(p) * bins))).alias("k")).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.min(p).alias("low")).orderBy("k").toPandas()
     blocks: list[list[float]] = []
     for n, s, lo in zip(g.n, g.s, g.low):
         blocks.append([float(n), float(s), float(lo)])

@@ -9,16 +9,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewright.operators.asof import asof_join
-from tapewright.operators.blocks import numbered, running_totals
+from tapewright.operators.blocks import TABLE_SHARD_S, numbered, running_totals
+
+#: Seconds of starts that are merged first.
+MERGE_S = 86_400
 
 
 def merge_intervals(df: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
-    """(by, start, end): the union of closed intervals as disjoint ones; touching ones are joined."""
-    w = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    d = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(*by, start, end).distinct()
-    d = d.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1)).withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return d.groupBy(*by, "_i").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_i")
+    """(by, start, end): the union of closed intervals as disjoint ones; touching ones are joined.
+
+    First inside stretches of MERGE_S of the starts, so that no task takes all intervals of a key, then over what these leave.
+    """
+    def merged(d: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(start, end)
+        reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        d = d.withColumn("_new", F.when(F.col(start) <= reach, 0).otherwise(1)).withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return d.groupBy(*keys, "_i").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_i")
+
+    d = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).groupBy(*by, start).agg(F.max(end).alias(end))
+    near = d.withColumn("_near", F.floor(F.unix_micros(F.col(start).cast("timestamp")) / F.lit(MERGE_S * 1_000_000)))
+    return merged(merged(near, [*by, "_near"]).drop("_near"), list(by))
 
 
 def overlaps_any(left: DataFrame, right: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
@@ -49,7 +59,7 @@ def purged_folds(rows: DataFrame, start: str, end: str, n_groups: int = 6, n_tes
     row whose closed label interval meets a test row's is purged; one that starts within the embargo after a test
     row's end is embargoed.
     """
-    r = numbered(rows.withColumn("_one", F.lit(1)), ["_one"], start, ties)
+    r = numbered(rows.withColumn("_one", F.lit(1)), ["_one"], start, ties, TABLE_SHARD_S)
     n = rows.count()
     group = F.floor((F.col("rn") - 1) * n_groups / F.lit(max(n, 1))).cast("int")
     splits = list(combinations(range(n_groups), n_test))

@@ -63,8 +63,10 @@ def assess(df: DataFrame) -> DataFrame:
 
 
 def smoothed_transitions(prior: dict[tuple[str, str], float], observed: DataFrame, state: str, after: str, alpha: float = 0.1) -> dict[tuple[str, str], float]:
-    """p <- alpha * observed share + (1 - alpha) * p, rows normalised. States are few; only their counts leave the rows."""
-    counts = {(r[0], r[1]): r[2] for r in observed.groupBy(state, after).count().limit(10_000).collect()}
+    """p <- alpha * observed share + (1 - alpha) * p, rows normalised. States are few; only their counts leave the rows. More than 10,000 pairs of states raise."""
+    counts = {(r[0], r[1]): r[2] for r in observed.groupBy(state, after).count().limit(10_001).collect()}
+    if len(counts) > 10_000:
+        raise ValueError("states are a short list: these have more than 10,000 pairs")
     states = sorted({s for k in [*prior, *counts] for s in k})
     out = {}
     for a in states:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -14,14 +15,14 @@ from tapewright.operators.folds import Step, ordered_fold
 
 def _quote_before(max_age_us: int) -> Step:
     """Latest eligible quote of a trade: earlier in event time, received by the trade's receipt; two at that time are ambiguous."""
-    quotes: list[tuple] = []
+    quotes: deque[tuple] = deque()
 
     def step(kind: int, t: int, recv: int, a: float | None, b: float | None) -> tuple:
         if kind == 0:
             quotes.append((t, recv, a, b))
             return None, None, None, None
         while quotes and quotes[0][0] < t - max_age_us:
-            quotes.pop(0)
+            quotes.popleft()
         best, n = None, 0
         for q in reversed(quotes):
             if best is not None and q[0] != best[0]:

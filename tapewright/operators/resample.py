@@ -8,9 +8,11 @@ replacement and combines map-side; a moving-block bootstrap weighs block starts
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,6 +144,18 @@ def resampled_terminals(returns: DataFrame, keys: Sequence[str], value: str, row
     return m.join(n, list(keys)).select(*keys, "rep", F.exp(F.col("mean") * F.col("_n")).alias("growth"))
 
 
+def _omissions(batches: Iterator[pa.RecordBatch], reps: int, omit: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """A task's sums and counts of what each replicate keeps: one row per replicate."""
+    s, n = np.zeros(reps), np.zeros(reps, dtype=np.int64)
+    for b in batches:
+        h, y = b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy()
+        for i in range(0, len(h), 2_000):
+            kept = _uniform(seed, h[i : i + 2_000, None], np.arange(1, reps + 1, dtype=np.uint64)[None, :]) >= omit
+            s += y[i : i + 2_000] @ kept
+            n += kept.sum(axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, reps + 1, dtype=np.int32)), pa.array(s), pa.array(n)], names=["r", "s", "n"])
+
+
 def attacks(df: DataFrame, outcome: str, asset: str, regime: str, chunk: Column, row: str, reps: int = 200, omit: float = 0.3, seed: int = 42) -> DataFrame:
     """(attack, value, survives): mean outcome without the best asset, the best regime, the five best rows; share of positive chunks; of positive 30 % omissions."""
     total = df.agg(F.sum(outcome).alias("s"), F.count(outcome).alias("n"))
@@ -153,6 +167,7 @@ def attacks(df: DataFrame, outcome: str, asset: str, regime: str, chunk: Column,
     best = df.orderBy(F.desc(outcome), row).limit(5).agg(F.sum(outcome).alias("a"), F.count("*").alias("k")).join(total)
     best = best.select(F.lit("without best five").alias("attack"), F.try_divide(F.col("s") - F.col("a"), F.col("n") - F.col("k")).alias("value")).withColumn("survives", F.col("value") > 0)
     c = df.groupBy(chunk.alias("c")).agg(F.avg(outcome).alias("m")).agg(F.avg((F.col("m") > 0).cast("int")).alias("value")).select(F.lit("chunks").alias("attack"), "value", (F.col("value") >= 0.9).alias("survives"))
-    u = df.withColumn("one", F.lit(1)).withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(reps)))).where(F.pmod(F.xxhash64(row, "r", F.lit(seed)), F.lit(1000)) >= omit * 1000)
-    o = u.groupBy("r").agg(F.avg(outcome).alias("m")).agg(F.avg((F.col("m") > 0).cast("int")).alias("value")).select(F.lit("omission").alias("attack"), "value", (F.col("value") >= 0.95).alias("survives"))
+    x = df.where(F.col(outcome).isNotNull()).select(F.xxhash64(row).alias("h"), F.col(outcome).cast("double").alias("y"))
+    u = x.mapInArrow(partial(_omissions, reps=reps, omit=omit, seed=seed), "r int, s double, n bigint")
+    o = u.groupBy("r").agg((F.sum("s") / F.sum("n")).alias("m"), F.sum("n").alias("n")).where("n > 0").agg(F.avg((F.col("m") > 0).cast("int")).alias("value")).select(F.lit("omission").alias("attack"), "value", (F.col("value") >= 0.95).alias("survives"))
     return without(asset).union(without(regime)).union(best).union(c).union(o)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapewright.operators.asof import asof_join
-from tapewright.operators.blocks import Frames, numbered, with_halo
+from tapewright.operators.blocks import TABLE_SHARD_S, Frames, numbered, with_halo
 from tapewright.operators.islands import runs
 from tapewright.operators.orderstats import interpolated, ordered_counts
 
@@ -106,7 +106,7 @@ def segment_transitions(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def near_events(rows: DataFrame, events: DataFrame, ts: str, event_ts: str, bars: int, ties: Sequence[str]) -> DataFrame:
     """`rows` plus blocked: within `bars` rows of the row at or before an event. Events are joined as-of, then spread by frames."""
-    n = numbered(rows.withColumn("_one", F.lit(1)), ["_one"], ts, ties)
+    n = numbered(rows.withColumn("_one", F.lit(1)), ["_one"], ts, ties, TABLE_SHARD_S)
     hit = asof_join(events.where(F.col(event_ts).isNotNull()).select(F.col(event_ts).alias("_e"), F.lit(1).alias("_one")), n.select("_one", F.col(ts).alias("_t"), "rn"), by=["_one"], left_time="_e", right_time="_t", values=["rn"], tie="rn")
     marks = hit.where("r_rn is not null").select(F.col("r_rn").alias("rn")).distinct().withColumn("_h", F.lit(1))
     f = Frames(keys=("_one", "block"))

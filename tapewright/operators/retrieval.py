@@ -17,30 +17,35 @@ QUERY_BLOCK, QUERY_BYTES = 4_096, 64_000_000
 def nearest_vectors(rows: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int = 5) -> DataFrame:
     """(query, neighbour, rank, distance): the k nearest rows of each query vector by L2, ties by the smaller id; itself left out.
 
-    Query vectors go out in blocks of bounded size; each task keeps its k best per query, and the partial lists
-    (k per task and query) are merged. Null vectors are left out.
+    Query vectors are streamed through the driver in blocks of at most QUERY_BLOCK rows and QUERY_BYTES, whatever their
+    length; each block is broadcast for one pass over the rows, where a task keeps its k best per query, and the partial
+    lists (k per task and query) are merged. A query id that occurs twice is one query per distinct vector. Null vectors are left out.
     """
-    q = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).orderBy("id")
-    out, after = None, None
-    while True:
-        block = (q if after is None else q.where(F.col("id") > after)).limit(QUERY_BLOCK).toPandas()
-        if not len(block):
-            break
-        after = int(block["id"].iloc[-1])
-        ids, mat = block["id"].to_numpy(), np.array(block["v"].tolist(), dtype=np.float64)
-        if mat.nbytes > QUERY_BYTES:
-            raise ValueError("query block too large: lower QUERY_BLOCK")
-        sent = rows.sparkSession.sparkContext.broadcast((ids, mat))
-        part = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).mapInArrow(_best(sent, k), "query bigint, neighbour bigint, distance double")
+    q = queries.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v")).distinct()
+    every = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    out = None
+    for ids, mat in _blocks(q.toLocalIterator(prefetchPartitions=True)):
+        part = every.mapInArrow(_best(rows.sparkSession.sparkContext.broadcast((ids, mat)), k), "query bigint, neighbour bigint, distance double")
         out = part if out is None else out.union(part)
-        if len(block) < QUERY_BLOCK:
-            break
     if out is None:
         return rows.sparkSession.createDataFrame([], "query bigint, neighbour bigint, rank int, distance double")
     top = out.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("t"))
     return top.select("query", F.posexplode("t").alias("rank", "x")).select("query", F.col("x.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.col("x.distance").alias("distance"))
 
 
+def _blocks(queries: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries in blocks of bounded rows and bytes (at least one row)."""
+    ids, vectors = [], []
+    for r in queries:
+        if ids and (len(ids) >= QUERY_BLOCK or (len(ids) + 1) * 8 * len(r.v) > QUERY_BYTES):
+            yield np.array(ids, dtype=np.int64), np.array(vectors, dtype=np.float64)
+            ids, vectors = [], []
+        ids.append(r.id)
+        vectors.append(r.v)
+    if ids:
+        yield np.array(ids, dtype=np.int64), np.array(vectors, dtype=np.float64)
+
+
 def _best(sent, k: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = sent.value

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewright.operators.blocks import numbered
+from tapewright.operators.blocks import TABLE_SHARD_S, numbered
 
 _SCHEMA = "fold int, role string, lo bigint, hi bigint"
 
@@ -62,6 +62,6 @@ def apply_split(df: DataFrame, split: DataFrame, ts: str, ties: Sequence[str]) -
     if not ranges:
         return df.limit(0).withColumns({"rn": F.lit(0).cast("bigint"), "fold": F.lit(0), "role": F.lit("")})
     lit = F.array(*[F.struct(F.lit(f).alias("fold"), F.lit(r).alias("role"), F.lit(a).cast("bigint").alias("lo"), F.lit(b).cast("bigint").alias("hi")) for f, r, a, b in ranges])
-    x = numbered(df.withColumn("_one", F.lit(1)), ["_one"], ts, ties).drop("_one")
+    x = numbered(df.withColumn("_one", F.lit(1)), ["_one"], ts, ties, TABLE_SHARD_S).drop("_one")
     hit = F.filter(lit, lambda s: (F.col("rn") >= s["lo"]) & (F.col("rn") <= s["hi"]))
     return x.withColumn("_s", F.explode(hit)).select("*", "_s.fold", "_s.role").drop("_s")

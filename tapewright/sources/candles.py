@@ -45,8 +45,8 @@ def read_csv(spark: SparkSession, path: str, symbol: str | None = None, timefram
     """symbol, timeframe, ts, open, high, low, close, volume, file, problem of every row.
 
     The header tells the layout; `fields` overrides which column holds what. Rows that can't be read keep a
-    `problem` (strict: the read fails); a missing volume counts as 0; of rows with equal symbol and stamp the last in
-    the file order of stamps is kept when `keep_last`.
+    `problem` (strict: the read fails); a missing volume counts as 0; of rows with equal symbol and stamp the last is kept
+    when `keep_last`, in the order of file names and of lines in a file.
     """
     raw = spark.read.option("header", True).option("encoding", encoding).option("sep", sep).option("multiLine", encoding.upper().startswith("UTF-16")).csv(path)
     header = raw.columns
@@ -55,16 +55,17 @@ def read_csv(spark: SparkSession, path: str, symbol: str | None = None, timefram
     text = F.concat_ws(" ", F.col(f"`{clean['date']}`"), F.col(f"`{clean['time']}`")) if layout_of(header) == "date_time" else F.col(f"`{at['ts']}`")
     num = lambda f: F.col(f"`{at[f]}`").try_cast("double") if f in at else F.lit(None).cast("double")
     sym = F.col(f"`{at['symbol']}`") if symbol is None and "symbol" in at else F.lit(symbol)
-    out = raw.select(sym.alias("symbol"), F.lit(timeframe).alias("timeframe"), _instant(F.trim(text), zone).alias("ts"), *[num(f).alias(f) for f in ("open", "high", "low", "close")], F.coalesce(num("volume"), F.lit(0.0)).alias("volume"), F.input_file_name().alias("file"))
+    out = raw.select(sym.alias("symbol"), F.lit(timeframe).alias("timeframe"), _instant(F.trim(text), zone).alias("ts"), *[num(f).alias(f) for f in ("open", "high", "low", "close")], F.coalesce(num("volume"), F.lit(0.0)).alias("volume"), F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("_start"))
     problem = F.when(F.col("ts").isNull(), "timestamp").when(F.col("open").isNull() | F.col("high").isNull() | F.col("low").isNull() | F.col("close").isNull(), "price").when((F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close")), "geometry")
     out = out.withColumn("problem", problem)
     if strict:
         out = out.withColumn("ts", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("unreadable row: "), F.col("problem"))).cast("timestamp")).otherwise(F.col("ts")))
     if keep_last:
-        out = out.withColumn("_id", F.monotonically_increasing_id())
+        # by file name, then by place in the file: a piece of a file is read in order by one task
+        out = out.withColumn("_id", F.struct("file", "_start", F.monotonically_increasing_id()))
         good = out.where("problem is null").groupBy("symbol", "timeframe", "ts").agg(F.max_by(F.struct("open", "high", "low", "close", "volume", "file", "problem"), "_id").alias("r")).select("symbol", "timeframe", "ts", "r.*")
-        out = good.unionByName(out.where("problem is not null").drop("_id"))
-    return out
+        out = good.unionByName(out.where("problem is not null").drop("_id", "_start"))
+    return out.drop("_start")
 
 
 def read_headerless(spark: SparkSession, path: str, symbol: str, zone: str = "UTC") -> DataFrame:
@@ -87,12 +88,12 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def timeframe_of(df: DataFrame, ts: str = "ts") -> int | None:
     """The upper-median positive step between stamps in seconds, if it is a known timeframe. Over all rows, one pass of windows."""
     from tapewright.functions.scalars import TIMEFRAMES
-    from tapewright.operators.blocks import Frames, numbered, with_halo
+    from tapewright.operators.blocks import TABLE_SHARD_S, Frames, numbered, with_halo
     from tapewright.operators.orderstats import at_index, ordered_counts
 
     one = df.where(F.col(ts).isNotNull()).select(ts).distinct().withColumn("one", F.lit(1))
     f = Frames(keys=("one", "block"))
-    d = with_halo(numbered(one, ["one"], ts, []), before=1)
+    d = with_halo(numbered(one, ["one"], ts, [], TABLE_SHARD_S), before=1)
     d = d.withColumn("step", (F.unix_micros(ts) - F.unix_micros(f.lag(ts))) / 1_000_000).where("not halo and step > 0")
     r = ordered_counts(d, ["one"], "step").groupBy("one").agg(at_index("step", F.floor(F.col("total") / 2)).alias("m")).first()
     return int(r.m) if r is not None and r.m in set(TIMEFRAMES.values()) else None

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapewright.functions.scalars import row_hash, set_hash
+from tapewright.operators.blocks import Frames, numbered, with_halo
+from tapewright.operators.folds import ordered_fold
 
 
 def save(df: DataFrame, path: str, partition: Sequence[str] = ("symbol", "timeframe"), files_per: int = 1) -> None:
@@ -52,15 +56,41 @@ def dataset_hash(df: DataFrame) -> str:
     return f"{h}:{','.join(cols)}"
 
 
-def chain(df: DataFrame, order: str, payload: Sequence[str]) -> DataFrame:
-    """`df` plus digest: SHA-256 of a row's values, to be linked by `verify_chain`'s prev column."""
-    return df.withColumn("digest", row_hash(*payload)).withColumn("_o", F.col(order)).drop("_o")
+def chain(df: DataFrame, order: str, payload: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """`df` plus prev and digest: SHA-256 of the digest before it (in its log, by `order`) and the row's values; the first prev is null.
 
+    A digest needs the one before, so a log (`keys`) is one pass of one task in constant memory; logs run side by side.
+    """
+    d = df.withColumns({"_log": F.concat_ws("|", *keys) if keys else F.lit(""), "_row": row_hash(*payload)})
 
-def verify_chain(log: DataFrame, order: str, digest: str, prev: str) -> DataFrame:
-    """Rows whose prev is not the digest before them: breaks of a hash-linked log."""
-    w = Window.partitionBy(F.lit(1).alias("one")).orderBy(order)
-    return log.withColumn("_before", F.lag(digest).over(w)).where(~F.col(prev).eqNullSafe(F.col("_before"))).drop("_before")
+    def make():  # noqa: ANN202
+        last = None
+
+        def step(row: str) -> tuple:
+            nonlocal last
+            before, last = last, hashlib.sha256(f"{last or ''}|{row}".encode()).hexdigest()
+            return before, last
+
+        return step
+
+    return ordered_fold(d, ["_log"], [order], ["_row"], df.columns, make, [("prev", T.StringType()), ("digest", T.StringType())])
+
+
+def verify_chain(log: DataFrame, order: str, digest: str, prev: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows whose prev is not the digest before them: breaks of a hash-linked log.
+
+    `order` is a BIGINT that is unique in a log; blocks with a halo row split a long one.
+    """
+    f = Frames(keys=("_log", "block"))
+    d = log.withColumns({"_log": F.concat_ws("|", *keys) if keys else F.lit(""), "_at": F.timestamp_micros(F.col(order).cast("bigint") * 1_000_000)})
+    d = with_halo(numbered(d, ["_log"], "_at", [order]), before=1).withColumn("_before", f.lag(digest))
+    return d.where("not halo").where(~F.col(prev).eqNullSafe(F.col("_before"))).select(*log.columns)
+
+
+def verify_digests(log: DataFrame, payload: Sequence[str], digest: str = "digest", prev: str = "prev") -> DataFrame:
+    """Rows whose digest does not follow from their prev and values: what was altered after it was written."""
+    own = F.sha2(F.concat(F.coalesce(F.col(prev), F.lit("")), F.lit("|"), row_hash(*payload)), 256)
+    return log.where(~own.eqNullSafe(F.col(digest)))
 
 
 def manifest_hash(df: DataFrame, name: str, digest: str) -> str:

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from conftest import SF, rows
-from tapewright.functions import special
-from tapewright.operators import asof, blocks, folds, intervals, islands, linear, orderstats, portfolio, resample, stats
+from tapewright.functions import registry, special
+from tapewright.operators import asof, blocks, folds, intervals, islands, linear, orderstats, portfolio, resample, stats, strategy
 from tapewright.plans import base, joins, measures
 from tapewright.runtime import table
 from tapewright.sources import candles, store
@@ -303,3 +303,80 @@ def test_empty_tables(spark):
     assert n.count() == 0 and blocks.with_halo(n, before=3).count() == 0
     assert orderstats.ordered_counts(e, ["series"], "close").count() == 0
     assert islands.runs(n, ["series"], "rn", "close").count() == 0
+
+
+def test_a_chain_links_and_shows_what_was_altered(spark):
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", float(i)) for i in range(40)], "i long, log string, v double")
+    log = store.chain(df, "i", ["i", "v"], ["log"])
+    assert log.where("prev is null").count() == 2
+    assert store.verify_chain(log, "i", "digest", "prev", ["log"]).count() == store.verify_digests(log, ["i", "v"]).count() == 0
+    bad = log.withColumn("v", F.when(F.col("i") == 7, 0.0).otherwise(F.col("v")))
+    assert [r.i for r in store.verify_digests(bad, ["i", "v"]).collect()] == [7]
+    assert [r.i for r in store.verify_chain(log.where("i <> 8"), "i", "digest", "prev", ["log"]).collect()] == [10]
+
+
+def test_outcomes_of_many_bars_a_day(spark):
+    rng = np.random.default_rng(4)
+    n = 600
+    ts = pd.date_range("2024-01-01", periods=n, freq="144min", tz="UTC") + pd.to_timedelta(rng.integers(0, 100, n), unit="s")
+    close = 100 + np.cumsum(rng.normal(0, 1, n))
+    p = pd.DataFrame({"s": "A", "ts": ts, "high": close + rng.random(n), "low": close - rng.random(n), "close": close})
+    got = {(r.at_us, r.days): (r.ret, r.mfe, r.mae) for r in asof.forward_outcomes(spark.createDataFrame(p), "s", (1, 20)).collect()}
+    want = {}
+    for h in (1, 20):
+        for i in range(n):
+            j = next((j for j in range(i, n) if ts[j] >= ts[i] + pd.Timedelta(days=h)), None)
+            if j is not None:
+                want[(ts[i].value // 1000, h)] = tuple(round(x / close[i] - 1, 8) for x in (close[j], p.high[i + 1 : j + 1].max(), p.low[i + 1 : j + 1].min()))
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), atol=2e-8)
+
+
+def test_query_blocks_of_any_length(spark, monkeypatch):
+    from tapewright.operators import retrieval
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    whole = sorted(map(tuple, retrieval.nearest_vectors(df, df.where("id % 5 = 0"), "id", "v").collect()))
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 8 * 8 * 3)
+    assert sorted(map(tuple, retrieval.nearest_vectors(df, df.where("id % 5 = 0"), "id", "v").collect())) == whole and len(whole) == 60
+
+
+def test_account_of_both_sides_and_cost_specs():
+    a = strategy.execution(1000.0, commission="fixed:1", slippage="pct:0.01", size=2.0)
+    out = [a(1, 100.0), a(1, 110.0), a(-1, 110.0), a(-1, 100.0), a(1, 90.0), a(None, 90.0)]
+    assert [x[0] for x in out] == [2, 2, 0, -2, 0, 0]
+    assert np.isclose(out[2][4], (108.9 - 101) * 2 - 2) and np.isclose(out[4][4], (99 - 90.9) * 2 - 2) and np.isclose(out[5][3], 1000 + out[2][4] + out[4][4])
+    assert strategy.cost_spec("PCT:0.5") == ("pct", 0.5) and strategy.cost_spec("3") == ("fixed", 3.0) and strategy.cost_spec(None, 2.0) == ("fixed", 2.0)
+    with pytest.raises(ValueError):
+        strategy.cost_spec("share:1")
+
+
+def test_features_in_order_and_in_circles():
+    assert registry.topological({"a": ("b", "close"), "b": ("c",), "c": ()}) == ["c", "b", "a"]
+    with pytest.raises(ValueError):
+        registry.topological({"a": ("b",), "b": ("a",)})
+
+
+def test_market_structure_with_gaps_confirmation_and_double_breaks():
+    one = folds.market_structure(1, basis="wick", confirm=2)
+    bars = [(2, 1, 1.5), (4, 1, 2), (3, 0.5, 2), (3, 1, 2), (5, 1, 4), (6, 2, 5)]
+    assert [one(*b)[0] for b in bars] == [None] * 5 + ["BOS"]
+    one = folds.market_structure(1, basis="wick", confirm=2)
+    assert [one(*b, gap=i == 5)[0] for i, b in enumerate(bars)] == [None] * 6
+    both = folds.market_structure(1, basis="wick")
+    assert [both(*b)[0] for b in [*bars[:4], (5, 0.1, 2), (5, 0.7, 2)]] == [None] * 4 + ["AMBIGUOUS", "BOS"]
+    assert len(folds.structure_grid()) == 56
+    p = folds.parabolic()
+    assert [p(10, 9, 9.8)[1], p(11, 9, 9.5)[1]] == [None, -1]
+
+
+def test_prediction_interval_and_t_quantile(spark):
+    assert np.isclose(special.t_quantile(0.975, 10), 2.228138852, atol=1e-8)
+    x = np.arange(12.0)
+    y = 2 * x + np.where(np.arange(12) % 2, 1.0, -1.0)
+    df = spark.createDataFrame([("k", float(a), float(b)) for a, b in zip(x, y)], "k string, x double, y double")
+    r = stats.prediction_interval(df, ["k"], "y", "x", "x").first()
+    b, a = np.polyfit(x, y, 1)
+    s = np.sqrt(((y - a - b * x) ** 2).sum() / 10) * np.sqrt(1 + 1 / 12)
+    assert np.allclose([r.prediction, r.scale, r.low, r.high], [a + 11 * b, s, a + 11 * b - 2.228138852 * s, a + 11 * b + 2.228138852 * s])
