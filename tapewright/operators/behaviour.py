@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tapewright.operators.blocks import Frames, running_totals, with_halo
 from tapewright.operators.folds import Step, ordered_fold
+from tapewright.runtime import cut
 
 
 def volatility_clustering(returns: DataFrame, keys: Sequence[str], r: str) -> DataFrame:
@@ -61,6 +62,46 @@ def kpss(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return d.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_e_total") * F.col("_e_total")) / F.pow(F.count("*").cast("double"), F.lit(2.0)), F.sum(F.col("_e") * F.col("_e")) / F.count("*")).alias("statistic"))
 
 
+def kpss_bartlett(df: DataFrame, keys: Sequence[str], value: str, trend: bool = False) -> DataFrame:
+    """(keys, statistic, lags, n): KPSS of rows of `numbered` with a Bartlett long-run variance of int(sqrt(n)) lags, about a level or a straight trend.
+
+    Weighed autocovariances up to lag L are the mean square of sums over L + 1 neighbours, so running totals and one join at that
+    distance give them for any number of lags. Fewer than four rows give none.
+    """
+    keys = list(keys)
+    d = df.where(F.col(value).isNotNull()).select(*keys, "rn", F.col(value).cast("double").alias("_y"))
+    m = d.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg("_y").alias("_m"), F.avg("rn").alias("_x"), F.regr_slope("_y", F.col("rn").cast("double")).alias("_b")).where("_n >= 4")
+    e = F.col("_y") - F.col("_m") - (F.col("_b") * (F.col("rn") - F.col("_x")) if trend else F.lit(0.0))
+    t = running_totals(d.join(m, keys).withColumn("_e", e).select(*keys, "rn", "_e"), keys, ["_e"])
+    t = cut(t.join(m.select(*keys, "_n", F.floor(F.sqrt("_n")).cast("bigint").alias("_l")), keys).select(*keys, "rn", "_e", F.col("_e_total").alias("_s"), "_n", "_l"))
+    far = t.select(*keys, (F.col("rn") + F.col("_l") + 1).alias("rn"), F.col("_s").alias("_p"))
+    w = t.join(far, [*keys, "rn"], "left")
+    step = F.col("_s") - F.coalesce("_p", F.lit(0.0))
+    # sums that begin before the last row and end behind it
+    tail = F.when((F.col("rn") >= F.col("_n") - F.col("_l")) & (F.col("rn") < F.col("_n")), F.col("_s") * F.col("_s")).otherwise(0.0)
+    g = w.groupBy(*keys).agg(F.first("_n").alias("n"), F.first("_l").alias("lags"), F.sum(F.col("_s") * F.col("_s")).alias("_ss"), F.sum(step * step + tail).alias("_v"))
+    variance = F.greatest(F.col("_v") / (F.col("lags") + 1) / F.col("n"), F.lit(1e-12))
+    return g.select(*keys, (F.col("_ss") / (F.col("n").cast("double") * F.col("n") * variance)).alias("statistic"), F.col("lags").cast("int").alias("lags"), "n")
+
+
+def trend_regime(f: Frames, n: int = 100, adx_n: int = 14, strong: float = 25.0, steep: float = 0.05) -> list[dict[str, Column]]:
+    """Columns in four steps: state UP, DOWN or RANGE from directional movement (plain sums) and the slope of log closes in deviations of log returns.
+
+    Each step is added before the next is built. The frame needs n + 2 rows before; rows before the warm-up have no state.
+    """
+    tr, up, dn = F.col("_tr"), F.col("high") - f.lag("high"), f.lag("low") - F.col("low")
+    first = {"_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.coalesce(f.lag("close"), "close")), F.abs(F.col("low") - F.coalesce(f.lag("close"), "close"))), "_up": F.when((up > dn) & (up > 0), up).otherwise(0.0), "_dn": F.when((dn > up) & (dn > 0), dn).otherwise(0.0), "_ln": F.ln("close"), "_lr": F.ln(F.col("close") / f.lag("close"))}
+    total = lambda c: F.sum(c).over(f.last(adx_n))
+    second = {"_plus": F.when((f.rn >= adx_n) & (total(tr) > 0), 100 * total("_up") / total(tr)), "_minus": F.when((f.rn >= adx_n) & (total(tr) > 0), 100 * total("_dn") / total(tr))}
+    second["_dx"] = F.try_divide(100 * F.abs(second["_plus"] - second["_minus"]), second["_plus"] + second["_minus"])
+    place = sum([F.lit(float(-i)) * f.lag("_ln", i) for i in range(1, n)], F.lit(0.0))
+    slope = (place + n * (n - 1) / 2.0 * F.avg("_ln").over(f.last(n))) / (n * (n * n - 1) / 12.0)
+    third = {"adx": F.when(F.count("_dx").over(f.last(adx_n)) == adx_n, F.round(F.avg("_dx").over(f.last(adx_n)), 9)), "slope": F.round(F.coalesce(F.try_divide(slope, F.stddev_pop("_lr").over(f.last(n - 1))), F.lit(0.0)), 9)}
+    ready = (f.rn >= max(n, 2 * adx_n + 1)) & F.col("adx").isNotNull()
+    side = F.when((F.col("adx") >= strong) & (F.col("slope") > steep) & (F.col("_plus") > F.col("_minus")), "UP").when((F.col("adx") >= strong) & (F.col("slope") < -steep) & (F.col("_minus") > F.col("_plus")), "DOWN").otherwise("RANGE")
+    return [first, second, third, {"state": F.when(ready, side)}]
+
+
 def volume_profile(bars: DataFrame, keys: Sequence[str], price: str, volume: str, tick: float, share: float = 0.7) -> DataFrame:
     """(keys, poc, low, high, total): volume by price bin; the busiest bin (ties: the lower price) and the value area grown from it, ties to the lower side.
 

@@ -131,6 +131,15 @@ def apply_steps(p: Column, steps: pd.DataFrame) -> Column:
     return out
 
 
+def platt(df: DataFrame, p: str, y: str) -> tuple[float, float]:
+    """(a, b) of the calibrated score 1 / (1 + exp(-(a + b * logit(p)))), by logistic regression; scores of 0 and 1 are left out."""
+    from tapewright.operators.linear import logistic
+
+    d = df.where((F.col(p) > 0) & (F.col(p) < 1) & F.col(y).isNotNull()).select(F.ln(F.col(p) / (1 - F.col(p))).alias("_x"), F.col(y).cast("double").alias("_y"))
+    a, b = logistic(d, ["_x"], "_y", l2=0.0)
+    return float(a), float(b)
+
+
 def temperature(df: DataFrame, p: str, y: str, grid: Sequence[float] = tuple(round(0.25 * 1.1**i, 6) for i in range(40)), least: int = 50) -> float:
     """The temperature of a grid with the least log loss; 1 with fewer than `least` rows. One aggregation for all."""
     logit = F.ln(F.col(p) / (1 - F.col(p)))

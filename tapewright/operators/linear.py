@@ -116,15 +116,17 @@ def _lagged(df: DataFrame, keys: Sequence[str], columns: dict[str, Callable[[Fra
     return with_halo(df, before=most + 2).withColumns({n: c(f) for n, c in columns.items()}).where("not halo").drop("block", "halo")
 
 
-def dickey_fuller(df: DataFrame, keys: Sequence[str], value: str, lags: int = 1) -> DataFrame:
-    """(keys, statistic, lags, rows, stationary): augmented Dickey-Fuller with a constant; 5 % critical value -2.86."""
+def dickey_fuller(df: DataFrame, keys: Sequence[str], value: str, lags: int = 1, trend: bool = False) -> DataFrame:
+    """(keys, statistic, lags, rows, stationary): augmented Dickey-Fuller with a constant, or with a straight trend too; 5 % critical values -2.86 and -3.41."""
     cols = {"_dy": lambda f: F.col(value) - f.lag(value), "_level": lambda f: f.lag(value), **{f"_l{i}": (lambda f, i=i: f.lag(value, i) - f.lag(value, i + 1)) for i in range(1, lags + 1)}}
     d = _lagged(df, keys, cols, lags + 1)
     xs = ["_level", *[f"_l{i}" for i in range(1, lags + 1)]]
+    if trend:
+        d, xs = d.withColumn("_trend", F.col("rn").cast("double")), [*xs, "_trend"]
 
     def row(m: np.ndarray, c: np.ndarray, n: int) -> list[tuple]:
         t = float(fit_centred(m, c, n)["t"][1])
-        return [(t, lags, n, bool(t < -2.86))]
+        return [(t, lags, n, bool(t < (-3.41 if trend else -2.86)))]
 
     return _solve(moments(d, keys, [*xs, "_dy"]), keys, [*xs, "_dy"], row, "statistic double, lags int, rows bigint, stationary boolean")
 

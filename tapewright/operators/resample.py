@@ -79,13 +79,20 @@ def bootstrap_interval(df: DataFrame, keys: Sequence[str], value: str, row: str,
     return df.groupBy(*keys).agg(F.avg(value).alias("mean")).join(ci, list(keys))
 
 
-def block_bootstrap_interval(df: DataFrame, keys: Sequence[str], value: str, ts: str, ties: Sequence[str], block: int, reps: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(keys, mean, low, high): moving blocks of `block` rows, each start weighed; replicates average n / block blocks."""
+def block_bootstrap_interval(df: DataFrame, keys: Sequence[str], value: str, ts: str, ties: Sequence[str], block: int, reps: int = 1000, seed: int = 42, level: float = 0.95, circular: bool = False) -> DataFrame:
+    """(keys, mean, low, high): moving blocks of `block` rows, each start weighed; replicates average n / block blocks.
+
+    circular: the series goes on with its first rows behind its last, so that every row is in as many blocks.
+    """
     keys = list(keys)
     n = numbered(df.where(F.col(value).isNotNull()), keys, ts, ties)
     f = Frames(keys=(*keys, "block"))
+    if circular:
+        size = n.groupBy(*keys).agg(F.max("rn").alias("_n"))
+        n = n.join(size, keys).withColumn("rn", F.explode(F.when(F.col("rn") < block, F.array("rn", F.col("rn") + F.col("_n"))).otherwise(F.array("rn"))))
     v = with_halo(n, after=block)
     v = v.withColumn("_m", F.avg(value).over(f.w.rowsBetween(0, block - 1))).withColumn("_k", F.count(value).over(f.w.rowsBetween(0, block - 1))).where(f"not halo and _k = {block}")
+    v = v.where("rn <= _n") if circular else v
     b = bootstrap_means(v, keys, "_m", "rn", reps, seed, rate=1.0 / block)
     a = (1 - level) / 2
     ci = b.groupBy(*keys).agg(F.percentile("mean", F.lit(a)).alias("low"), F.percentile("mean", F.lit(1 - a)).alias("high"))

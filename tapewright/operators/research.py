@@ -13,6 +13,7 @@ from tapewright.operators.asof import asof_join
 from tapewright.operators.blocks import TABLE_SHARD_S, Frames, numbered, with_halo
 from tapewright.operators.islands import runs
 from tapewright.operators.orderstats import interpolated, ordered_counts
+from tapewright.runtime import cut
 
 
 def matches(spec: dict, known: Sequence[str]) -> Column:
@@ -200,6 +201,29 @@ def arma(df: DataFrame, keys: Sequence[str], value: str, p: int = 1, q: int = 1,
     return regression(_lagged(x, keys, second, max(p, q)), keys, v, list(second))
 
 
+def directional_value(df: DataFrame, keys: Sequence[str], state: str, close: str, horizon: int = 5, holdout: float = 0.3, block: int = 20, reps: int = 999, seed: int = 42) -> DataFrame:
+    """(keys, n, mean, p): the mean forward log return signed by UP, DOWN or RANGE over the last `holdout` share of a key's rows (of `numbered`), and its p against zero.
+
+    p is the share of moving-block bootstrap means of the centred outcomes that are at least as far from zero. Rows without a
+    state, or without `horizon` rows ahead, have no outcome.
+    """
+    from tapewright.operators.resample import bootstrap_means
+
+    keys = list(keys)
+    f = Frames(keys=(*keys, "block"))
+    size = df.groupBy(*keys).agg(F.max("rn").alias("_n"))
+    sign = F.when(F.col(state) == "UP", 1.0).when(F.col(state) == "DOWN", -1.0).when(F.col(state) == "RANGE", 0.0)
+    d = with_halo(df, after=horizon).withColumn("_y", sign * F.ln(f.lead(close, horizon) / F.col(close))).where("not halo").drop("block", "halo").join(size, keys)
+    d = cut(d.where(F.col("_y").isNotNull() & (F.col("rn") > F.floor(F.col("_n") * (1 - holdout)))).select(*keys, "rn", "_y"))
+    m = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_y").alias("mean"))
+    e = with_halo(d.join(m, keys).withColumn("_e", F.col("_y") - F.col("mean")).select(*keys, "rn", "_e"), after=block)
+    w = f.w.rowsBetween(0, block - 1)
+    e = e.withColumns({"_m": F.avg("_e").over(w), "_k": F.count("_e").over(w)}).where(f"not halo and _k = {block}")
+    b = bootstrap_means(e, keys, "_m", "rn", reps, seed, rate=1.0 / block).withColumnRenamed("mean", "_null").join(m, keys)
+    p = b.groupBy(*keys).agg(((1 + F.count(F.when(F.abs("_null") >= F.abs("mean"), 1))) / (reps + 1)).alias("p"))
+    return m.join(p, keys, "left")
+
+
 def reaction_delay(df: DataFrame, keys: Sequence[str], event: str, response: str, threshold: float = 2.0, most: int = 20) -> DataFrame:
     """(keys, lag, mean_abs_z): mean absolute z of the response 0..most rows after events beyond the threshold; the largest per key is the delay."""
     z = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in (event, response) for n, f in (("m", F.avg), ("s", F.stddev_samp))])

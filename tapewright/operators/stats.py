@@ -176,7 +176,7 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def adjust_p(df: DataFrame, p: str, tie: str, method: str = "bh") -> DataFrame:
-    """`df` (one row per hypothesis) plus adjusted: Benjamini-Hochberg step-up or Holm step-down.
+    """`df` (one row per hypothesis) plus adjusted: Benjamini-Hochberg step-up (bh), Holm step-down (holm) or Bonferroni's bound (bonferroni).
 
     Hypotheses are few next to the data (one per group tested), so one window orders them.
     """
@@ -185,6 +185,8 @@ def adjust_p(df: DataFrame, p: str, tie: str, method: str = "bh") -> DataFrame:
     w = Window.partitionBy(F.lit(1).alias("one")).orderBy(p, tie)
     m = F.count(p).over(Window.partitionBy(F.lit(1).alias("one")))
     d = df.where(F.col(p).isNotNull()).withColumn("_k", F.row_number().over(w)).withColumn("_m", m)
+    if method == "bonferroni":
+        return d.withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.col("_m"))).drop("_k", "_m")
     if method == "bh":
         d = d.withColumn("_a", F.col(p) * F.col("_m") / F.col("_k"))
         back = Window.partitionBy(F.lit(1).alias("one")).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)

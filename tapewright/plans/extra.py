@@ -11,7 +11,7 @@ from tapewright.operators.blocks import Frames, numbered, with_halo
 from tapewright.plans.base import BARS, W, clean_bars, framed_bars, own
 from tapewright.plans.measures import _next, returns
 from tapewright.plans.models import _r
-from tapewright.runtime import table
+from tapewright.runtime import cut, table
 
 QUERIES, SQL = {}, {}
 _R = f"WITH {BARS}, r AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS ret FROM x), v AS (SELECT * FROM r WHERE ret IS NOT NULL)"
@@ -136,12 +136,12 @@ def b_hidden_states(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def b_recalibrated(spark: SparkSession, d: str) -> DataFrame:
-    """Brier scores of a score as it is, after isotonic steps, and after a temperature."""
-    x = _next(spark, d).withColumns({"p": 1 / (1 + F.exp(-800 * F.col("ret"))), "y": (F.col("nxt") > 0).cast("double")})
-    steps, t = chance.isotonic_steps(x, "p", "y"), chance.temperature(x, "p", "y")
-    x = x.withColumns({"iso": chance.apply_steps(F.col("p"), steps), "tem": 1 / (1 + F.exp(-800 * F.col("ret") / t))})
+    """Brier scores of a score as it is, after isotonic steps, after a temperature, and after a logistic fit."""
+    x = cut(_next(spark, d).select((1 / (1 + F.exp(-800 * F.col("ret")))).alias("p"), (F.col("nxt") > 0).cast("double").alias("y"), "ret"))
+    steps, t, (a, b_) = chance.isotonic_steps(x, "p", "y"), chance.temperature(x, "p", "y"), chance.platt(x, "p", "y")
+    x = x.withColumns({"iso": chance.apply_steps(F.col("p"), steps), "tem": 1 / (1 + F.exp(-800 * F.col("ret") / t)), "platt": 1 / (1 + F.exp(-(a + b_ * 800 * F.col("ret"))))})
     b = lambda c: F.round(F.avg(F.pow(F.col(c) - F.col("y"), F.lit(2.0))), 8).alias(c)
-    return x.agg(b("p"), b("iso"), b("tem"))
+    return x.agg(b("p"), b("iso"), b("tem"), b("platt"))
 
 
 def _macro(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tapewright.operators.hierarchy import hierarchy_edges
 from tapewright.plans.base import BARS, W
 from tapewright.plans.measures import returns
 from tapewright.plans.problem_sql import _EDGES
-from tapewright.runtime import table
+from tapewright.runtime import cut, table
 
 QUERIES, SQL = {}, {}
 _R = f"WITH {BARS}, r AS (SELECT *, close / lag(close) OVER ({W}) - 1 AS ret FROM x), v AS (SELECT * FROM r WHERE ret IS NOT NULL)"
@@ -76,7 +76,9 @@ def x_regression(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def x_multiple_regression(spark: SparkSession, d: str) -> DataFrame:
     x = returns(spark, d).withColumns({"a": F.log1p("volume"), "b": (F.col("high") - F.col("low")) / F.col("close"), "b2": F.pow((F.col("high") - F.col("low")) / F.col("close"), F.lit(2.0))})
-    return _r(linear.regression(x, ["series"], "ret", ["a", "b", "b2"]).join(linear.vif(x, ["series"], ["a", "b", "b2"]), ["series", "term"], "left"), 6)
+    x = cut(x.select("series", "ret", "a", "b", "b2"))
+    r = linear.regression(x, ["series"], "ret", ["a", "b", "b2"]).join(linear.vif(x, ["series"], ["a", "b", "b2"]), ["series", "term"], "left")
+    return r.select("series", "term", *[F.round(c, n).alias(c) for c, n in (("coefficient", 5), ("se", 5), ("t", 4), ("r2", 5), ("vif", 3))], "rows")
 
 
 @query()
@@ -88,7 +90,7 @@ def x_unit_root(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def x_granger(spark: SparkSession, d: str) -> DataFrame:
-    return _r(linear.granger(returns(spark, d), ["series"], "volume", "ret", 2), 6)
+    return _r(linear.granger(returns(spark, d), ["series"], "volume", "ret", 2).drop("p"), 5)
 
 
 @query()

@@ -157,3 +157,51 @@ SQL["r_correlation_breaks"] = f"""WITH {_R}, n AS (SELECT series, ret AS x, volu
  c AS (SELECT series, k, t, corr(x, y) OVER (PARTITION BY series ORDER BY k) AS before, corr(x, y) OVER (PARTITION BY series ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM n),
  br AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY abs(before - after) DESC, k) AS i FROM c WHERE k >= 10 AND t - k >= 10 AND before IS NOT NULL AND after IS NOT NULL)
 SELECT series, k AS at, round(before, 6) AS before, round(after, 6) AS after FROM br WHERE i = 1 AND abs(before - after) > 0.3"""
+
+
+def _residuals(name: str, source: str, key: str, keep: str, xs: list[str], y: str) -> str:
+    """CTEs that take columns out of each other one by one, in order (Gram-Schmidt): the last is `name`, with y and the last x as what is left of them."""
+    cols, out, at = [*xs, y], [], source
+    sel = ", ".join(f"{c}::DOUBLE AS q{i}" for i, c in enumerate(cols))
+    out.append(f"{name}_0 AS (SELECT {key}, {keep}, {sel}, count(*) OVER (PARTITION BY {key}) AS n FROM {at} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)})")
+    for i in range(len(xs)):
+        later = ", ".join(f"q{j} - q{i} * sum(q{i} * q{j}) OVER (PARTITION BY {key}) / nullif(sum(q{i} * q{i}) OVER (PARTITION BY {key}), 0) AS q{j}" for j in range(i + 1, len(cols)))
+        # what was left of the last column before it was taken out of y, for its slope
+        held = f", q{len(cols) - 1} AS before" if i == len(xs) - 1 else ""
+        stay = f", q{i}" if i == len(xs) - 1 else ""
+        step = name if i == len(xs) - 1 else f"{name}_{i + 1}"
+        out.append(f"{step} AS (SELECT {key}, {keep}, n, {later}{stay}{held} FROM {name}_{i})")
+    return ", ".join(out)
+
+
+def _last_term(name: str, key: str, k: int) -> str:
+    """Slope of the last x, its error, and the fit, from `_residuals` of k columns."""
+    return f"(SELECT {key}, any_value(n) AS n, sum(q{k - 1} * before) / sum(q{k - 1} * q{k - 1}) AS b, sum(q{k - 1} * q{k - 1}) AS sxx, sum(q{k} * q{k}) AS rss FROM {name} GROUP BY {key})"
+
+
+_GRANGER = f"{_R}, l AS (SELECT series, rn, ret, 1.0 AS one, lag(ret) OVER w AS y1, lag(ret, 2) OVER w AS y2, lag(volume) OVER w AS x1, lag(volume, 2) OVER w AS x2 FROM v WINDOW w AS (PARTITION BY series ORDER BY rn)), lf AS (SELECT * FROM l WHERE y2 IS NOT NULL AND x2 IS NOT NULL)"
+SQL["x_granger"] = f"""WITH {_GRANGER}, {_residuals('full_', 'lf', 'series', 'rn', ['one', 'y1', 'y2', 'x1', 'x2'], 'ret')}, {_residuals('less_', 'lf', 'series', 'rn', ['one', 'y1', 'y2'], 'ret')},
+ a AS {_last_term('full_', 'series', 5)}, c AS {_last_term('less_', 'series', 3)} SELECT a.series, round((c.rss - a.rss) / 2 / (a.rss / (a.n - 5)), 5) AS f, a.n AS rows FROM a JOIN c ON c.series = a.series"""
+
+_MULTI = f"{_R}, q AS (SELECT series, rn, ret, 1.0 AS one, ln(1 + volume) AS a, (high - low) / close AS b, power((high - low) / close, 2) AS b2 FROM v)"
+_MULTI_ORDERS = {"intercept": ["a", "b", "b2", "one"], "a": ["one", "b", "b2", "a"], "b": ["one", "a", "b2", "b"], "b2": ["one", "a", "b", "b2"]}
+SQL["x_multiple_regression"] = f"WITH {_MULTI}, tot AS (SELECT series, var_pop(ret) * count(*) AS yy, var_pop(a) * count(*) AS va, var_pop(b) * count(*) AS vb, var_pop(b2) * count(*) AS vb2 FROM q GROUP BY series), " + ", ".join(f"{_residuals(f'm_{t}', 'q', 'series', 'rn', xs, 'ret')}, f_{t} AS {_last_term(f'm_{t}', 'series', 4)}" for t, xs in _MULTI_ORDERS.items()) + " " + " UNION ALL ".join(
+    f"SELECT f.series, '{t}' AS term, round(f.b, 5) AS coefficient, round(sqrt(rss / (n - 4) / sxx), 5) AS se, round(f.b / sqrt(rss / (n - 4) / sxx), 4) AS t, round(1 - rss / yy, 5) AS r2, n AS rows, round({'NULL' if t == 'intercept' else f'v{t} / sxx'}, 3) AS vif FROM f_{t} f JOIN tot ON tot.series = f.series" for t in _MULTI_ORDERS
+)
+
+SQL["x_unit_root_trend"] = f"""WITH {_R}, d AS (SELECT series, rn, 1.0 AS one, rn::DOUBLE - avg(rn) OVER (PARTITION BY series) AS trend, close - lag(close) OVER w AS dy, lag(close) OVER w AS level, lag(close) OVER w - lag(close, 2) OVER w AS l1 FROM v WINDOW w AS (PARTITION BY series ORDER BY rn)), df AS (SELECT * FROM d WHERE l1 IS NOT NULL),
+ {_residuals('z', 'df', 'series', 'rn', ['one', 'trend', 'l1', 'level'], 'dy')}, f AS {_last_term('z', 'series', 4)} SELECT series, round(b / sqrt(rss / (n - 4) / sxx), 4) AS statistic, CAST(1 AS INTEGER) AS lags, n AS rows, b / sqrt(rss / (n - 4) / sxx) < -3.41 AS stationary FROM f"""
+
+
+def _arma(tag: str, value: str, model: str) -> str:
+    lag = lambda n: f"lag(y, {n}) OVER w AS l{n}"
+    ctes = f"""{tag}y AS (SELECT series, rn, {value} AS y FROM v), {tag}l AS (SELECT series, rn, y, 1.0 AS one, {', '.join(map(lag, range(1, 5)))} FROM {tag}y WINDOW w AS (PARTITION BY series ORDER BY rn)), {_residuals(f'{tag}e', f'{tag}l', 'series', 'rn', ['one', 'l1', 'l2', 'l3', 'l4'], 'y')},
+ {tag}j AS (SELECT a.series, a.rn, a.y, 1.0 AS one, lag(a.y) OVER w AS ar1, lag(b.q5) OVER w AS ma1 FROM {tag}y a LEFT JOIN {tag}e b ON b.series = a.series AND b.rn = a.rn WINDOW w AS (PARTITION BY a.series ORDER BY a.rn)), {tag}f AS {_two(f'{tag}j', 'series', 'y', 'ar1', 'ma1')}"""
+    return ctes, _terms(f"{tag}f", "series", ("ar1", "ma1"), 4, f", '{model}' AS model")
+
+
+_ARMA = [_arma("ra", "ret", "arma(1,1)"), _arma("ci", "close - lag(close) OVER (PARTITION BY series ORDER BY rn)", "arima(1,1,1)")]
+SQL["r_arma"] = f"WITH {_R}, " + ", ".join(c for c, _ in _ARMA) + " " + " UNION ALL ".join(s for _, s in _ARMA)
+
+SQL["x_all_shortest_paths"] = f"""WITH RECURSIVE {_EDGES}, s AS (SELECT DISTINCT p AS n FROM e WHERE p NOT IN (SELECT c FROM e)), r AS (SELECT n AS start, n AS node, 0 AS distance FROM s UNION SELECT r.start, e.c, r.distance + 1 FROM r JOIN e ON e.p = r.node WHERE r.distance < 400)
+SELECT start, node, CAST(min(distance) AS INTEGER) AS distance FROM r GROUP BY ALL"""

@@ -297,3 +297,98 @@ def r_prediction(spark: SparkSession, d: str) -> DataFrame:
     """The next return from volume, and the scale of its prediction interval (`stats.prediction_interval` has the bounds)."""
     i = stats.prediction_interval(cut(returns(spark, d).select("series", "rn", "ret", "volume")), ["series"], "ret", "volume", "rn")
     return i.select("series", F.round("prediction", 9).alias("prediction"), F.round("scale", 9).alias("scale"), "df")
+
+
+def _kpss(trend: bool) -> str:
+    e = "close - regr_intercept(close, rn::DOUBLE) OVER p - regr_slope(close, rn::DOUBLE) OVER p * rn" if trend else "close - avg(close) OVER p"
+    return f"""WITH {BARS}, e AS (SELECT series, rn, count(*) OVER p AS n, {e} AS e FROM x WINDOW p AS (PARTITION BY series)), l AS (SELECT *, CAST(floor(sqrt(n)) AS BIGINT) AS l FROM e WHERE n >= 4),
+ c AS (SELECT a.series, b.rn - a.rn AS lag, sum(a.e * b.e) / any_value(a.n) AS g, any_value(a.l) AS l FROM l a JOIN l b ON b.series = a.series AND b.rn BETWEEN a.rn AND a.rn + a.l GROUP BY 1, 2), v AS (SELECT series, sum(CASE lag WHEN 0 THEN g ELSE 2 * (1 - lag / (l + 1)) * g END) AS v FROM c GROUP BY series),
+ s AS (SELECT series, n, l, sum(e) OVER (PARTITION BY series ORDER BY rn) AS s FROM l)
+SELECT series, round(sum(s * s) / (any_value(n)::DOUBLE * any_value(n) * greatest(any_value(v), 1e-12)), 6) AS statistic, CAST(any_value(l) AS INTEGER) AS lags, count(*) AS n FROM s JOIN v USING (series) GROUP BY series"""
+
+
+@query(_kpss(False))
+def b_kpss_bartlett(spark: SparkSession, d: str) -> DataFrame:
+    """KPSS of closes about a level."""
+    return behaviour.kpss_bartlett(numbered(clean_bars(spark, d), ["series"], "ts", ["bar_id"]), ["series"], "close").withColumn("statistic", F.round("statistic", 6))
+
+
+@query(_kpss(True))
+def b_kpss_trend(spark: SparkSession, d: str) -> DataFrame:
+    """KPSS of closes about a straight trend."""
+    return behaviour.kpss_bartlett(numbered(clean_bars(spark, d), ["series"], "ts", ["bar_id"]), ["series"], "close", trend=True).withColumn("statistic", F.round("statistic", 6))
+
+
+@query()
+def x_unit_root_trend(spark: SparkSession, d: str) -> DataFrame:
+    """Augmented Dickey-Fuller of closes about a straight trend."""
+    from tapewright.operators import linear
+
+    return linear.dickey_fuller(returns(spark, d).select("series", "rn", "close"), ["series"], "close", trend=True).withColumn("statistic", F.round("statistic", 4))
+
+
+_REGIME = f"""{BARS}, k AS (SELECT *, lag(close) OVER w AS c1, high - lag(high) OVER w AS um, lag(low) OVER w - low AS dm FROM x WINDOW w AS ({W})),
+ g AS (SELECT *, greatest(high - low, abs(high - coalesce(c1, close)), abs(low - coalesce(c1, close))) AS tr, CASE WHEN um > dm AND um > 0 THEN um ELSE 0 END AS pd, CASE WHEN dm > um AND dm > 0 THEN dm ELSE 0 END AS md, ln(close) AS l, ln(close / c1) AS lr FROM k),
+ i AS (SELECT *, CASE WHEN rn >= 14 AND sum(tr) OVER a > 0 THEN 100 * sum(pd) OVER a / sum(tr) OVER a END AS p, CASE WHEN rn >= 14 AND sum(tr) OVER a > 0 THEN 100 * sum(md) OVER a / sum(tr) OVER a END AS m, round(coalesce(regr_slope(l, rn::DOUBLE) OVER n / nullif(stddev_pop(lr) OVER q, 0), 0), 9) AS slope FROM g WINDOW a AS ({W} ROWS 13 PRECEDING), n AS ({W} ROWS 99 PRECEDING), q AS ({W} ROWS 98 PRECEDING)),
+ dx AS (SELECT *, 100 * abs(p - m) / nullif(p + m, 0) AS dx FROM i), ad AS (SELECT *, CASE WHEN count(dx) OVER a = 14 THEN round(avg(dx) OVER a, 9) END AS adx FROM dx WINDOW a AS ({W} ROWS 13 PRECEDING)),
+ st AS (SELECT series, bar_id, rn, close, adx, slope, CASE WHEN adx >= 25 AND slope > 0.05 AND p > m THEN 'UP' WHEN adx >= 25 AND slope < -0.05 AND m > p THEN 'DOWN' ELSE 'RANGE' END AS state FROM ad WHERE rn >= 100 AND adx IS NOT NULL)"""
+
+
+def _regimes(spark: SparkSession, d: str) -> DataFrame:
+    df, f = framed_bars(spark, d, before=130)
+    for step in behaviour.trend_regime(f):
+        df = df.withColumns(step)
+    return own(df).select("series", "bar_id", "rn", "close", "adx", "slope", "state")
+
+
+@query(f"""WITH {_REGIME}, n AS (SELECT *, row_number() OVER w AS k, lag(state) OVER w AS before FROM st WINDOW w AS (PARTITION BY series ORDER BY rn)),
+ c AS (SELECT bar_id, state, round(adx, 6) AS adx, round(slope, 6) AS slope, list_transform(['DOWN', 'RANGE', 'UP'], lambda s: 1.0::DOUBLE) AS one, count(*) FILTER (before = 'UP' AND state = 'UP') OVER w AS uu, count(*) FILTER (before = 'UP') OVER w AS ua, count(*) FILTER (before = 'DOWN' AND state = 'UP') OVER w AS du, count(*) FILTER (before = 'DOWN') OVER w AS da, count(*) FILTER (before = 'RANGE' AND state = 'UP') OVER w AS ru, count(*) FILTER (before = 'RANGE') OVER w AS ra FROM n WINDOW w AS (PARTITION BY series ORDER BY rn ROWS UNBOUNDED PRECEDING))
+SELECT bar_id, state, adx, slope, round(CASE state WHEN 'UP' THEN (1 + uu) / (3 + ua) WHEN 'DOWN' THEN (1 + du) / (3 + da) ELSE (1 + ru) / (3 + ra) END, 8) AS p_up FROM c""")
+def b_regime(spark: SparkSession, d: str) -> DataFrame:
+    """Regime of each bar from directional movement and slope, and the smoothed frequency with which it has been followed by UP so far."""
+    from tapewright.operators.blocks import running_totals
+
+    r = cut(_regimes(spark, d).where("state is not null"))
+    n = numbered(r.withColumn("ts", F.timestamp_seconds("rn")).drop("rn"), ["series"], "ts", ["bar_id"])
+    f = Frames()
+    n = own(with_halo(n, before=1).withColumn("before", f.lag("state"))).drop("block", "halo")
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    sides = ("UP", "DOWN", "RANGE")
+    n = n.withColumns({f"{s}_{k}": flag((F.col("before") == s) & (F.lit(True) if k == "all" else F.col("state") == "UP")) for s in sides for k in ("up", "all")})
+    t = running_totals(n, ["series"], [f"{s}_{k}" for s in sides for k in ("up", "all")])
+    p = F.coalesce(*[F.when(F.col("state") == s, (1 + F.col(f"{s}_up_total")) / (3 + F.col(f"{s}_all_total"))) for s in sides])
+    return t.select("bar_id", "state", F.round("adx", 6).alias("adx"), F.round("slope", 6).alias("slope"), F.round(p, 8).alias("p_up"))
+
+
+@query(f"""WITH {_REGIME}, z AS (SELECT x.series, x.rn, CASE st.state WHEN 'UP' THEN 1 WHEN 'DOWN' THEN -1 WHEN 'RANGE' THEN 0 END * ln(lead(x.close, 5) OVER (PARTITION BY x.series ORDER BY x.rn) / x.close) AS y, max(x.rn) OVER (PARTITION BY x.series) AS n FROM x LEFT JOIN st ON st.bar_id = x.bar_id)
+SELECT series, count(*) AS n, round(avg(y), 10) AS mean FROM z WHERE y IS NOT NULL AND rn > floor(n * (1 - 0.3::DOUBLE)) GROUP BY series""")
+def r_directional_value(spark: SparkSession, d: str) -> DataFrame:
+    """What the regimes' directions were worth over the last 30 % of each series, five rows ahead (`research.directional_value` has the p)."""
+    from tapewright.operators import research
+
+    v = research.directional_value(cut(_regimes(spark, d)), ["series"], "state", "close")
+    return v.select("series", "n", F.round("mean", 10).alias("mean"))
+
+
+@query()
+def r_directional_p(spark: SparkSession, d: str) -> DataFrame:
+    """The p of `r_directional_value` by moving blocks."""
+    from tapewright.operators import research
+
+    return research.directional_value(cut(_regimes(spark, d)), ["series"], "state", "close").select("series", F.round("p", 6).alias("p"))
+
+
+def _outcomes_sql() -> str:
+    from tapewright.plans.joins import SQL as J
+
+    return f"""WITH f AS ({J['j_forward_outcomes']}) SELECT symbol, days, count(*) AS total, count(*) FILTER (ret > 0) AS positive, count(*) FILTER (ret < 0) AS negative, round(count(*) FILTER (ret > 0) / count(*), 8) AS positive_ratio, round(avg(ret), 9) AS ret, round(avg(mfe), 9) AS mfe, round(avg(mae), 9) AS mae FROM f GROUP BY symbol, days"""
+
+
+@query(_outcomes_sql())
+def j_outcome_analysis(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of all daily bars by symbol and horizon: how many went up or down, mean return and mean excursions."""
+    from tapewright.plans.joins import QUERIES as J
+
+    g = J["j_forward_outcomes"](spark, d).groupBy("symbol", "days")
+    up, down = F.count(F.when(F.col("ret") > 0, 1)), F.count(F.when(F.col("ret") < 0, 1))
+    return g.agg(F.count("*").alias("total"), up.alias("positive"), down.alias("negative"), F.round(up / F.count("*"), 8).alias("positive_ratio"), *[F.round(F.avg(c), 9).alias(c) for c in ("ret", "mfe", "mae")])

@@ -122,7 +122,7 @@ def r_arma(spark: SparkSession, d: str) -> DataFrame:
     """ARMA of returns and ARIMA of closes."""
     r = returns(spark, d)
     a = research.arma(r, ["series"], "ret").withColumn("model", F.lit("arma(1,1)"))
-    return _r(a.union(research.arma(r, ["series"], "close", d=1).withColumn("model", F.lit("arima(1,1,1)"))), 5)
+    return _r(a.union(research.arma(r, ["series"], "close", d=1).withColumn("model", F.lit("arima(1,1,1)"))).drop("p"), 4)
 
 
 @query()
