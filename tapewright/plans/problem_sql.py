@@ -92,3 +92,42 @@ SQL["p4_flags"] = (
     .replace("SELECT bar_id, field FROM n", """SELECT bar_id, field, CASE WHEN bad THEN 'impossible' WHEN isfinite(m) AND usual > 0 AND m > 22 * usual THEN 'spike' ELSE 'stuck' END AS kind,
   CASE WHEN usual > 0 AND isfinite(m / usual) THEN round(m / usual, 8) END AS times FROM n""")
 )
+
+_CLOCK = r"(?:(?:T|t|,?\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?(?:\s*([AaPp])\.?[Mm]\.?)?)?\s*([A-Za-z+\[-][^|]*)?$"
+_TAIL = ("h", "mi", "s", "f", "half", "z")
+_MONTH_NAME = r"(?i:(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?)"
+#: Pattern and its groups, in the order in which they exclude each other.
+_STAMPS = [
+    (r"^(\d{4})-(\d{1,2})-(\d{1,2})" + _CLOCK, ("y", "mo", "d", *_TAIL)),
+    (r"^(\d{1,2})\.(\d{1,2})\.(\d{4})" + _CLOCK, ("d", "mo", "y", *_TAIL)),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})" + _CLOCK, ("mo", "d", "y", *_TAIL)),
+    (r"^(\d{4})\.(\d{1,2})\.(\d{1,2})" + _CLOCK, ("y", "mo", "d", *_TAIL)),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})" + _CLOCK, ("y", "mo", "d", *_TAIL)),
+    (r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})[ -]+" + _MONTH_NAME + r"[ -]+(\d{4})" + _CLOCK, ("d", "mo", "y", *_TAIL)),
+    (r"^(?:[A-Za-z]{3,9},?\s+)?" + _MONTH_NAME + r"\s+(\d{1,2}),?\s+(\d{4})" + _CLOCK, ("mo", "d", "y", *_TAIL)),
+    (r"^(\d{4})(\d{2})(\d{2})(?:[Tt ]?(\d{2})(\d{2})(\d{2})?(?:[.,](\d+))?)?(?:\s*([AaPp])[Mm])?\s*([A-Za-z+\[-][^|]*)?$", ("y", "mo", "d", *_TAIL)),
+]
+_PARTS = " ".join(
+    f"WHEN regexp_matches(x, '{p}') THEN (SELECT struct_pack({', '.join(f'{n} := g.{n}' for n in ('y', 'mo', 'd', *_TAIL))}) FROM (SELECT regexp_extract(x, '{p}', [{', '.join(repr(n) for n in names)}]) AS g))" for p, names in _STAMPS
+)
+_HOUR = "CASE WHEN q.half = '' THEN coalesce(TRY_CAST(q.h AS INT), 0) WHEN coalesce(TRY_CAST(q.h AS INT), 0) NOT BETWEEN 1 AND 12 THEN 99 ELSE TRY_CAST(q.h AS INT) % 12 + CASE WHEN lower(q.half) = 'p' THEN 12 ELSE 0 END END"
+_OFFSET = r"^(?i:utc|gmt)?([+-])(\d{1,2}):?(\d{2})?(?:\s*[\[(].*[\])])?$"
+
+
+def _instant(zone: str) -> str:
+    """A local time of a zone: the first of two occurrences; where it is skipped, by the offset before."""
+    t = f"timezone({zone}, local)"
+    return f"epoch_us(CASE WHEN timezone({zone}, {t} - INTERVAL 1 HOUR) = local THEN {t} - INTERVAL 1 HOUR WHEN timezone({zone}, {t} - INTERVAL 30 MINUTES) = local THEN {t} - INTERVAL 30 MINUTES ELSE {t} END)"
+
+
+SQL["p7_found"] = f"""WITH names AS (SELECT lower(name) AS k, any_value(name) AS name FROM pg_timezone_names() GROUP BY 1), src AS (SELECT source, max(zone_name) AS zone FROM sources GROUP BY source), ab AS (SELECT upper(trim(abbrev)) AS k, any_value(offset_minutes) AS m FROM zone_abbrevs GROUP BY 1),
+ t AS (SELECT 'feed_records' AS origin, CAST(record_id AS VARCHAR) AS record_key, source, timestamp AS text FROM feed_records UNION ALL SELECT 'datasets', id, source, start_time FROM datasets),
+ c AS (SELECT t.*, CASE WHEN src.source IS NULL OR zone IS NULL THEN 'UTC' ELSE zone END AS home, trim(text, E' \\t\\n\\x0b\\f\\r' || chr(65279)) AS x FROM t LEFT JOIN src ON src.source = t.source WHERE text IS NOT NULL AND NOT regexp_full_match(text, '\\d{{4}}-\\d{{2}}-\\d{{2}}T\\d{{2}}:\\d{{2}}:\\d{{2}}(\\.\\d{{1,6}})?Z')),
+ n AS (SELECT *, CASE WHEN regexp_full_match(x, '\\d{{1,25}}(\\.\\d{{1,12}})?') THEN (SELECT u FROM (SELECT unnest([TRY_CAST(a || rpad(b[1:6], 6, '0') AS BIGINT), TRY_CAST(a || rpad(b[1:3], 3, '0') AS BIGINT), TRY_CAST(a AS BIGINT), TRY_CAST(a[1:len(a) - 3] AS BIGINT)]) AS u FROM (SELECT regexp_extract(x, '^(\\d+)', 1) AS a, regexp_extract(x, '\\.(\\d+)$', 1) AS b)) WHERE u >= 946684800000000 AND u < 2208988800000000) END AS number FROM c),
+ p AS (SELECT *, CASE WHEN number IS NULL THEN CASE {_PARTS} END END AS q FROM n),
+ l AS (SELECT *, trim(q.z) AS z, TRY_CAST(q.y || '-' || lpad(CASE WHEN regexp_matches(q.mo, '^\\d') THEN q.mo ELSE CAST(list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(q.mo[1:3])) AS VARCHAR) END, 2, '0') || '-' || lpad(q.d, 2, '0') || ' ' || lpad(CAST({_HOUR} AS VARCHAR), 2, '0') || ':' || CASE WHEN q.mi = '' THEN '00' ELSE q.mi END || ':' || CASE WHEN q.s = '' THEN '00' ELSE q.s END || '.' || rpad(q.f[1:6], 6, '0') AS TIMESTAMP) AS local FROM p),
+ o AS (SELECT l.*, regexp_extract(z, '{_OFFSET}', ['sign', 'hh', 'mm']) AS off, ab.m AS minutes, w.name AS named, hn.name AS own FROM l LEFT JOIN ab ON ab.k = upper(l.z) LEFT JOIN names w ON w.k = lower(trim(l.z, '[]')) LEFT JOIN names hn ON hn.name = trim(l.home)),
+ u AS (SELECT origin, record_key, CASE WHEN number IS NOT NULL THEN number WHEN local IS NULL THEN NULL WHEN z = '' THEN CASE WHEN own IS NOT NULL THEN {_instant('own')} END WHEN lower(z) = 'z' THEN epoch_us(local)
+   WHEN off.hh <> '' AND CAST(off.hh AS INT) * 60 + coalesce(TRY_CAST(off.mm AS INT), 0) <= 1080 AND coalesce(TRY_CAST(off.mm AS INT), 0) < 60 THEN epoch_us(local) - CASE off.sign WHEN '-' THEN -1 ELSE 1 END * (CAST(off.hh AS INT) * 60 + coalesce(TRY_CAST(off.mm AS INT), 0)) * 60000000::BIGINT
+   WHEN minutes IS NOT NULL THEN epoch_us(local) - minutes * 60000000::BIGINT WHEN named IS NOT NULL THEN {_instant('named')} END AS utc_us FROM o)
+SELECT origin, record_key, utc_us FROM u WHERE utc_us IS NOT NULL"""
