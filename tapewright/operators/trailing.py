@@ -33,7 +33,7 @@ def _amount(c: str) -> Column:
 
 
 def daily_amounts(rows: DataFrame) -> DataFrame:
-    """(symbol, day, volume, close, n_close, active): what each symbol's day holds after resent rows are resolved.
+    """(symbol, day, volume, close, active): what each symbol's day holds after resent rows are resolved.
 
     Rows of one symbol and stamp are one record: the row received last (ties: largest daily_id) counts, field by
     field, passing over null and unusable values. A day sums its records' volume; its close is that of its last
@@ -41,15 +41,26 @@ def daily_amounts(rows: DataFrame) -> DataFrame:
     Rows without symbol or timestamp are left out. Two aggregations, both pre-aggregated before the shuffle and
     the second on the same leading keys.
     """
+    return _days(rows, {"": F.lit(True)}).select("symbol", "day", "volume", "close", "active")
+
+
+def _days(rows: DataFrame, views: dict[str, Column]) -> DataFrame:
+    """(symbol, day, and with each view's prefix held, volume, close, active): `daily_amounts` of several selections of the rows in one pass; held tells whether a view has any row of the day."""
     order = F.struct("received_at", "daily_id")
-    r = rows.where("symbol is not null and timestamp is not null").select(symbol_key("symbol").alias("symbol"), "timestamp", F.to_date("timestamp").alias("day"), order.alias("o"), _amount("volume").alias("volume"), _amount("close").alias("close"), (F.col("volume") > 0).alias("pos"), F.isnan("volume").alias("nan"))
-    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("o", c)))[c].alias(c)
-    records = r.groupBy("symbol", "day", "timestamp").agg(last("volume"), last("close"), F.max(F.coalesce(F.col("pos") & ~F.col("nan"), F.lit(False))).alias("active"))
-    return records.groupBy("symbol", "day").agg(
-        F.coalesce(F.sum("volume"), F.lit(0)).cast(_TOTAL).alias("volume"),
-        F.max(F.when(F.col("close").isNotNull(), F.struct("timestamp", "close")))["close"].cast(_TOTAL).alias("close"),
-        F.max("active").alias("active"),
+    r = rows.where("symbol is not null and timestamp is not null").select(
+        symbol_key("symbol").alias("symbol"), "timestamp", F.to_date("timestamp").alias("day"), order.alias("o"), _amount("volume").alias("volume"), _amount("close").alias("close"),
+        F.coalesce((F.col("volume") > 0) & ~F.isnan("volume"), F.lit(False)).alias("active"), *[v.alias(f"_in_{p}") for p, v in views.items()],
     )
+    last = lambda p, c: F.max(F.when(F.col(f"_in_{p}") & F.col(c).isNotNull(), F.struct("o", c)))[c].alias(p + c)
+    records = r.groupBy("symbol", "day", "timestamp").agg(*[x for p in views for x in (F.max(f"_in_{p}").alias(f"{p}held"), last(p, "volume"), last(p, "close"), F.max(F.col("active") & F.col(f"_in_{p}")).alias(f"{p}active"))])
+    return records.groupBy("symbol", "day").agg(*[
+        x for p in views for x in (
+            F.max(f"{p}held").alias(f"{p}held"),
+            F.coalesce(F.sum(f"{p}volume"), F.lit(0)).cast(_TOTAL).alias(f"{p}volume"),
+            F.max(F.when(F.col(f"{p}close").isNotNull(), F.struct("timestamp", f"{p}close")))[f"{p}close"].cast(_TOTAL).alias(f"{p}close"),
+            F.max(f"{p}active").alias(f"{p}active"),
+        )
+    ])
 
 
 def _amounts(daily: DataFrame, parts: tuple[str, ...]) -> list[Column]:
@@ -150,12 +161,14 @@ def maintained(rows: DataFrame, in_time: str = IN_TIME, periods: tuple[int, ...]
     fewer of them a version counts the changes of those.
     """
     late = F.coalesce(F.col("received_at") > F.col("timestamp") + F.expr(f"interval {in_time}"), F.lit(False))
-    day = lambda df: df.where("symbol is not null and timestamp is not null").withColumns({"_s": symbol_key("symbol"), "_d": F.to_date("timestamp")})
-    touched = day(rows.where(late)).select("_s", "_d").distinct()
-    near = cut(day(rows).join(touched, ["_s", "_d"], "left_semi").select("daily_id", "symbol", "timestamp", "close", "volume", "received_at", late.alias("_late")))
-    state = cut(rolling_state(daily_amounts(rows.where(~late)), periods, parts=parts))
-    before, after = daily_amounts(near.where("not _late")), cut(daily_amounts(near))
-    return applied(state, cut(advance(state, before, after, periods, parts)))
+    needed = [c for c in ("volume", "close", "active") if c in parts or (c == "close" and "n_close" in parts) or (c == "active" and "n_active" in parts)]
+    # one pass over the rows gives each day as it was in time and as it is now
+    both = _days(rows, {"was_": ~late, "is_": F.lit(True), "late_": late})
+    both = cut(both.select("symbol", "day", "was_held", "late_held", *[f"{p}{c}" for p in ("was_", "is_") for c in needed]))
+    view = lambda p, rows: both.where(rows).select("symbol", "day", *[F.col(f"{p}{c}").alias(c) for c in needed])
+    state = cut(rolling_state(view("was_", "was_held"), periods, parts=parts))
+    changed = advance(state, view("was_", "was_held and late_held"), view("is_", "late_held"), periods, parts)
+    return applied(state, cut(changed))
 
 
 def trailing_report(state: DataFrame, periods: tuple[int, ...] = PERIODS) -> DataFrame:
