@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, and the time that one counting shard spans: of one series, and of a whole table taken as one series.
 BLOCK_ROWS = 100_000
-SHARD_S, TABLE_SHARD_S = 30 * 86_400, 3_600
+SHARD_S, TABLE_SHARD_S = 7 * 86_400, 3_600
 
 
 def numbered(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], shard_s: int = SHARD_S) -> DataFrame:
