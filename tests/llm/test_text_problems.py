@@ -139,3 +139,11 @@ def test_scores_of_held_tokens_equal_those_of_fresh_ones(model, monkeypatch):
     monkeypatch.setattr(languages, "_HELD_TOKENS", 3)
     again = languages.Scores(model)
     assert all((languages.infer(again, [t])[0][0] == once[i]).all() for i, t in enumerate(texts))
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_same_as_sql(spark, duck, name):
+    from conftest import rows
+
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), duck.sql(queries.SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
