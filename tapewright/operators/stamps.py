@@ -100,7 +100,7 @@ def _known_zones(df: DataFrame) -> list[str]:
 
 
 def parses(rows: DataFrame, text: str, sources: DataFrame, abbrevs: DataFrame) -> DataFrame:
-    """`rows` (with a column source) plus layout and utc_us, exchanged_us (month and day exchanged, where a layout of that kind admits it) and signature.
+    """`rows` (with a column source) plus utc_us, exchanged_us (month and day exchanged, where a layout of that kind admits it), signature and canonical.
 
     Zone abbreviations and IANA names are literals in the plan: both are fixed lists (13 and about 600 entries;
     more than 1,000 abbreviations raise). Sources are joined by size.
@@ -118,7 +118,9 @@ def parses(rows: DataFrame, text: str, sources: DataFrame, abbrevs: DataFrame) -
     c = F.col("_clean")
     # the most frequent form admits one layout only; every other text is held against the one pattern that its guard admits
     plain = c.endswith("Z") & (F.substring(c, 11, 1) == "T") & c.rlike(CANONICAL)
-    number = (F.length(c) <= 38) & c.rlike(r"^[0-9]{1,25}(\.[0-9]{1,12})?$")
+    # a number between 2000 and 2040 has nine digits or more before the point
+    digit = lambda i: F.substring(c, i, 1).between("0", "9")
+    number = digit(3) & digit(5) & (F.length(c) <= 38) & c.rlike(r"^[0-9]{1,25}(\.[0-9]{1,12})?$")
     bare = {unit: _number_us(c, digits) for unit, digits in UNITS.items()}
     r = r.withColumn("_number", F.when(number, F.coalesce(*[F.when(us.isNotNull(), F.struct(F.lit(unit).alias("unit"), us.alias("us"))) for unit, us in bare.items()])))
     mark = "\x01"
@@ -149,7 +151,7 @@ def parses(rows: DataFrame, text: str, sources: DataFrame, abbrevs: DataFrame) -
     })
     other = F.coalesce(*[F.when(F.col("layout") == a, F.lit(b)) for a, b in EXCHANGED.items()])
     signature = F.concat_ws("|", F.when(F.col("utc_us").isNotNull(), F.col("layout")), F.when(F.col("exchanged_us").isNotNull(), other))
-    return r.withColumn("signature", signature).select(*rows.columns, "utc_us", "exchanged_us", "signature")
+    return r.withColumn("signature", signature).select(*rows.columns, "utc_us", "exchanged_us", "signature", F.coalesce((kind == "plain") & (c == F.col(text)), F.lit(False)).alias("canonical"))
 
 
 def _mixture(signatures: list[str], count: list[int]) -> tuple[list[str], list[float], list[bool]]:
@@ -227,4 +229,4 @@ def normalise_stamps(rows: DataFrame, key: str, text: str, sources: DataFrame, a
     out = p.join(fit, ["source", "signature"], "left")
     chosen = F.when(F.col("layout").isin(*EXCHANGED.values()), F.col("exchanged_us")).otherwise(F.col("utc_us"))
     status = F.when(F.col("layout").isNull(), "unreadable").when(F.col("posterior") < CERTAIN, "ambiguous").when(F.col("contrary"), "contrary").otherwise("read")
-    return out.select(*keep, "record_key", "source", "text", chosen.alias("utc_us"), "layout", "posterior", status.alias("status"), F.coalesce(F.col("text").rlike(CANONICAL), F.lit(False)).alias("canonical"))
+    return out.select(*keep, "record_key", "source", "text", chosen.alias("utc_us"), "layout", "posterior", status.alias("status"), "canonical")
