@@ -51,11 +51,11 @@ def regular_grid(readings: DataFrame, max_gap: int = MAX_GAP, shard_periods: int
     r = usable.select("source", symbol_key("symbol").alias("symbol"), F.trim("timeframe").alias("timeframe"), F.unix_micros("timestamp").alias("t"), "received_at", "reading_id", "close")
     r = r.withColumn("slot", F.floor(F.col("t") / (period * 1_000_000)))
     knots = r.groupBy(*key, F.floor(F.col("slot") / F.lit(shard_periods)).alias("shard"), "slot", "t").agg(F.max(F.struct("received_at", "reading_id", "close")).alias("x"), F.count("*").alias("n"))
-    knots = knots.select(*key, "shard", "slot", F.struct("slot", (F.col("t") / 1e6).alias("t"), F.col("x.close").alias("v")).alias("k"), "n")
-    # the exchange is stated, so that both uses of the shards share it
+    knots = knots.select(*key, "shard", "slot", F.struct("slot", (F.col("t") / 1e6).alias("t"), F.col("x.close").alias("v"), "n").alias("k"))
+    # the exchange is stated, and all it carries is in one column, so that both uses of the shards share it
     shards = knots.repartition(*key, "shard")
     w = Window.partitionBy(*key, "shard").orderBy("slot", "k")
-    inside = shards.select(*key, "shard", "slot", F.sum("n").over(Window.partitionBy(*key, "shard", "slot")).alias("n"), "k", F.row_number().over(w).alias("rn"), F.lag("k").over(w).alias("p0"), F.lead("k").over(w).alias("q0"), F.lead("k", 2).over(w).alias("r0"))
+    inside = shards.select(*key, "shard", "slot", F.sum("k.n").over(Window.partitionBy(*key, "shard", "slot")).alias("n"), "k", F.row_number().over(w).alias("rn"), F.lag("k").over(w).alias("p0"), F.lead("k").over(w).alias("q0"), F.lead("k", 2).over(w).alias("r0"))
     summary = inside.groupBy(*key, "shard").agg(F.max(F.when(F.col("rn") == 1, F.col("k"))).alias("first"), F.max(F.when(F.col("rn") == 2, F.col("k"))).alias("second"), F.max("k").alias("last"))
     s = Window.partitionBy(*key).orderBy("shard")
     halo = summary.select(*key, "shard", F.lag("last").over(s).alias("hp"), F.lead("first").over(s).alias("hq"), F.coalesce(F.lead("second").over(s), F.lead("first", 2).over(s)).alias("hr"))
